@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._tokens import Words
+from ._tokens import Words, normal_mask
 
 
 def cut_words(text: str, drop: list[tuple[int, int]]) -> str:
@@ -31,3 +31,17 @@ def without_words(text: Column, ranges: Column) -> Column:
         return pd.Series([None if p is None else cut_words(t, np.frombuffer(p, np.int32).reshape(-1, 2).tolist()) for t, p in zip(texts, packed)], dtype=object)
 
     return F.when(ranges.isNull(), text).otherwise(run(F.when(ranges.isNotNull(), text), ranges))
+
+
+def without_words_of(text: str, drop: list[tuple[int, int]]) -> str:
+    """Remove ranges of normalised words (letters and digits) with what follows each range up to the next word."""
+    raw = text.encode()
+    b = np.frombuffer(raw, np.uint8)
+    words = Words(b, np.array([0, len(raw)]), normal_mask(b))
+    n = len(words.starts)
+    out, at = [], 0
+    for a, e in drop:
+        out.append(raw[at : words.starts[a]])
+        at = words.starts[e] if e < n else len(raw)
+    out.append(raw[at:])
+    return b"".join(out).decode()

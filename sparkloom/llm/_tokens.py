@@ -85,9 +85,9 @@ class Words:
 
     __slots__ = ("doc", "ends", "raw", "starts")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None = None):
         self.raw = raw
-        tok = ~SPACE[raw] if inside is None else inside[raw]
+        tok = ~SPACE[raw] if mask is None else mask
         n = len(raw)
         start = tok.copy()
         start[1:] &= ~tok[:-1]
@@ -138,6 +138,23 @@ def window_starts(doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(total) + np.repeat(doc[:-1] - before, counts), counts
 
 
+NORMAL_CLASS = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
+_NORMAL = np.zeros(256, dtype=bool)
+_NORMAL[48:58] = _NORMAL[65:91] = _NORMAL[97:123] = _NORMAL[128:] = True
+
+
+def normal_mask(raw: np.ndarray) -> np.ndarray:
+    """Bytes inside words of NORMAL_CLASS: ASCII letters and digits, and other characters but punctuation blocks."""
+    tok = _NORMAL[raw]
+    c2 = np.flatnonzero(raw == 0xC2)
+    tok[c2] = tok[c2 + 1] = False
+    for lead, ranges in ((0xE2, (0x80, 0x81)), (0xE3, (0x80, 0x80))):
+        at = np.flatnonzero(raw == lead)
+        at = at[(raw[at + 1] >= ranges[0]) & (raw[at + 1] <= ranges[1])]
+        tok[at] = tok[at + 1] = tok[at + 2] = False
+    return tok
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
