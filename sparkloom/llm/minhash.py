@@ -29,7 +29,7 @@ from ._tokens import Words, mix64, slices, string_buffers, window_hashes
 from .components import components
 
 SHINGLE, BANDS, ROWS, JACCARD = 3, 48, 4, 0.5
-SIGNED = "__rid long, doc_id long, f1 long, f2 long, bands array<long>, shingles binary"
+SIGNED = "__rid long, doc_id long, f1 long, f2 long, bands array<long>"
 
 
 def sigma(x: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Key, fingerprint of the shingle set, band keys and shingle set of each text that has words."""
+    """Key, fingerprint of the shingle set and band keys of each text that has words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +107,13 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 f2 = np.bitwise_xor.reduceat(mix64(x + np.uint64(0x7654321)), starts)
                 take = pa.array(live + a)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(live) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-                blobs = pa.array([sets[i].tobytes() for i in live], pa.binary())
-                yield pa.RecordBatch.from_arrays([rid.take(take), did.take(take), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, blobs], names=["__rid", "doc_id", "f1", "f2", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([rid.take(take), did.take(take), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["__rid", "doc_id", "f1", "f2", "bands"])
 
-    few = docs.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    return few.mapInArrow(run, SIGNED)
+    return _lowered(docs).mapInArrow(run, SIGNED)
+
+
+def _lowered(docs: DataFrame) -> DataFrame:
+    return docs.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
 
 
 def groups_in(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
@@ -163,13 +165,14 @@ def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
         rid = t["__rid"].to_numpy()
         null = np.asarray(t["doc_id"].is_null())
         by = np.lexsort((rid, did, null))
-        blobs = t["shingles"]
-        sets = [np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in by]
+        raw, off = string_buffers(t["text"])
+        all_sets = [x for _, _, r, o in slices(raw, off) for x in shingle_sets(r, o, shingle)]
+        sets = [all_sets[i] for i in by]
         label = groups_in(sets, jaccard)
         lead = by[label]
         return pa.table({"rep": rid[by], "lead": rid[lead], "lead_doc": pa.array(did[lead], pa.int64(), mask=null[lead])})
 
-    near = sigs.select("__rid", "doc_id", "shingles").join(comp, "__rid").groupBy("component").applyInArrow(verify, "rep long, lead long, lead_doc long")
+    near = _lowered(keyed).join(comp, "__rid").groupBy("component").applyInArrow(verify, "rep long, lead long, lead_doc long")
     out = rep.join(near, "rep", "left")
     kept = F.when(F.col("lead").isNull(), F.col("rep")).otherwise(F.col("lead"))
     doc = F.when(F.col("lead").isNull(), F.col("rep_doc")).otherwise(F.col("lead_doc"))
