@@ -72,3 +72,18 @@ def buckets(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def masked(df: DataFrame, *names: str):  # noqa: ANN201
+    """``df`` with all other columns renamed by position, so that none can clash; and a function that puts the names back."""
+    new = [c if c in names and c not in df.columns[:i] else f"__u{i}" for i, c in enumerate(df.columns)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*new).toDF(*df.columns)
+
+    return df.toDF(*new), back
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, whatever the others are called."""
+    return masked(df, *names)[0].select(*names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import masked, pick, ship
 from ._tokens import NORMAL_CLASS, Words, normal_mask, slices, string_buffers, window_hashes
 
 N, MIN_WORDS, DOCUMENT_SHARE, MAX_BROADCAST_GRAMS = 8, 5, 0.5, 2_000_000
@@ -32,7 +32,7 @@ SPANS = "doc_id long, start_token int, end_token int, n_hits int, item_id long,
 def grams(benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS) -> DataFrame:
     """Distinct (width, gram, item_id: the least) of the benchmark."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(NORMAL_CLASS), F.lit(0))
-    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("w"))
+    t = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), words.alias("w"))
     t = t.where(F.size("w") >= min_words).withColumn("width", F.least(F.lit(n), F.size("w")))
     t = t.select("item_id", "width", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.array_join(F.slice("w", i, F.col("width")), " "))).alias("gram"))
     return t.groupBy("width", "gram").agg(F.min("item_id").alias("item_id"))
@@ -154,7 +154,7 @@ def _scan(docs: DataFrame, index: dict | None, emit: Callable, schema) -> DataFr
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, document_share: float = DOCUMENT_SHARE, max_broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
     """Spans of ``docs(doc_id, text)`` that repeat the benchmark: doc_id, start_token, end_token (exclusive), n_hits, item_id (the least), removal ('span' or 'document')."""
     index = _index(benchmark, n, min_words, max_broadcast_grams)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     few = _lower(few if index is not None else _joined_hits(few, benchmark, n, min_words)).drop("text")
 
     def emit(batch: pa.RecordBatch, rows: list, found: list, counts: list) -> pa.RecordBatch:
@@ -176,6 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words:
     from ._rewrite import without_words_of
     from .suffix_dedup import with_lengths
 
+    docs, back = masked(docs, "doc_id", "text", "n_chars")
     index = _index(benchmark, n, min_words, max_broadcast_grams)
     few = docs if index is not None else _joined_hits(docs, benchmark, n, min_words)
     few = few.select(*[F.col(f"`{c}`") for c in few.columns])
@@ -202,4 +203,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words:
         out = pa.RecordBatch.from_arrays(cols, names=keep)
         return out.filter(pa.array(~gone)) if gone.any() else out
 
-    return with_lengths(_scan(plan, index, emit, docs.schema), docs)
+    return back(with_lengths(_scan(plan, index, emit, docs.schema), docs))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import pick, ship
 
 LINKS, LOW, HIGH, STOP_LOW, STOP_HIGH = 0.2, 70, 200, 0.12, 0.2
 _STOP = """
@@ -131,4 +131,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 text, total, kept = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string()), pa.array(total, pa.int32()), pa.array(kept, pa.int32())], names=["page_id", "text", "n_blocks", "n_kept"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string, n_blocks int, n_kept int")
+    return pick(pages, "page_id", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string, n_blocks int, n_kept int")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ship, with_row_key
+from ._common import cut, pick, ship, with_row_key
 
 K, SHARD_ROWS, LEAF, SAMPLE, BLOCK = 10, 4096, 128, 65_536, 128
 NONE = np.iinfo(np.int64).max
@@ -165,7 +165,7 @@ def top_k(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> Da
     """The k nearest other vectors of each of ``embeddings(vec_id, embedding)``: vec_id, rank (from 1), neighbor_id, distance (6 digits)."""
     spark = embeddings.sparkSession
     ship(spark)
-    v = with_row_key(embeddings.select("vec_id", "embedding")).select(F.col("__rid").alias("rid"), F.coalesce(F.col("vec_id").cast("long"), F.lit(int(NONE) - 1)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    v = with_row_key(pick(embeddings, "vec_id", "embedding")).select(F.col("__rid").alias("rid"), F.coalesce(F.col("vec_id").cast("long"), F.lit(int(NONE) - 1)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     v = v.where(F.size("x") > 0).where(~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     v = v.withColumn("dims", F.size("x"))
     plans = {}

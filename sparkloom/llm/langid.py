@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, stored, with_row_key
+from ._common import masked, pick, ship, stored, with_row_key
 from ._tokens import slices, string_buffers
 
 FIT_ROWS, EFFECTIVE, STRENGTH, ACCEPT, MARGIN, CLEAR = 2000, 64.0, 8.0, 0.5, 1.0, 4.0
@@ -63,7 +63,7 @@ def fit(rows: list[tuple[str, str]]) -> dict:
 
 def fit_documents(documents: DataFrame, limit: int = FIT_ROWS) -> dict:
     """Fit to at most ``limit`` rows of ``documents(doc_id, lang, text)``: those of the least hash of doc_id."""
-    labelled = documents.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id").alias("h"))
+    labelled = pick(documents, "doc_id", "lang", "text").where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id").alias("h"))
     edge = labelled.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     if edge is None:
         return fit([])
@@ -171,7 +171,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     body = F.regexp_replace("html", r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|<[^>]*>|&[A-Za-z#0-9]+;", " ")
     mark = F.substring_index(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), "-", 1)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), body.alias("text"), mark.alias("markup"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"))
+    return pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), body.alias("text"), mark.alias("markup"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"))
 
 
 def document_rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -180,17 +180,18 @@ def document_rows(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def identify(documents: DataFrame, pages: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Language of every document and every page: doc_id or page_id, lang, confidence, accepted."""
+    """Language of every document and every page: kind ('document' or 'page'), doc_id or page_id, lang, confidence, accepted."""
     model = fit_documents(documents, fit_rows)
-    d = identified(document_rows(documents), model).withColumn("page_id", F.lit(None).cast("long"))
+    d = identified(document_rows(pick(documents, "doc_id", "text", "lang", "source")), model).withColumn("page_id", F.lit(None).cast("long"))
     p = identified(page_rows(pages), model).withColumn("doc_id", F.lit(None).cast("long"))
     cols = ["doc_id", "page_id", "lang", "confidence", "accepted"]
-    return d.select(*cols).union(p.select(*cols))
+    return d.select(F.lit("document").alias("kind"), *cols).union(p.select(F.lit("page").alias("kind"), *cols))
 
 
 def filter_language(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents whose language is accepted; columns stay as they are."""
     model = fit_documents(docs, fit_rows)
+    docs, back = masked(docs, "doc_id", "text", "lang", "source")
     keyed = with_row_key(docs)
     good = identified(document_rows(keyed, "__rid"), model).where("accepted").select("__rid")
-    return keyed.join(good, "__rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(keyed.join(good, "__rid", "left_semi"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import pick, ship
 from ._tokens import Words, slices, string_buffers
 
 WORDS, HASHED, DIM, ROUNDS, BATCH, NOISE, RATE = 1024, 63, 24, 2, 4096, 24, 0.1
@@ -245,4 +245,5 @@ def score(docs: DataFrame, m: dict) -> DataFrame:
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Train on ``docs(doc_id, text)`` and score every one of them."""
+    docs = pick(docs, "doc_id", "text")
     return score(docs, model(docs))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, ship, stored, with_row_key
+from ._common import cut, masked, pick, ship, stored, with_row_key
 from ._tokens import Words, mix64, slices, string_buffers, window_hashes
 from .components import components
 
@@ -181,11 +181,12 @@ def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """Each document of ``docs(doc_id, text)`` that is a near or exact copy, with the kept one of its group: doc_id, kept_doc_id."""
-    return removals(with_row_key(docs), shingle, bands, rows, jaccard).drop("__rid")
+    return removals(with_row_key(pick(docs, "doc_id", "text")), shingle, bands, rows, jaccard).drop("__rid")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all columns stay."""
+    docs, back = masked(docs, "doc_id", "text")
     keyed = with_row_key(docs)
     gone = cut(removals(keyed, shingle, bands, rows, jaccard).select("__rid"))
-    return keyed.join(gone, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(keyed.join(gone, "__rid", "left_anti"))

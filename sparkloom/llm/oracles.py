@@ -1,5 +1,52 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express, written from their definitions."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from ._tokens import NORMAL_CLASS
+
+WORDS = r"string_split_regex({text}, '[ \t\n\r\f\x0B]+')"
+
+
+def _words(text: str) -> str:
+    return f"list_filter({WORDS.format(text=text)}, lambda x: x <> '')"
+
+
+def _windows(n: int) -> str:
+    return f"""t AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+win AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + {n - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM t WHERE len(w) >= {n})),
+g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM win),
+rep AS (SELECT doc_id, p, r, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g WHERE n > 1)"""
+
+
+GRAM_PARTS = "\n".join(
+    f"{'UNION ALL ' if n > 5 else ''}SELECT {n} AS width, array_to_string(w[i:i + {n - 1}], ' ') AS gram, item_id FROM (SELECT item_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM items WHERE len(w) {'>=' if n == 8 else '='} {n})" for n in (5, 6, 7, 8)
+)
+HIT_PARTS = "\n".join(
+    f"{'UNION ALL ' if n > 5 else ''}SELECT doc_id, {n} AS width, i - 1 AS p, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM docs WHERE len(w) >= {n} AND {n} IN (SELECT width FROM grams))" for n in (5, 6, 7, 8)
+)
+
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": f"""WITH {_windows(50)}
+SELECT doc_id, min(p)::INTEGER AS start_token, (max(p) + 50)::INTEGER AS end_token, count(*)::INTEGER AS repeated_windows, (count(*) FILTER (r = 1))::INTEGER AS first_windows FROM rep GROUP BY doc_id, island""",
+    "op3_decontamination": f"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '{NORMAL_CLASS}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '{NORMAL_CLASS}') AS w FROM benchmark),
+grams AS (SELECT width, gram, min(item_id) AS item_id FROM ({GRAM_PARTS}) GROUP BY width, gram),
+hits AS (SELECT h.doc_id, h.p, h.p + h.width AS e, g.item_id FROM ({HIT_PARTS}) AS h JOIN grams AS g USING (width, gram)),
+marked AS (SELECT *, CASE WHEN p <= max(e) OVER (PARTITION BY doc_id ORDER BY p, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits),
+spans AS (SELECT doc_id, min(p) AS s, max(e) AS e, count(*) AS n, min(item_id) AS item_id FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p, e ROWS UNBOUNDED PRECEDING) AS k FROM marked) GROUP BY doc_id, k)
+SELECT doc_id, s::INTEGER AS start_token, e::INTEGER AS end_token, n::INTEGER AS n_hits, item_id, CASE WHEN sum(e - s) OVER (PARTITION BY doc_id) >= 0.5 * len(w) THEN 'document' ELSE 'span' END AS removal FROM spans JOIN docs USING (doc_id)""",
+    "op5_substring_dedup": f"""WITH {_windows(50)}
+SELECT doc_id, min(p)::INTEGER AS start_token, (max(p) + 50)::INTEGER AS end_token, (count(*) + 49)::INTEGER AS n_tokens FROM rep GROUP BY doc_id, island""",
+    "op6_exact_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM d)
+SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(sqrt(d), 6) AS distance FROM r WHERE rank <= 10""",
+    "op9_minhash_dedup": f"""WITH RECURSIVE t AS (SELECT doc_id, {_words('lower(text)')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE both_ >= 0.5 * (p.n + q.n - both_)),
+e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach AS r JOIN e ON r.y = e.x)
+SELECT x AS doc_id, min(y) AS kept_doc_id FROM reach GROUP BY x HAVING min(y) < x""",
+}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import pick, ship
 from ._tokens import Words, slices, string_buffers
 
 CAPACITY, TRUNCATION, SPLIT, IDS_PER_STREAM = 2048, 8, 16, 512
@@ -127,7 +127,7 @@ def pack_stream(texts: list[tuple[int | None, str]], capacity: int, truncation:
 def pack(docs: DataFrame, capacity: int = CAPACITY, truncation: int = TRUNCATION, split: int = SPLIT, ids_per_stream: int = IDS_PER_STREAM) -> DataFrame:
     """Windows of ``docs(doc_id, text)``: stream, window, n_tokens, padding, truncated, doc_ids with word ranges starts and ends, text."""
     ship(docs.sparkSession)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    few = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     few = few.withColumn("stream", F.floor(F.col("doc_id") / ids_per_stream).cast("long"))
 
     def run(t: pa.Table) -> pa.Table:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import buckets, cut, with_row_key
+from ._common import buckets, cut, pick, with_row_key
 from ._exchange import doc_table, exchange
 from ._tokens import Words, runs, slices, window_hashes, window_starts
 from .suffix_dedup import refine, window_runs
@@ -97,7 +97,7 @@ def anchors(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def substring_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Maximal exact repeats of at least ``threshold`` words in ``docs(doc_id, text)``: doc_id, start_token, end_token (exclusive), n_tokens."""
     n = buckets(docs.sparkSession)
-    keyed = with_row_key(docs)
+    keyed = with_row_key(pick(docs, "doc_id", "text"))
     found = cut(anchors(keyed, threshold))
     near = doc_table(keyed).join(found.hint("merge"), "__rid")
 

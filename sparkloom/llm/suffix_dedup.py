@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets, with_row_key
+from ._common import buckets, masked, pick, with_row_key
 from ._exchange import doc_table, exchange
 from ._rewrite import without_words
 from ._tokens import Words, slices, window_hashes, window_starts
@@ -95,7 +95,7 @@ def suffix_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows: doc_id, start_token, end_token (exclusive, in words), repeated_windows, and first_windows: how
     many of them are the first of their group in the order of the table (least doc_id first within a scan chunk).
     """
-    return repeat_runs(with_row_key(docs), threshold).drop("__rid")
+    return repeat_runs(with_row_key(pick(docs, "doc_id", "text")), threshold).drop("__rid")
 
 
 DROPS = "__rid long, __cut binary"
@@ -107,6 +107,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Words of a later occurrence go, unless they also belong to a first one. A text of which nothing is left goes.
     """
     n = buckets(docs.sparkSession)
+    docs, back = masked(docs, "doc_id", "text", "n_chars")
     keyed = with_row_key(docs)
 
     def assemble(rid, did, null, count, repeated, first, _):  # noqa: ANN001, ANN202
@@ -127,7 +128,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     drops = exchange(doc_table(keyed), suffix_keys(threshold, n), refine, assemble, DROPS, n_buckets=n)
     out = keyed.join(drops.hint("merge"), "__rid", "left").withColumn("text", without_words(F.col("text"), F.col("__cut")))
     out = out.where(F.col("__cut").isNull() | (F.trim("text") != ""))
-    return with_lengths(out, docs)
+    return back(with_lengths(out, docs))
 
 
 def with_lengths(out: DataFrame, docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import pick, ship
 from ._tokens import Words, normal_mask, slices, string_buffers
 
 LEXICON = (
@@ -203,4 +203,4 @@ def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, threshold
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "score", "n_hits", "n_misspelled", "n_quoted", "terms"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(run, RESULT)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(run, RESULT)
