@@ -1,7 +1,9 @@
 """Encoding, tokenising and decoding with a model, as column functions and on the driver.
 
-Sequential decoding is a state machine, so it runs in Arrow-batched pandas UDFs with the model
-broadcast once; equal texts of a batch are encoded once.
+Sequential decoding is a state machine, so it runs in Arrow UDFs with the model broadcast once. A text
+is encoded in parts where no piece can reach across: a boundary of pre-tokens whose two bytes stand
+next to each other in no piece of the model. No merge and no lattice edge crosses such a place, so the
+result is that of the whole text, and parts that were seen before come from a bounded cache.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.charsmap import CharsMap, normalize_offsets
+from ..functions.charsmap import NAMES, CharsMap, normalize_offsets
 from ..functions.codepoints import byte_to_piece, char_length, piece_to_byte
 from ..functions.text import DIGIT, HAN, LETTER, SENTINEL, split_text
 from ..session import ship
@@ -22,6 +25,7 @@ from ..sources.model import BYTE, CONTROL, NORMAL, UNKNOWN, Model, NormalizerSpe
 from .unigram import Unigram
 
 ENCODED = "array<struct<piece: binary, id: int>>"
+CACHED_PARTS = 200_000
 
 
 def _python(ranges: str) -> str:
@@ -41,7 +45,15 @@ def split_python(text: str, cut: int = 0) -> list[str]:
     return _SPLIT[1 if cut == 1 else 0].findall(text)
 
 
+_ENDS = re.compile(f"{SENTINEL}+\\Z")
+_RUNS = re.compile(" +")
+
+
 def normalize_python(text: str | bytes, spec: NormalizerSpec, charsmap: CharsMap | None = None) -> bytes:
+    if isinstance(text, str) and spec.name not in NAMES and spec.space == SENTINEL:
+        if spec.reconstruct:
+            return text.replace(" ", SENTINEL).encode("utf-8", "surrogatepass")
+        return _ENDS.sub("", _RUNS.sub(SENTINEL, text.lstrip(" "))).encode("utf-8", "surrogatepass")
     raw = text.encode() if isinstance(text, str) else bytes(text)
     return normalize_offsets(raw, charsmap or CharsMap.named(spec.name), spec.reconstruct, spec.space)[0]
 
@@ -72,26 +84,55 @@ class Codec:
                 if p.type == NORMAL:
                     weights[p.piece] = p.score
             self.unigram = Unigram(weights)
+        self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.cache: dict[bytes, list[tuple[bytes, int]]] = {}
+        self.spelling: dict[int, bytes] | None = None
+
+    def parts(self, s: bytes) -> list[bytes]:
+        """Cut a normalised text where no piece can reach across."""
+        out: list[bytes] = []
+        held = b""
+        for t in split_python(s.decode("utf-8", "surrogatepass"), 1):
+            b = t.encode("utf-8", "surrogatepass")
+            if held and held[-1:] + b[:1] not in self.inner:
+                out.append(held)
+                held = b
+            else:
+                held += b
+        return [*out, held] if held else out
+
+    def whole(self, s: bytes, encode: Callable[[bytes], list[tuple[bytes, int]]]) -> list[tuple[bytes, int]]:
+        """``encode`` of the parts of a text, joined."""
+        out: list[tuple[bytes, int]] = []
+        for part in self.parts(s):
+            got = self.cache.get(part)
+            if got is None:
+                if len(self.cache) >= CACHED_PARTS:
+                    self.cache.clear()
+                got = self.cache[part] = encode(part)
+            out += got
+        return out
 
     def normalize(self, text: str | bytes) -> bytes:
         return normalize_python(text, self.model.normalizer, self.map)
 
     def encode(self, text: str | bytes) -> list[tuple[bytes, int]]:
-        raw = text.encode() if isinstance(text, str) else bytes(text)
+        if self.method == "naive" and not self.naive_normalize:
+            return self._naive(text.encode() if isinstance(text, str) else bytes(text))
+        s = self.normalize(text)
         if self.method == "naive":
-            return self._naive(self.normalize(raw) if self.naive_normalize else raw)
-        s = self.normalize(raw)
+            return self._naive(s)
         if not s:
             return []
         if self.method == "piece":
             if self.cutter is None:
-                return self._piece(s)
+                return self.whole(s, self._piece)
             out = []
             for t in split_python(s.decode(), self.model.normalizer.cut):
                 for part in self.cutter(t) if _IS_HAN.match(t) else [t]:
                     out += self._piece(part.encode())
             return out
-        return self._agenda(s) if self.method == "sentencepiece" else self._lattice(s)
+        return self.whole(s, self._agenda if self.method == "sentencepiece" else self._lattice)
 
     def tokenize(self, text: str | bytes) -> list[bytes]:
         return [p for p, _ in self.encode(text)]
@@ -178,45 +219,53 @@ class Codec:
                 out.append((t, i))
         return out
 
+    def spelled(self, i: int) -> bytes:
+        """What an id within range decodes to."""
+        p, kind = self.pieces[i], self.types[i]
+        if kind == BYTE:
+            b = piece_to_byte(p)
+            return bytes([b]) if b >= 0 else p
+        return b"" if kind in (UNKNOWN, CONTROL) else p
+
     def decode(self, ids: list[int]) -> bytes:
-        out = bytearray()
-        n = len(self.pieces)
         if self.method == "naive":
-            return b"".join(self.pieces[i] for i in ids if 0 <= i < n)
-        for i in ids:
-            if not 0 <= i < n:
-                if self.unk >= 0:
-                    out += self.pieces[self.unk]
-            elif self.types[i] == BYTE:
-                b = piece_to_byte(self.pieces[i])
-                out += bytes([b]) if b >= 0 else self.pieces[i]
-            elif self.types[i] not in (UNKNOWN, CONTROL):
-                out += self.pieces[i]
+            return b"".join(self.pieces[i] for i in ids if 0 <= i < len(self.pieces))
+        if self.spelling is None:
+            self.spelling = {i: self.spelled(i) for i in range(len(self.pieces))}
+        other = self.pieces[self.unk] if self.unk >= 0 else b""
+        out = b"".join([self.spelling.get(i, other) for i in ids])
         space = self.model.normalizer.space.encode()
-        return bytes(out).replace(space, b" ") if space else bytes(out)
+        return out.replace(space, b" ") if space else out
 
 
-def encode(text: Column, model: Model, cutter: Callable[[str], list[str]] | None = None) -> Column:
-    """ARRAY<STRUCT<piece, id>> of a text column; null stays null."""
+def _encoder(text: Column, model: Model, cutter: Callable[[str], list[str]] | None, kind: str, build: Callable) -> Column:
     spark = ship(SparkSession.active())
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value, cutter)
         for s in batches:
-            seen = {x: [{"piece": p, "id": i} for p, i in codec.encode(x)] for x in s.dropna().unique()}
-            yield s.map(lambda x: seen.get(x))
+            rows = [None if x is None else codec.encode(x) for x in s.to_pylist()]
+            off = np.zeros(len(rows) + 1, np.int32)
+            np.cumsum([len(r or ()) for r in rows], out=off[1:])
+            off_ = pa.array(off, mask=np.array([*(r is None for r in rows), False]))
+            yield pa.ListArray.from_arrays(off_, build([x for r in rows if r for x in r]))
 
     return run(text)
 
 
+def encode(text: Column, model: Model, cutter: Callable[[str], list[str]] | None = None) -> Column:
+    """ARRAY<STRUCT<piece, id>> of a text column; null stays null."""
+    return _encoder(text, model, cutter, ENCODED, lambda x: pa.StructArray.from_arrays([pa.array([p for p, _ in x], pa.binary()), pa.array([i for _, i in x], pa.int32())], names=["piece", "id"]))
+
+
 def encode_ids(text: Column, model: Model, cutter: Callable[[str], list[str]] | None = None) -> Column:
-    return F.transform(encode(text, model, cutter), lambda x: x["id"])
+    return _encoder(text, model, cutter, "array<int>", lambda x: pa.array([i for _, i in x], pa.int32()))
 
 
 def tokenize(text: Column, model: Model, cutter: Callable[[str], list[str]] | None = None) -> Column:
-    return F.transform(encode(text, model, cutter), lambda x: x["piece"])
+    return _encoder(text, model, cutter, "array<binary>", lambda x: pa.array([p for p, _ in x], pa.binary()))
 
 
 def decode(ids: Column, model: Model) -> Column:
@@ -224,11 +273,11 @@ def decode(ids: Column, model: Model) -> Column:
     spark = ship(SparkSession.active())
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value)
         for s in batches:
-            yield s.map(lambda x: None if x is None else codec.decode(list(x)).decode("utf-8", "replace"))
+            yield pa.array([None if x is None else codec.decode(x).decode("utf-8", "replace") for x in s.to_pylist()], pa.string())
 
     return run(ids)
 
@@ -243,10 +292,10 @@ def cut_column(text: Column, cut: int, weights: dict[bytes, float]) -> Column:
     spark = ship(SparkSession.active())
     shared = spark.sparkContext.broadcast(Unigram.cutter(weights))
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
         u = shared.value
-        return s.map(lambda row: None if row is None else [x for t in row for x in ([b.decode() for b in u.tokenize(t.encode())] if _IS_HAN.match(t) else [t])])
+        return pa.array([None if row is None else [x for t in row for x in ([b.decode() for b in u.tokenize(t.encode())] if _IS_HAN.match(t) else [t])] for row in s.to_pylist()], pa.list_(pa.string()))
 
     return run(split_text(text, cut))
 
@@ -256,8 +305,9 @@ def unigram_tokenize(text: Column, weights: dict[str, float], fallback: float =
     spark = ship(SparkSession.active())
     shared = spark.sparkContext.broadcast(Unigram({w.encode(): f for w, f in weights.items()}, fallback))
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else [t.decode("utf-8", "replace") for t in shared.value.tokenize(x.encode())])
+    @F.arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
+        u = shared.value
+        return pa.array([None if x is None else [t.decode("utf-8", "replace") for t in u.tokenize(x.encode())] for x in s.to_pylist()], pa.list_(pa.string()))
 
     return run(text)

@@ -183,6 +183,12 @@ def words_of(lines: DataFrame, normalizer: NormalizerSpec, min_count: int = 0, c
     return out.where(F.col("freq") >= min_count) if min_count > 1 else out
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """Spread a small but costly table over all tasks; adaptive execution would join its partitions by size."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], shared: object) -> DataFrame:
     """(piece binary, cnt) of cutting every piece of ``pieces`` and adding up; ``shared`` is broadcast."""
     spark = ship(pieces.sparkSession)
@@ -197,7 +203,7 @@ def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], s
                         sums[t] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["piece", "cnt"])
 
-    return pieces.select("piece", "cnt").mapInArrow(run, "piece binary, cnt long").groupBy("piece").agg(F.sum("cnt").cast("long").alias("cnt"))
+    return evenly(pieces.select("piece", "cnt")).mapInArrow(run, "piece binary, cnt long").groupBy("piece").agg(F.sum("cnt").cast("long").alias("cnt"))
 
 
 def _collected(df: DataFrame) -> dict[bytes, int]:

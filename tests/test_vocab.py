@@ -225,3 +225,16 @@ def test_coverage_and_rare_chars(spark):
     assert [rows[c]["required"] for c in "abcz"] == [True, True, False, False]
     got = {(r["word"], r["replaced"]) for r in counting.replace_rare_chars(words, 0.9).collect()}
     assert got == {("aab", "aab"), ("ac", "a▅"), ("z", "▅")}
+
+
+@pytest.mark.parametrize("method", ["piece", "sentencepiece", "bytepiece"])
+def test_encoding_in_parts_equals_the_whole(lines, method):
+    import random
+
+    codec = codecs.Codec(train(lines, method, 300, min_count=1))
+    whole = {"piece": codec._piece, "sentencepiece": codec._agenda, "bytepiece": codec._lattice}[method]
+    rng = random.Random(7)
+    for _ in range(400):
+        s = "".join(rng.choice(["the", "cat", " ", " ", "rat", "h", "a", "é", "，", "<s>", "▁", ",", "'", "1"]) for _ in range(rng.randint(0, 20)))
+        n = codec.normalize(s)
+        assert codec.encode(s) == (whole(n) if n else [])
