@@ -1,7 +1,7 @@
 """Operator 1: language identification by Bayesian evidence fusion.
 
 Four kinds of evidence are multiplied for each text:
-* the text's likelihood, from byte trigrams hashed to 2**16 values; the multinomial model of each
+* the text's likelihood, from byte trigrams without digits, hashed to 2**16 values; the multinomial model of each
   language is fitted to labelled documents, at most ``FIT_ROWS`` of them (those of least hash);
   likelihoods are tempered to the weight of ``EFFECTIVE`` trigrams;
 * the declared markup language and the address suffix: P(value | language), from grouped counts over
@@ -11,7 +11,8 @@ Four kinds of evidence are multiplied for each text:
 Counts, priors and evidence cover all rows; only the fit is bounded.
 
 A text is accepted when it has letters, its best posterior reaches ``ACCEPT`` and its trigrams are not
-far less likely than those of any fitted document of that language (``MARGIN`` below the least).
+far less likely than those of any fitted document of that language: their mean log-probability, with an
+allowance of ``NOISE`` / sqrt(n) for short texts, is at most ``MARGIN`` below the least of these.
 
 Defined results: a null or empty text, or one without letters, gets language 'und' and is not
 accepted; null markup, suffix or host counts as the value ''; repeated rows count as often as they
@@ -21,6 +22,7 @@ ignored, or kept by :func:`filter_language`. Equal posteriors: the first languag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +33,23 @@ from pyspark.sql import functions as F
 from ._common import masked, pick, ship, stored, with_row_key
 from ._tokens import slices, string_buffers
 
-FIT_ROWS, EFFECTIVE, STRENGTH, ACCEPT, MARGIN, CLEAR = 2000, 64.0, 8.0, 0.5, 1.0, 4.0
+FIT_ROWS, EFFECTIVE, STRENGTH, ACCEPT, MARGIN, NOISE, CLEAR = 2000, 64.0, 8.0, 0.5, 1.0, 12.0, 4.0
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xF5] = True
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+NO_TRIGRAM = 1 << 16
 
 
 def trigrams(raw: np.ndarray) -> np.ndarray:
-    """Hashed byte trigrams at each position but the last two."""
-    b = _LOWER[raw]
-    return (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    """Hashed byte trigrams at each position but the last two; NO_TRIGRAM where there is a digit."""
+    b, digit = _LOWER[raw], _DIGIT[raw]
+    h = (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    h[digit[:-2] | digit[1:-1] | digit[2:]] = NO_TRIGRAM
+    return h
 
 
 def fit(rows: list[tuple[str, str]]) -> dict:
@@ -53,11 +60,14 @@ def fit(rows: list[tuple[str, str]]) -> dict:
     for lang, text in rows:
         raw = np.frombuffer(text.encode(), np.uint8)
         if len(raw) >= 3:
-            c = np.bincount(trigrams(raw), minlength=1 << 16)
-            counts[langs.index(lang)] += c
-            seen.append((langs.index(lang), trigrams(raw)))
+            t = trigrams(raw)
+            t = t[t != NO_TRIGRAM]
+            if len(t):
+                counts[langs.index(lang)] += np.bincount(t, minlength=1 << 16)
+                seen.append((langs.index(lang), t))
     logp = np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
-    least = np.array([min([float(logp[i][t].mean()) for k, t in seen if k == i], default=-50.0) for i in range(len(langs))])
+    least = np.array([min([float(logp[i][t].mean()) + NOISE / math.sqrt(len(t)) for k, t in seen if k == i], default=-50.0) for i in range(len(langs))])
+    logp = np.concatenate([logp, np.zeros((len(langs), 1))], axis=1)
     return {"langs": langs, "logp": logp.astype(np.float32), "least": least}
 
 
@@ -86,9 +96,9 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             raw, off = string_buffers(batch.column(batch.schema.get_field_index(text)))
             n = len(off) - 1
-            sums, size, letters = np.zeros((n, k)), np.maximum(np.diff(off) - 2, 0), np.zeros(n, bool)
+            sums, size, letters = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros(n, bool)
             for a, b, r, o in slices(raw, off, 1 << 18):
-                live = np.flatnonzero(size[a:b] > 0)
+                live = np.flatnonzero(np.diff(o) > 2)
                 if not len(live):
                     continue
                 idx = trigrams(r)
@@ -98,12 +108,13 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 cut = bounds[:-1] if bounds[-1] == len(idx) else bounds
                 for lang in range(k):
                     sums[a + live, lang] = np.add.reduceat(logp[lang][idx], cut, dtype=np.float64)[::2]
+                size[a + live] = np.add.reduceat(idx != NO_TRIGRAM, cut, dtype=np.int64)[::2]
                 has = np.concatenate([[0], np.cumsum(_LETTER[r])])
                 letters[a:b] = has[o[1:]] > has[o[:-1]]
             ok = letters & (size > 0) & (k > 0)
             mean = sums / np.maximum(size, 1)[:, None]
             best = mean.argmax(1) if k else np.zeros(n, int)
-            fits = mean[np.arange(n), best] >= m["least"][best] - MARGIN if k else np.zeros(n, bool)
+            fits = mean[np.arange(n), best] + NOISE / np.sqrt(np.maximum(size, 1)) >= m["least"][best] - MARGIN if k else np.zeros(n, bool)
             lls = mean * np.minimum(size, EFFECTIVE)[:, None]
             flat = pa.FixedSizeListArray.from_arrays(pa.array(lls.ravel()), k).cast(pa.list_(pa.float64())) if k else pa.array([[]] * n, pa.list_(pa.float64()))
             null = pa.nulls(n, pa.list_(pa.float64()))
