@@ -39,6 +39,33 @@ def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.binary()))], names=["dest", "chunk", "ord", "kind", "blob"])
 
 
+def labels(n: int) -> np.ndarray:
+    """n distinct ints, the i-th of which Spark's hash partitioning puts into partition i of n.
+
+    Plain bucket numbers would fall on the partitions at random, up to four or five on one. With another number
+    of partitions these are as good as any numbers.
+    """
+
+    def rotate(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+    out, at = np.full(n, -1, np.int64), 0
+    while (out < 0).any():
+        x = np.arange(at, at + 16 * n + 64, dtype=np.uint32)
+        h = np.uint32(42) ^ (rotate(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = rotate(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, mult in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(mult)
+        h ^= h >> np.uint32(16)
+        part = np.mod(h.view(np.int32).astype(np.int64), n)
+        where, first = np.unique(part, return_index=True)
+        new = out[where] < 0
+        out[where[new]] = x[first[new]]
+        at += len(x)
+    return out.astype(np.int32)
+
+
 def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
     """docs(__rid, doc_id, text[, extra]) -> message rows.
 
@@ -46,6 +73,7 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
     positions of each row), covering the rows in order.
     """
     ship(docs.sparkSession)
+    label = labels(n_buckets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -68,7 +96,7 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
             rid, did, null, count = rid[by], did[by], null[by], count[by]
             ord_ = int(did[0]) if len(did) and not null[0] else (1 << 62)
             notes = [note[i] for i in by] if note else None
-            rows = [((part + 7919 * seq) % n_buckets, chunk, ord_, 1, pack((rid, did, null, count, bucket, notes)))]
+            rows = [(int(label[(part + 7919 * seq) % n_buckets]), chunk, ord_, 1, pack((rid, did, null, count, bucket, notes)))]
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             key = key[order]
@@ -76,7 +104,7 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
             for b in range(n_buckets):
                 if cut[b] < cut[b + 1]:
                     blob = key[cut[b] : cut[b + 1]].tobytes()
-                    rows.append((b, chunk, ord_, 0, blob))
+                    rows.append((int(label[b]), chunk, ord_, 0, blob))
                     size += len(blob)
                     if size > 4_000_000:
                         yield _message_batch(rows)
@@ -115,6 +143,7 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
     ``assemble(rid, doc_id, doc_id is null, counts, first flags, second flags, extras)`` returns a dict of columns.
     """
     n_buckets = n_buckets or buckets(docs.sparkSession)
+    bucket_of = {int(x): b for b, x in enumerate(labels(n_buckets))}
 
     def answer(t: pa.Table) -> pa.Table:
         kind, chunk, ord_ = (t[c].to_numpy() for c in ("kind", "chunk", "ord"))
@@ -143,7 +172,8 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
         a, b = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
         for i in np.flatnonzero(kind == 0):
             if blobs[i]:
-                at = order[cut[dest[i]] : cut[dest[i] + 1]]
+                b_ = bucket_of[int(dest[i])]
+                at = order[cut[b_] : cut[b_ + 1]]
                 half = np.frombuffer(blobs[i], np.uint8)
                 k = (len(at) + 7) // 8
                 if len(half) != 2 * k:

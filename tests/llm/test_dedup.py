@@ -170,3 +170,13 @@ def test_window_hashes_depend_on_words_only():
     (h,) = window_hashes(w.hashes(), (3,))
     assert h[0] == h[3]
     assert len(set(h.tolist())) == 4
+
+
+def test_labels_fill_partitions_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm._exchange import labels
+
+    for n in (1, 12, 51):
+        rows = spark.createDataFrame([(int(x),) for x in labels(n)], "x int").select(F.pmod(F.hash("x"), F.lit(n))).collect()
+        assert [r[0] for r in rows] == list(range(n))
