@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ._tokens import NORMAL_CLASS
+from .toxicity import ADDRESS, CONTEXT, EDIT_POINTS, LEXICON, QUOTES, REPORTING, SCORE, STRETCH, UNIT, edits_of
 
 WORDS = r"string_split_regex({text}, '[ \t\n\r\f\x0B]+')"
 
@@ -25,6 +26,20 @@ HIT_PARTS = "\n".join(
     f"{'UNION ALL ' if n > 5 else ''}SELECT doc_id, {n} AS width, i - 1 AS p, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM docs WHERE len(w) >= {n} AND {n} IN (SELECT width FROM grams))" for n in (5, 6, 7, 8)
 )
 
+OTHER_CLASS = "[^" + NORMAL_CLASS[1:]
+TERMS = ", ".join(f"('{t}', {i}, {edits_of(t)})" for i, t in enumerate(LEXICON))
+
+
+def _strings(values: frozenset[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in sorted(values)) + "]"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+QUOTED = " OR ".join(f"(contains(after, {_text(mark)}) AND regexp_matches(before, {_text(pattern)}))" for pattern, mark in QUOTES)
+
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": f"""WITH {_windows(50)}
 SELECT doc_id, min(p)::INTEGER AS start_token, (max(p) + 50)::INTEGER AS end_token, count(*)::INTEGER AS repeated_windows, (count(*) FILTER (r = 1))::INTEGER AS first_windows FROM rep GROUP BY doc_id, island""",
@@ -49,4 +64,21 @@ near AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id
 e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
 reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach AS r JOIN e ON r.y = e.x)
 SELECT x AS doc_id, min(y) AS kept_doc_id FROM reach GROUP BY x HAVING min(y) < x""",
+    "op8_toxicity": f"""WITH lex(term, idx, k) AS (VALUES {TERMS}),
+p AS (SELECT doc_id, regexp_extract_all(lower(text), '{NORMAL_CLASS}|{OTHER_CLASS}') AS x FROM documents),
+f AS (SELECT doc_id, x, CASE WHEN regexp_matches(x[1], '^{NORMAL_CLASS}') THEN 1 ELSE 2 END AS f FROM p WHERE len(x) > 0),
+pieces AS (SELECT doc_id, f, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM f),
+words AS (SELECT DISTINCT s FROM pieces WHERE (j - f) % 2 = 0),
+cand AS (SELECT s, term, idx, d FROM (SELECT s, term, idx, k, levenshtein(regexp_replace(s, '[^\\x00-\\x7F]', '#', 'g'), term) AS d FROM words, lex WHERE abs(length(s) - length(term)) <= k)
+  WHERE d <= k QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, idx) = 1),
+spots AS (SELECT q.doc_id, q.j, (q.j - q.f) // 2 AS n, c.term, c.idx, c.d FROM pieces AS q JOIN cand AS c ON q.s = c.s WHERE (q.j - q.f) % 2 = 0),
+ctx AS (SELECT s.*, array_to_string(x[CASE WHEN n <= {CONTEXT} THEN 1 ELSE j - {2 * CONTEXT} END:j - 1], '') AS before, array_to_string(x[j + 1:j + {2 * CONTEXT + 1}], '') AS after,
+  x[greatest(j - {2 * CONTEXT}, 1):j + {2 * CONTEXT}] AS near FROM spots AS s JOIN f USING (doc_id)),
+rated AS (SELECT doc_id, n, term, idx, d, q, ([{', '.join(map(str, EDIT_POINTS))}][d + 1] * CASE WHEN q THEN 1 ELSE 4 END * CASE WHEN list_has_any(near, {_strings(REPORTING)}) THEN 1 ELSE 2 END
+  * CASE WHEN list_has_any(near, {_strings(ADDRESS)}) THEN 3 ELSE 2 END) // 16 AS points FROM (SELECT *, ({QUOTED}) AS q FROM ctx)),
+part AS (SELECT h.doc_id, h.n, o.idx, o.d > 0 AS missed, CASE WHEN o.d > 0 THEN max(o.points) ELSE sum(o.points) END AS points
+  FROM rated AS h JOIN rated AS o ON o.doc_id = h.doc_id AND o.n <= h.n AND h.n - o.n < {STRETCH} GROUP BY h.doc_id, h.n, o.idx, missed, o.d > 0),
+best AS (SELECT doc_id, max(points) AS top FROM (SELECT doc_id, n, sum(points) AS points FROM part GROUP BY doc_id, n HAVING bool_or(NOT missed) OR count(*) > 1) GROUP BY doc_id)
+SELECT doc_id, top::DOUBLE / {UNIT} AS score, count(*)::INTEGER AS n_hits, (count(*) FILTER (d > 0))::INTEGER AS n_misspelled, (count(*) FILTER (q))::INTEGER AS n_quoted,
+  string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM rated JOIN best USING (doc_id) WHERE top::DOUBLE / {UNIT} >= {SCORE} GROUP BY doc_id, top""",
 }

@@ -16,6 +16,7 @@ order; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,22 @@ LEXICON = (
 REPORTING = frozenset("said says say quoted quote quotes called calls wrote writes word words term terms phrase slur insult insults defined means meaning quotation citation cited".split())
 ADDRESS = frozenset("you your youre yours yourself u ur du dich dir ihr euch tu te toi vous eres".split())
 CONTEXT, STRETCH, SCORE = 8, 200, 1.5
-_EDIT_WEIGHT = (1.0, 0.6, 0.4)
+UNIT = 10_000  # points are whole numbers, so sums do not depend on their order
+EDIT_POINTS = (UNIT, 6_000, 4_000)
 OTHER, SKIP = 26, 27
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[97:123] = np.arange(26)
 _CLASS[0x80:0xC0] = SKIP  # continuation bytes belong to the character before
-OPEN_QUOTES, CLOSE_QUOTES = ('"', "“", "«", "„", "‘", "'"), ('"', "”", "»", "“", "’", "'")
+# (what stands before a quoted word, in the context; the mark that must follow)
+QUOTES = (
+    (r'^[^"]*"(?:[^"]*"[^"]*")*[^"]*$', '"'),
+    (r"“[^”]*$", "”"),
+    (r"«[^»]*$", "»"),
+    (r"„[^“]*$", "“"),
+    (r"(?:^|[ \t\n\f\r])‘[^’]*$", "’"),
+    (r"(?:^|[ \t\n\f\r])'[^']*$", "'"),
+)
+_QUOTES = tuple((re.compile(before.removesuffix("$") + r"\Z"), after) for before, after in QUOTES)
 
 
 def edits_of(term: str) -> int:
@@ -134,38 +145,30 @@ def match(words: Words, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hit[order], term[st[order]].astype(int), m["cost"][st[order]].astype(int)
 
 
-def context_score(words: Words, i: int, lo: int, hi: int, edits: int) -> tuple[float, bool]:
-    """Points of the hit at word i of the text of words lo..hi, and whether it is quoted."""
+def context_score(words: Words, i: int, lo: int, hi: int, begin: int, end: int, edits: int) -> tuple[int, bool]:
+    """Points of the hit at word i of the text of words lo..hi and bytes begin..end, and whether it is quoted."""
     a, b = max(lo, i - CONTEXT), min(hi, i + CONTEXT + 1)
     raw = words.raw
-    before = raw[words.starts[a] : words.starts[i]].tobytes().decode("utf-8", "ignore")
-    stop = words.starts[b] if b < hi else (words.ends[b - 1] + 3)
-    after = raw[words.ends[i] : stop].tobytes().decode("utf-8", "ignore")
-    quoted = False
-    for o, c in zip(OPEN_QUOTES, CLOSE_QUOTES):
-        x, y = before.rfind(o), after.find(c)
-        if x >= 0 and y >= 0 and (c == o or c not in before[x + 1 :]) and (o not in "'‘" or (x == 0 or before[x - 1 : x].isspace())):
-            quoted = o != c or before.count(o) % 2 == 1
-        if quoted:
-            break
-    near = {raw[s:e].tobytes().decode("utf-8", "ignore") for s, e in zip(words.starts[a:b], words.ends[a:b])}
-    score = _EDIT_WEIGHT[edits] * (0.25 if quoted else 1.0) * (0.5 if near & REPORTING else 1.0) * (1.5 if near & ADDRESS else 1.0)
-    return score, quoted
-
-
-def judge(hits: list[tuple[int, int, int, float, bool]]) -> float:
+    before = raw[words.starts[a] if a > lo else begin : words.starts[i]].tobytes().decode()
+    after = raw[words.ends[i] : words.starts[b] if b < hi else end].tobytes().decode()
+    quoted = any(close in after and opened.search(before) for opened, close in _QUOTES)
+    near = {raw[s:e].tobytes().decode() for s, e in zip(words.starts[a:b], words.ends[a:b])}
+    return EDIT_POINTS[edits] * (1 if quoted else 4) * (1 if near & REPORTING else 2) * (3 if near & ADDRESS else 2) // 16, quoted
+
+
+def judge(hits: list[tuple[int, int, int, int, bool]]) -> int:
     """Most points in a stretch, of (word, term, edits, points, quoted) in order.
 
     In a stretch, the misspellings of one term count once, and only beside an exact hit or one of another term.
     """
-    best, a = 0.0, 0
+    best, a = 0, 0
     for b, h in enumerate(hits):
         while h[0] - hits[a][0] >= STRETCH:
             a += 1
-        exact, near = 0.0, {}
+        exact, near = 0, {}
         for _, term, edits, points, _ in hits[a : b + 1]:
             if edits:
-                near[term] = max(near.get(term, 0.0), points)
+                near[term] = max(near.get(term, 0), points)
             else:
                 exact += points
         if exact or len(near) > 1:
@@ -173,11 +176,11 @@ def judge(hits: list[tuple[int, int, int, float, bool]]) -> float:
     return best
 
 
-RESULT = "doc_id long, score double, n_hits int, n_misspelled int, n_quoted int, terms array<string>"
+RESULT = "doc_id long, score double, n_hits int, n_misspelled int, n_quoted int, terms string"
 
 
 def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, threshold: float = SCORE) -> DataFrame:
-    """The toxic ones of ``docs(doc_id, text)``: doc_id, score, n_hits, n_misspelled, n_quoted, terms (sorted)."""
+    """The toxic ones of ``docs(doc_id, text)``: doc_id, score, n_hits, n_misspelled, n_quoted, terms (sorted, joined by commas)."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(automaton(tuple(terms)))
@@ -195,12 +198,12 @@ def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, threshold
                 cut = np.flatnonzero(np.diff(doc, prepend=-1))
                 for x, y in zip(cut, [*cut[1:], len(doc)]):
                     lo, hi = int(words.doc[doc[x]]), int(words.doc[doc[x] + 1])
-                    hits = [(int(hit[i]), int(term[i]), int(cost[i]), *context_score(words, int(hit[i]), lo, hi, int(cost[i]))) for i in range(x, y)]
-                    score = judge(hits)
+                    hits = [(int(hit[i]), int(term[i]), int(cost[i]), *context_score(words, int(hit[i]), lo, hi, int(o[doc[x]]), int(o[doc[x] + 1]), int(cost[i]))) for i in range(x, y)]
+                    score = judge(hits) / UNIT
                     if score >= threshold:
-                        out.append((ids[a + int(doc[x])].as_py(), round(score, 4), len(hits), sum(h[2] > 0 for h in hits), sum(h[4] for h in hits), sorted({terms[h[1]] for h in hits})))
+                        out.append((ids[a + int(doc[x])].as_py(), score, len(hits), sum(h[2] > 0 for h in hits), sum(h[4] for h in hits), ",".join(sorted({terms[h[1]] for h in hits}))))
             cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "score", "n_hits", "n_misspelled", "n_quoted", "terms"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(run, RESULT)
