@@ -6,6 +6,10 @@ groups equal keys with numpy and answers each message with two bits per key. The
 positions is not sent with the keys: a directory row of the chunk (documents, window counts, bucket
 of each position) travels beside them and, with the answers, is enough to place every bit. So a
 position costs its key and about log2(buckets) bits of shuffle, and nothing is collected or cached.
+
+Equal keys of a chunk are sent once, with bit 0 (``MULTI``) set, so a passage that occurs a billion times
+loads its bucket with one key a chunk. Keys therefore leave bit 0 free; bits of ``either`` are facts about
+a position that are joined by OR and do not make keys differ.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from ._tokens import string_buffers
 
 MESSAGE = "dest int, chunk long, ord long, kind byte, blob binary"
 CHUNK_KEYS = 4_000_000
+MULTI = 1
 
 
 def pack(x: object) -> bytes:
@@ -66,7 +71,29 @@ def labels(n: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
+def combine(bucket: np.ndarray, key: np.ndarray, either: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mark in ``key`` (in place) the first of equal keys, and return the others with the place of their first."""
+    kind = key.dtype.type
+    same_bits = key & kind(~(MULTI | either) & int(np.iinfo(key.dtype).max))
+    order = np.argsort(same_bits)
+    k, b = same_bits[order], bucket[order]
+    again = np.concatenate([[False], (k[1:] == k[:-1]) & (b[1:] == b[:-1])]) if len(k) else np.zeros(0, bool)
+    starts = np.flatnonzero(~again)
+    sizes = np.diff(np.concatenate([starts, [len(k)]]))
+    many = np.flatnonzero(sizes > 1)
+    if not len(many):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    inside = np.repeat(sizes > 1, sizes)
+    spots = order[inside]
+    at = np.cumsum(sizes[many]) - sizes[many]
+    first = np.minimum.reduceat(spots, at)
+    key[first] |= np.bitwise_or.reduceat(key[spots], at) & kind(either) | kind(MULTI)
+    of = np.repeat(first, sizes[many])
+    rest = spots != of
+    return spots[rest].astype(np.int32), of[rest].astype(np.int32)
+
+
+def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0) -> DataFrame:
     """docs(__rid, doc_id, text[, extra]) -> message rows.
 
     ``keys(raw, offsets, extra)`` yields (first row, bucket of each position, key of each position,
@@ -96,7 +123,11 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
             rid, did, null, count = rid[by], did[by], null[by], count[by]
             ord_ = int(did[0]) if len(did) and not null[0] else (1 << 62)
             notes = [note[i] for i in by] if note else None
-            rows = [(int(label[(part + 7919 * seq) % n_buckets]), chunk, ord_, 1, pack((rid, did, null, count, bucket, notes)))]
+            copy, of = combine(bucket, key, either)
+            sent = np.ones(len(key), bool)
+            sent[copy] = False
+            bucket, key = bucket[sent], key[sent]
+            rows = [(int(label[(part + 7919 * seq) % n_buckets]), chunk, ord_, 1, pack((rid, did, null, count, bucket, copy, of, notes)))]
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             key = key[order]
@@ -136,10 +167,11 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(scan, MESSAGE)
 
 
-def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callable, schema: str, dtype: str = "uint64", n_buckets: int | None = None) -> DataFrame:
+def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callable, schema: str, dtype: str = "uint64", n_buckets: int | None = None, either: int = 0) -> DataFrame:
     """Run keys -> buckets -> answers -> chunks.
 
-    ``judge(keys)`` gets the keys of one bucket in table order and returns two boolean arrays.
+    ``judge(keys)`` gets the keys of one bucket in table order and returns two boolean arrays. The first is
+    the answer for all positions of a key in a chunk, the second for the first of them.
     ``assemble(rid, doc_id, doc_id is null, counts, first flags, second flags, extras)`` returns a dict of columns.
     """
     n_buckets = n_buckets or buckets(docs.sparkSession)
@@ -166,7 +198,7 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
         kind, dest = t["kind"].to_numpy(), t["dest"].to_numpy()
         blobs = t["blob"].to_pylist()
         here = int(np.flatnonzero(kind == 1)[0])
-        rid, did, null, count, bucket, notes = unpack(blobs[here])
+        rid, did, null, count, bucket, copy, of, notes = unpack(blobs[here])
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         a, b = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
@@ -180,10 +212,17 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
                     raise RuntimeError("the scan gave other texts than before; store the input first")
                 a[at] = np.unpackbits(half[:k], count=len(at)).astype(bool)
                 b[at] = np.unpackbits(half[k:], count=len(at)).astype(bool)
+        if len(copy):
+            sent = np.ones(len(a) + len(copy), bool)
+            sent[copy] = False
+            wide_a, wide_b = np.zeros(len(sent), bool), np.zeros(len(sent), bool)
+            wide_a[sent], wide_b[sent] = a, b
+            wide_a[copy] = wide_a[of]
+            a, b = wide_a, wide_b
         cols = assemble(rid, did, null, count, a, b, notes)
         return pa.table(cols)
 
-    sent = messages(docs, keys, n_buckets)
+    sent = messages(docs, keys, n_buckets, either)
     replies = sent.groupBy("dest").applyInArrow(answer, MESSAGE)
     return replies.groupBy("chunk").applyInArrow(gather, schema)
 

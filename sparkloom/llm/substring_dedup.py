@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import buckets, cut, pick, with_row_key
-from ._exchange import doc_table, exchange
+from ._exchange import MULTI, doc_table, exchange
 from ._tokens import Words, runs, slices, window_hashes, window_starts
 from .suffix_dedup import refine, window_runs
 
 THRESHOLD = 50
+BLOCK = 2  # the bit of a key that says a reference block begins here
 
 
 def anchor_keys(block: int, n_buckets: int):
@@ -36,7 +37,7 @@ def anchor_keys(block: int, n_buckets: int):
             (h,) = window_hashes(words.hashes(), (block,))
             h = h[at]
             inside = at - np.repeat(words.doc[:-1], counts)
-            yield a, h % np.uint64(n_buckets), ((h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | (inside % block == 0).astype(np.uint32), counts
+            yield a, h % np.uint64(n_buckets), ((h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC)) | ((inside % block == 0).astype(np.uint32) << np.uint32(1)), counts
 
     return keys
 
@@ -46,11 +47,11 @@ def probe(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hit = np.zeros(len(keys), bool)
     order = np.argsort(keys)
     k = keys[order]
-    value = k >> 1
+    value = k >> 2
     start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     size = np.diff(np.concatenate([start, [len(k)]]))
-    has = np.maximum.reduceat(k & 1, start) if len(k) else k
-    hit[order] = np.repeat((size > 1) & (has > 0), size)
+    bits = np.bitwise_or.reduceat(k & 3, start) if len(k) else k
+    hit[order] = np.repeat(((size > 1) | (bits & MULTI > 0)) & (bits & BLOCK > 0), size)
     return hit, hit
 
 
@@ -64,7 +65,7 @@ def window_keys(threshold: int, n_buckets: int):
             spans = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 2) for x in extra[a:b]]
             counts = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
             at = np.concatenate([np.arange(x, y) + words.doc[i] for i, s in enumerate(spans) for x, y in s])
-            yield a, h[at] % np.uint64(n_buckets), h[at], counts
+            yield a, h[at] % np.uint64(n_buckets), h[at] & np.uint64(0xFFFFFFFFFFFFFFFE), counts
 
     return keys
 
@@ -91,7 +92,7 @@ def anchors(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 out.append(np.stack([s, e], 1).astype(np.int32).tobytes())
         return {"__rid": pa.array(out_rid, pa.int64()), "extra": pa.array(out, pa.binary())}
 
-    return exchange(doc_table(docs), anchor_keys(block, n), probe, assemble, "__rid long, extra binary", dtype="uint32", n_buckets=n)
+    return exchange(doc_table(docs), anchor_keys(block, n), probe, assemble, "__rid long, extra binary", dtype="uint32", n_buckets=n, either=BLOCK)
 
 
 def substring_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

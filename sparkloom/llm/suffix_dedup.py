@@ -5,7 +5,7 @@ words. A digit is a block of words: the first one deals the suffixes into hash b
 the second orders a bucket and drops suffixes that stand alone, the third orders only the survivors
 through the threshold. Groups that are equal at that depth are the repeated windows. Order within a
 digit is that of its 64-bit hash: which suffixes are equal does not depend on it. Digits two and
-three are 24 bits of the prefix and 40 bits of the whole window, besides the bucket's bits.
+three are 24 bits of the prefix and 39 bits of the whole window, besides the bucket's bits.
 
 Defined results: a null or empty text, or one shorter than the threshold, has no window; a null
 doc_id sorts last; repeated rows are separate documents; an empty table gives no rows; other columns
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import buckets, masked, pick, with_row_key
-from ._exchange import doc_table, exchange
+from ._exchange import MULTI, doc_table, exchange
 from ._rewrite import without_words
 from ._tokens import Words, slices, window_hashes, window_starts
 
@@ -32,7 +32,7 @@ SPANS = "__rid long, doc_id long, start_token int, end_token int, repeated_windo
 
 def suffix_keys(threshold: int, n_buckets: int):
     d0, d1 = max(1, threshold * 8 // 50), max(1, threshold * 24 // 50)
-    top, low = np.uint64(0xFFFFFF0000000000), np.uint64(0xFFFFFFFFFF)
+    top, low = np.uint64(0xFFFFFF0000000000), np.uint64(0xFFFFFFFFFE)
 
     def keys(raw: np.ndarray, off: np.ndarray, _: object) -> Iterator[tuple]:
         for a, _b, r, o in slices(raw, off):
@@ -47,14 +47,15 @@ def suffix_keys(threshold: int, n_buckets: int):
 def refine(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The second and third digit pass in a bucket: (in an equal group, first of its group)."""
     repeated, first = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    many = (keys & np.uint64(MULTI)).astype(bool)
     left = np.arange(len(keys))
-    for digit in (keys >> np.uint64(40), keys):
+    for digit in (keys >> np.uint64(40), keys >> np.uint64(1)):
         k = digit[left]
         order = np.argsort(k, kind="stable")
         k = k[order]
         same = k[1:] == k[:-1]
         again = np.concatenate([[False], same])
-        grouped = again | np.concatenate([same, [False]])
+        grouped = again | np.concatenate([same, [False]]) | many[left[order]]
         heads = left[order[grouped & ~again]]
         left = np.sort(left[order[grouped]])
         if not len(left):
