@@ -1,7 +1,8 @@
 """Operator 6: exact top-k search with a KD-tree in each shard.
 
 Median splits of a bounded sample (``SAMPLE`` vectors; it decides only how even the shards are) cut
-space into shards of about ``SHARD_ROWS`` vectors. Each shard builds a KD-tree: median splits on the
+space into shards of about ``SHARD_ROWS`` vectors, or into ``MAX_SHARDS`` larger ones, which bounds the
+boxes that are broadcast. Each shard builds a KD-tree: median splits on the
 widest side down to leaves of ``LEAF`` vectors, with the tight bounding box of every node. Every
 vector is a query. It is searched in its own shard first; its k-th distance there is propagated: only
 shards whose box is no farther are visited, with that distance as the bound from the start. A block
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import cut, pick, ship, with_row_key
 
-K, SHARD_ROWS, LEAF, SAMPLE, BLOCK = 10, 4096, 128, 65_536, 128
+K, SHARD_ROWS, MAX_SHARDS, LEAF, SAMPLE, BLOCK = 10, 4096, 4096, 128, 65_536, 128
 NONE = np.iinfo(np.int64).max
 
 
@@ -170,7 +171,7 @@ def top_k(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> Da
     v = v.withColumn("dims", F.size("x"))
     plans = {}
     for r in v.groupBy("dims").count().collect():  # one row for each length of vectors
-        shards = -(-r["count"] // shard_rows)
+        shards = min(MAX_SHARDS, -(-r["count"] // shard_rows))
         sample = v.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("rid"), "rid").limit(min(SAMPLE, 16 * shards)).select("x").collect() if shards > 1 else []
         plans[r["dims"]] = split_space(np.array([s["x"] for s in sample]).reshape(-1, r["dims"]), shards)
     layout = spark.sparkContext.broadcast(plans)
