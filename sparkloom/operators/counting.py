@@ -15,13 +15,12 @@ from ..functions.text import UNK_CHAR, chars, pretokenize
 def raw_count(lines: DataFrame, cut: int = 0, reconstruct: bool = False, max_bytes: int = 0, column: str = "line") -> DataFrame:
     """(token, freq) over ``lines``; tokens above ``max_bytes`` UTF-8 bytes are left out (0: none).
 
-    Equal lines are split once: the first aggregation is by line.
+    Only partial counts are shuffled, never lines.
     """
-    distinct = lines.where(F.length(column) > 0).groupBy(F.col(column).alias("line")).agg(F.count("*").alias("n"))
-    tokens = distinct.select("n", F.explode(pretokenize(F.col("line"), cut, reconstruct)).alias("token"))
+    tokens = lines.where(F.length(column) > 0).select(F.explode(pretokenize(F.col(column), cut, reconstruct)).alias("token"))
     if max_bytes:
         tokens = tokens.where(F.octet_length("token") <= max_bytes)
-    return tokens.groupBy("token").agg(F.sum("n").cast("long").alias("freq"))
+    return tokens.groupBy("token").agg(F.count("*").alias("freq"))
 
 
 def word_table(lines: DataFrame, cut: int = 0, min_count: int = 0, reconstruct: bool = False, column: str = "line") -> DataFrame:

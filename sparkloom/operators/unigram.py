@@ -74,34 +74,29 @@ def segment(word: bytes, logp: dict[bytes, float]) -> list[bytes]:
         for j in range(min(char_length(word[i]), n - i)):
             inside[i + j] = j
         i += char_length(word[i])
-    last = STATES - 1
-
-    def emit(at: int, j: int) -> float:
-        if j > at or (j == 0 and inside[at] > 0):
-            return -INF
-        return logp.get(word[at - j : at + 1], -INF)
-
-    now = [emit(0, j) for j in range(STATES)]
+    last, get = STATES - 1, logp.get
+    now = [get(word[:1], -INF)] + [-INF] * last
     back: list[list[int]] = []
     for at in range(1, n):
         nxt, route = [-INF] * STATES, [0] * STATES
-        for j in range(STATES):
-            if j < inside[at]:
-                nxt[j] = emit(at, j)
-                continue
-            here = emit(at, j)
-            best, who = -INF, -1
-            came = range(STATES) if j == 0 else (j - 1,) if j < last else (last - 1, last)
-            for p in came:
-                if p < inside[at - 1]:
-                    continue
-                if not (p == last and j == last) and at - j > 0 and inside[at - j] > 0:
-                    continue
-                s = now[p] + here
-                if s > best:
-                    best, who = s, p
-            if who >= 0:
-                nxt[j], route[j] = best, who
+        here, least = inside[at], inside[at - 1]
+        if here == 0:
+            best, who = -INF, 0
+            for p in range(least, STATES):
+                if now[p] > best:
+                    best, who = now[p], p
+            nxt[0], route[0] = best + get(word[at : at + 1], -INF), who
+        for j in range(max(here, least + 1, 1), min(last, at + 1)):
+            if now[j - 1] > -INF and not inside[at - j]:
+                nxt[j], route[j] = now[j - 1] + get(word[at - j : at + 1], -INF), j - 1
+        if at >= last:
+            best, who = -INF, 0
+            if least < last and not inside[at - last]:
+                best, who = now[last - 1], last - 1
+            if now[last] > best:
+                best, who = now[last], last
+            if best > -INF:
+                nxt[last], route[last] = best + get(word[at - last : at + 1], -INF), who
         now = nxt
         back.append(route)
     state, best = 0, -INF
