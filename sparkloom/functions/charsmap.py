@@ -33,6 +33,7 @@ class CharsMap:
         self.rules = dict(rules or {})
         self.name = name
         self.longest = max(map(len, self.rules), default=0)
+        self.seen: dict[str, str] = {}
 
     @classmethod
     def named(cls, name: str) -> CharsMap:
@@ -62,7 +63,13 @@ class CharsMap:
             n = 1
             while at + n < len(text) and unicodedata.combining(text[at + n]):
                 n += 1
-            return _standard(text[at : at + n], self.name), n
+            part = text[at : at + n]
+            hit = self.seen.get(part)
+            if hit is None:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                hit = self.seen[part] = _standard(part, self.name)
+            return hit, n
         return text[at], 1
 
 

@@ -102,6 +102,8 @@ ORACLES: dict[str, str] = {
     "decode_ids": f"""WITH {_words()}, tops AS (SELECT word AS piece, freq AS cnt FROM words), {VOCAB},
   t AS (SELECT doc_id, line_no, i, p[i] AS piece FROM (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_extract_all({_norm('line')}, '{R0}') AS p FROM lines)))
   SELECT doc_id, line_no, replace(string_agg(t.piece, '' ORDER BY i), '▁', ' ') AS text FROM t JOIN vocab AS v ON v.piece = t.piece WHERE v.type NOT IN (2, 3) GROUP BY doc_id, line_no""",
+    "jsonl_text": "SELECT doc_id, text FROM documents WHERE trim(text, ' ') <> ''",
+    "stream_raw_count": f"WITH {_count()} SELECT * FROM counts",
     "roundtrip_piece": f"WITH {LINES} {SPELLED}",
     "roundtrip_sentencepiece": f"WITH {LINES} {SPELLED}",
     "roundtrip_bytepiece": f"WITH {LINES} {SPELLED}",

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.charsmap import normalize
 from ..operators import codecs, counting, merges, vocab
 from ..operators.learners import train
 from ..session import line_table, ship, spread, table
 from ..sources.model import Model
+from ..sources.text import json_texts
+from ..streaming.counts import raw_count_stream
 
 MIN_COUNT = 2
 UNIGRAM_WORDS = {"▁the": 900.0, "▁of": 500.0, "▁and": 500.0, "the": 90.0, "tion": 80.0, "ing": 80.0, "an": 60.0, "er": 60.0, "en": 50.0, "on": 50.0, "es": 40.0, "▁": 300.0, "e": 30.0, "a": 20.0, "n": 20.0, "t": 20.0, "r": 20.0, "s": 20.0, "i": 20.0, "o": 20.0, ".": 9.0}
@@ -210,6 +215,28 @@ def roundtrip_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, "bytepiece", 2000)
 
 
+def jsonl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of JSON lines made of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    return json_texts(docs.select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), "text")).alias("value")))
+
+
+def normalize_nfkc_cf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through the NFKC and case-folding map."""
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("line"), "NFKC_CF").alias("text"))
+
+
+def stream_raw_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the documents read as a stream, after its last batch."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if Path(f"{sf_dir}/documents.parquet").is_file() else spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
+    out = f"{merges.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    counts = raw_count_stream(docs.select(F.explode(F.split("text", "\n")).alias("value")))
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/counts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -218,6 +245,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         char_class_histogram, word_table_min_count, char_counts, char_coverage, rare_char_replace, byte_ngrams,
         ngram_logprob, pair_counts_bytes, pair_counts_chars, bpe_merge_1, bpe_merges_8, vocab_ids, byte_pieces,
         piece_lookup, encode_unigram, decode_ids, train_piece, train_sentencepiece, train_bytepiece, train_naive,
-        roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece,
+        roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, normalize_nfkc_cf, stream_raw_count,
     )
 }

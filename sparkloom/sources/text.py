@@ -34,8 +34,12 @@ def first_sentences(lines: DataFrame, n: int, order: Sequence[str | Column]) ->
 
 def read_jsonl(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
     """The text field of JSON lines, without missing and blank ones."""
-    rows = read_lines(spark, path).select(F.get_json_object("value", f"$.{field}").alias("text"))
-    return rows.where(F.trim("text") != "")
+    return json_texts(read_lines(spark, path), field)
+
+
+def json_texts(lines: DataFrame, field: str = "text", column: str = "value") -> DataFrame:
+    """lines with the field of their JSON as text, without missing and blank ones."""
+    return lines.withColumn("text", F.get_json_object(column, f"$.{field}")).where(F.trim("text") != "").drop(column)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
