@@ -26,7 +26,7 @@ from ._common import buckets, ship
 from ._tokens import string_buffers
 
 MESSAGE = "dest int, chunk long, ord long, kind byte, blob binary"
-CHUNK_KEYS = 4_000_000
+CHUNK_KEYS = 1_500_000
 MULTI = 1
 
 
@@ -120,6 +120,7 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0) -
             starts = np.cumsum(count) - count
             take = np.repeat(starts[by] - (np.cumsum(count[by]) - count[by]), count[by]) + np.arange(len(key))
             bucket, key = bucket[take], key[take]
+            del take
             rid, did, null, count = rid[by], did[by], null[by], count[by]
             ord_ = int(did[0]) if len(did) and not null[0] else (1 << 62)
             notes = [note[i] for i in by] if note else None
@@ -131,6 +132,7 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0) -
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             key = key[order]
+            del order, sent
             size = 0
             for b in range(n_buckets):
                 if cut[b] < cut[b + 1]:
