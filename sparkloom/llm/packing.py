@@ -2,16 +2,16 @@
 
 Texts are taken in the order of doc_id and cut into sentences (a word that ends in . ! ? or their
 full-width forms, or is followed by a line feed, ends one). A window takes consecutive sentences;
-its cuts are at sentence or document ends. A window of s words of capacity w costs w - s for padding,
-or ``truncation`` * (s - w) for words that do not fit, plus ``split`` where it cuts a document. With
-prefix sums S, the best total over the first j sentences is the minimum of f(i) + S(i) over the
-window S(i) >= S(j) - w, held in a monotone queue, and of f(i) - truncation * S(i) over what left
-that window, a running minimum: linear time, and optimal for the stream. A stream holds the texts of
+its cuts are at sentence or document ends, and after any word of a sentence longer than a window, the
+rest of which opens the next one. No window overflows, so every word is in exactly one. A window of s
+words of capacity w costs w - s for padding, plus ``split`` where it cuts a document and ``truncation``
+where it cuts a sentence. With prefix sums S, the best total over the first j units (sentences, or words
+of the over-long ones) is the minimum of f(i) + S(i) over the window S(i) >= S(j) - w, held in a
+monotone queue: linear time, and optimal for the stream. A stream holds the texts of
 ``ids_per_stream`` consecutive doc_id values, so that streams run in parallel at any size of the input.
 
-Defined results: null or empty texts take no room and appear in no window; a sentence longer than a
-window is cut at the capacity and the rest counted as truncated; rows of one doc_id are ordered by
-text; rows without doc_id form a stream of their own (stream null); an empty table gives no rows;
+Defined results: null or empty texts take no room and appear in no window; ``truncated``, the words
+lost, is always 0; rows of one doc_id are ordered by text; rows without doc_id form a stream of their own (stream null); an empty table gives no rows;
 other columns are ignored. Equal totals: the earliest cut is taken.
 """
 
@@ -49,8 +49,12 @@ def sentence_ends(words: Words) -> np.ndarray:
     return end
 
 
-def best_cuts(sizes: list[int], at_document: list[bool], capacity: int, truncation: int, split: int) -> list[int]:
-    """End positions (in sentences) of the windows of the cheapest packing."""
+def best_cuts(sizes: list[int], at_document: list[bool], capacity: int, truncation: int, split: int, inside: list[bool] | None = None) -> list[int]:
+    """End positions (in units) of the windows of the cheapest packing.
+
+    With ``inside`` (whether the end of each unit is inside a sentence) no window overflows, and a cut there costs
+    ``truncation``; no unit may be larger than a window. Without it, each word that overflows costs ``truncation``.
+    """
     n = len(sizes)
     total, best, came = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + S, position), increasing
@@ -63,7 +67,7 @@ def best_cuts(sizes: list[int], at_document: list[bool], capacity: int, truncati
         low = s - capacity
         while enter < j and total[enter] < low:
             v = best[enter] - truncation * total[enter]
-            if over is None or v < over:
+            if inside is None and (over is None or v < over):
                 over, over_at = v, enter
             enter += 1
         while queue and queue[0][1] < enter:
@@ -75,6 +79,8 @@ def best_cuts(sizes: list[int], at_document: list[bool], capacity: int, truncati
                 cost, at = v, over_at
         if not at_document[j - 1]:
             cost += split
+        if inside is not None and inside[j - 1]:
+            cost += truncation
         best[j], came[j] = cost, at
         key = cost + s
         while queue and queue[-1][0] > key:
@@ -90,37 +96,41 @@ def best_cuts(sizes: list[int], at_document: list[bool], capacity: int, truncati
 
 def pack_stream(texts: list[tuple[int | None, str]], capacity: int, truncation: int, split: int) -> list[tuple]:
     """Windows of one stream of (doc_id, text) in order: (n_tokens, padding, truncated, doc_ids, starts, ends, text)."""
-    sizes, at_doc, doc_of, first = [], [], [], []
+    sizes, at_doc, inside, doc_of, first = [], [], [], [], []
     where: list[tuple[np.ndarray, np.ndarray, bytes]] = []
     raw, off = string_buffers(pa.array([t for _, t in texts], pa.large_string()))
     for a, b, r, o in slices(raw, off):
         words = Words(r, o)
         ends = np.flatnonzero(sentence_ends(words)) + 1 if len(words.starts) else np.zeros(0, int)
         begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        # each word of a sentence longer than a window is a unit of its own
+        units = np.where(ends - begin > capacity, ends - begin, 1)
+        word = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+        begin, last, alone = np.repeat(begin, units) + word, np.repeat(ends, units), np.repeat(units > 1, units)
+        ends = np.where(alone, begin + 1, last)
         doc = np.searchsorted(words.doc, begin, "right") - 1
         sizes += (ends - begin).tolist()
         at_doc += (ends == words.doc[doc + 1]).tolist()
+        inside += (ends < last).tolist()
         doc_of += (doc + a).tolist()
         first += (begin - words.doc[doc]).tolist()
         for i in range(b - a):
             x, y = words.doc[i], words.doc[i + 1]
             where.append((words.starts[x:y] - o[i], words.ends[x:y] - o[i], r[o[i] : o[i + 1]]))
     out, i = [], 0
-    for j in best_cuts(sizes, at_doc, capacity, truncation, split):
-        room, ids, starts, ends, pieces = capacity, [], [], [], []
+    for j in best_cuts(sizes, at_doc, capacity, truncation, split, inside):
+        ids, starts, ends, pieces = [], [], [], []
         size = sum(sizes[i:j])
-        while i < j and room:
+        while i < j:
             d, s, e = doc_of[i], first[i], first[i]
-            while i < j and doc_of[i] == d and room:
-                take = min(sizes[i], room)
-                e, room, i = first[i] + take, room - take, i + 1
+            while i < j and doc_of[i] == d:
+                e, i = first[i] + sizes[i], i + 1
             ids.append(texts[d][0])
             starts.append(s)
             ends.append(e)
             at, to, body = where[d]
             pieces.append(body[at[s] : to[e - 1]].tobytes().decode())
-        i = j
-        out.append((min(size, capacity), max(0, capacity - size), max(0, size - capacity), ids, starts, ends, "\n".join(pieces)))
+        out.append((size, capacity - size, 0, ids, starts, ends, "\n".join(pieces)))
     return out
 
 

@@ -109,6 +109,32 @@ def test_packing_keeps_words_and_order(make, edge):
     assert sum(r["n_tokens"] + r["truncated"] for r in wide) == sum(len((r["text"] or "").split()) for r in edge.toDF(*["doc_id", "text", *[f"c{i}" for i in range(8)]]).collect())
 
 
+def test_every_word_is_in_one_window(make):
+    rows = [(1, prose(1, 50)), (2, " ".join(f"w{i}" for i in range(300)) + " the end. One more."), (3, prose(3, 90)), (4, " ".join(f"v{i}" for i in range(129))), (5, prose(5, 400))]
+    out = packing.pack(make(rows), capacity=64).orderBy("window").collect()
+    assert [w for r in out for w in r["text"].split()] == [w for _, t in rows for w in t.split()]
+    assert all(r["truncated"] == 0 and r["n_tokens"] == len(r["text"].split()) <= 64 for r in out)
+
+
+def test_cuts_without_overflow_are_optimal():
+    rng = random.Random(18)
+    for _ in range(300):
+        n = rng.randint(1, 25)
+        sizes, ends, inside = [rng.randint(1, 9) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)], [rng.random() < 0.4 for _ in range(n)]
+        capacity, truncation, split = rng.randint(9, 25), rng.choice([1, 2, 8]), rng.choice([0, 2, 5])
+        price = [(0 if e else split) + (truncation if x else 0) for e, x in zip(ends, inside)]
+        best = [0] + [math.inf] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + capacity - sum(sizes[i:j]) + price[j - 1] for i in range(j) if sum(sizes[i:j]) <= capacity)
+        i = cost = 0
+        for j in packing.best_cuts(sizes, ends, capacity, truncation, split, inside):
+            assert sum(sizes[i:j]) <= capacity
+            cost += capacity - sum(sizes[i:j]) + price[j - 1]
+            i = j
+        assert i == n
+        assert cost == best[-1]
+
+
 def test_sentences():
     text = "One two. Three\nfour five！ six? seven"
     raw, off = string_buffers(pa.array([text, "", "a b"]))
