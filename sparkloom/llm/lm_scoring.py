@@ -7,8 +7,13 @@ matrices). Training reads all texts: in each round every task starts from the sa
 AdaGrad on noise-contrastive batches of its share, and the results are averaged by number of tokens
 (rounds take the batches in turn, so all rounds together are one epoch). Noise is the unigram
 distribution of the whole corpus. For scoring, batched matrix products give log Z of each context, so
-log-probabilities are normalised over the alphabet. What goes to the driver (parameters, log Z) has a
-fixed size; counts and training data stay distributed.
+log-probabilities are normalised over the alphabet. A word of a class then gets its share of the class,
+(n + ``SMOOTH``) / (N + ``SMOOTH`` * (V + 1)) for a word that occurs n times in a class of N tokens and V distinct
+words of the corpus, all words that are not in the corpus together counting as one with n = 0; so
+probabilities are normalised over words. The counts of all words are a table that grows with the corpus:
+a task sends each hash bucket of it the distinct words of a chunk of texts and gets back their shares.
+What goes to the driver (parameters, log Z, totals of classes) has a fixed size; counts and training data
+stay distributed. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have 0 tokens, log_prob 0 and null perplexity; repeated rows
 give repeated rows; an empty table gives no rows; other columns are ignored. Results depend on how
@@ -24,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, ship
+from ._common import buckets, pick, ship, stored
+from ._exchange import MESSAGE, _message_batch, _message_schema, labels, unpack
+from ._exchange import pack as packed
 from ._tokens import Words, slices, string_buffers
 
 WORDS, HASHED, DIM, ROUNDS, BATCH, NOISE, RATE = 1024, 63, 24, 2, 4096, 24, 0.1
+SMOOTH, CHUNK_TOKENS, CHUNK_ROWS, CHUNK_WORDS = 0.5, 1_500_000, 200_000, 2_000_000
+KEYS, DIRECTORY, COUNTS = 0, 1, 2  # kinds of messages
 WHITE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -41,25 +50,32 @@ def hash_of(word: str) -> int:
     return int(Words(np.frombuffer(b, np.uint8), np.array([0, len(b)])).hashes()[0])
 
 
-def vocabulary(texts: DataFrame, size: int = WORDS, hashed: int = HASHED) -> dict:
-    """Hashes of the frequent words (sorted) with their ids, and the unigram distribution of the alphabet."""
+def vocabulary(texts: DataFrame, size: int = WORDS, hashed: int = HASHED) -> tuple[dict, DataFrame, np.ndarray]:
+    """Hashes of the frequent words (sorted) with their ids, the unigram distribution of the alphabet, the table (h, n) of all words, log of the classes' totals."""
     ship(texts.sparkSession)
     n_words = size - hashed - 1
     counts = word_counts(texts)
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = string_buffers(batch.column(0))
-            n = batch.column(1).to_numpy()
             for a, b, r, o in slices(raw, off):
                 h = Words(r, o).hashes()  # a word has no white space, so one hash a row
-                sums = np.bincount((h % np.uint64(hashed)).astype(int), n[a:b], hashed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(sums.astype(np.int64))], names=["c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).slice(a, b - a)], names=["h", "n"])
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = (batch.column(0).to_numpy().view(np.uint64) % np.uint64(hashed)).astype(int)
+            sums = np.bincount(c, batch.column(1).to_numpy(), hashed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(sums.astype(np.int64)), pa.array(np.bincount(c, minlength=hashed))], names=["c", "n", "v"])
 
     counts = counts.persist()
     try:
         top = counts.orderBy(F.desc("n"), "word").limit(n_words).collect()
-        sums = {r["c"]: r["n"] for r in counts.mapInArrow(classes, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+        every = stored(counts.mapInArrow(hashes, "h long, n long"))
+        sums, kinds = {}, np.zeros(hashed)
+        for r in every.mapInArrow(classes, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+            sums[r["c"]], kinds[r["c"]] = r["n"], r["v"]
     finally:
         counts.unpersist()
     h = np.array([hash_of(r["word"]) for r in top], np.uint64)
@@ -67,12 +83,14 @@ def vocabulary(texts: DataFrame, size: int = WORDS, hashed: int = HASHED) -> dic
     for i, r in enumerate(top):
         freq[i] = r["n"]
         sums[int(h[i] % np.uint64(hashed))] -= r["n"]
+        kinds[int(h[i] % np.uint64(hashed))] -= 1
     for c, n in sums.items():
         freq[n_words + c] = n
+    log_total = np.log(freq[n_words : n_words + hashed] + SMOOTH * (kinds + 1))
     freq = np.maximum(freq, 0.5)
     freq[-1] = 0.5
     order = np.argsort(h)
-    return {"hash": h[order], "id": order.astype(np.int32), "n_words": n_words, "hashed": hashed, "size": size, "unigram": freq / freq.sum()}
+    return {"hash": h[order], "id": order.astype(np.int32), "n_words": n_words, "hashed": hashed, "size": size, "unigram": freq / freq.sum()}, every, log_total
 
 
 def token_ids(words: Words, vocab: dict) -> np.ndarray:
@@ -206,41 +224,127 @@ def log_z(spark, p: dict) -> np.ndarray:  # noqa: ANN001
 
 
 def model(docs: DataFrame, **options: int) -> dict:
-    """Train on ``docs(text)`` and tabulate: vocab, pair[v, w] and skip[u, w] scores and log Z [v, u]."""
+    """Train on ``docs(text)`` and tabulate: vocab, pair[v, w] and skip[u, w] scores and log Z [v, u], counts(h, n) of all words, log_total of classes."""
     texts = _lower(docs)
-    vocab = vocabulary(texts, options.pop("words", WORDS), options.pop("hashed", HASHED))
+    vocab, counts, log_total = vocabulary(texts, options.pop("words", WORDS), options.pop("hashed", HASHED))
     p = train(texts, vocab, **options)
-    return {"vocab": vocab, "pair": (p["c"][0] * p["R"]) @ p["Q"].T + p["b"], "skip": (p["c"][1] * p["R"]) @ p["Q"].T, "z": log_z(docs.sparkSession, p)}
+    return {"vocab": vocab, "pair": (p["c"][0] * p["R"]) @ p["Q"].T + p["b"], "skip": (p["c"][1] * p["R"]) @ p["Q"].T, "z": log_z(docs.sparkSession, p), "counts": counts, "log_total": log_total}
 
 
-def token_log_probs(words: Words, m: dict) -> np.ndarray:
-    """Normalised log-probability of every word."""
+def token_log_probs(words: Words, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised log-probability of every word or its class, and whether it is that of a class."""
     ids = token_ids(words, m["vocab"])
     one, two = contexts(ids, words.doc, m["vocab"]["size"] - 1)
-    return m["pair"][one, ids] + m["skip"][two, ids] - m["z"][one, two]
+    return m["pair"][one, ids] + m["skip"][two, ids] - m["z"][one, two], ids >= m["vocab"]["n_words"]
+
+
+def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def dealt(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of h by bucket, and the bounds of the buckets in it."""
+    b = bucket_of(h, n_buckets)
+    order = np.argsort(b, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(n_buckets + 1))
+
+
+def count_messages(counts: DataFrame, n_buckets: int) -> DataFrame:
+    """counts(h, n) -> message rows to the buckets."""
+    label = labels(n_buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            h, n = (np.concatenate(x) for x in zip(*held))
+            order, cut = dealt(h.view(np.uint64), n_buckets)
+            h, n = h[order], n[order]
+            return _message_batch([(int(label[b]), 0, 0, COUNTS, h[x:y].tobytes() + n[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if x < y])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= CHUNK_WORDS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return counts.mapInArrow(run, MESSAGE)
 
 
 def score(docs: DataFrame, m: dict) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum, natural logarithm), perplexity of each of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(m)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+    shared = spark.sparkContext.broadcast({k: m[k] for k in ("vocab", "pair", "skip", "z")})
+    n_buckets, log_total = buckets(spark), m["log_total"]
+    label = labels(n_buckets)
+    place = {int(x): b for b, x in enumerate(label)}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tables, part, seq = shared.value, TaskContext.get().partitionId(), 0
+
+        def flush() -> pa.RecordBatch:
+            ids = [x for h in held for x in h[0]]
+            total, count, rare, key = (np.concatenate(x) for x in list(zip(*held))[1:])
+            key, at = np.unique(key, return_inverse=True)
+            order, cut = dealt(key, n_buckets)
+            spot = np.empty(len(key), np.int32)
+            spot[order] = np.arange(len(key), dtype=np.int32)
+            key, chunk = key[order], (part << 24) | seq
+            rows = [(int(label[chunk % n_buckets]), chunk, 0, DIRECTORY, packed((ids, total, count, rare, spot[at], cut)))]
+            return _message_batch(rows + [(int(label[b]), chunk, 0, KEYS, key[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if x < y])
+
+        held, size, n_rows = [], 0, 0
         for batch in batches:
             raw, off = string_buffers(batch.column(1))
-            total, count = np.zeros(len(off) - 1), np.zeros(len(off) - 1, np.int32)
             for a, b, r, o in slices(raw, off):
                 words = Words(r, o)
-                sums = np.concatenate([[0.0], np.cumsum(token_log_probs(words, tables), dtype=np.float64)])
-                total[a:b] = sums[words.doc[1:]] - sums[words.doc[:-1]]
-                count[a:b] = np.diff(words.doc)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ppl = np.exp(-total / count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(np.round(total, 4)), pa.array(np.round(ppl, 4), mask=count == 0)], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return _lower(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_tokens int, log_prob double, perplexity double")
+                logp, in_class = token_log_probs(words, tables)
+                sums = np.concatenate([[0.0], np.cumsum(logp, dtype=np.float64)])
+                before = np.concatenate([[0], np.cumsum(in_class)])
+                held.append((batch.column(0)[a:b].to_pylist(), sums[words.doc[1:]] - sums[words.doc[:-1]], np.diff(words.doc).astype(np.int32), before[words.doc[1:]] - before[words.doc[:-1]], words.hashes()[in_class]))
+                size, n_rows = size + int(before[-1]), n_rows + b - a
+                if size >= CHUNK_TOKENS or n_rows >= CHUNK_ROWS:
+                    yield flush()
+                    held, size, n_rows, seq = [], 0, 0, seq + 1
+        if held:
+            yield flush()
+
+    def answer(t: pa.Table) -> pa.Table:
+        kind, chunk, blobs, dest = t["kind"].to_numpy(), t["chunk"].to_numpy(), t["blob"].to_pylist(), int(t["dest"][0].as_py())
+        rows = [(dest, int(chunk[i]), 0, DIRECTORY, blobs[i]) for i in np.flatnonzero(kind == DIRECTORY)]
+        known = [np.frombuffer(blobs[i], np.int64).reshape(2, -1) for i in np.flatnonzero(kind == COUNTS)]
+        h, n = np.concatenate(known, axis=1) if known else np.zeros((2, 0), np.int64)
+        order = np.argsort(h.view(np.uint64))
+        h, n = np.append(h.view(np.uint64)[order], np.uint64(0)), np.append(n[order], 0)
+        for i in np.flatnonzero(kind == KEYS):
+            key = np.frombuffer(blobs[i], np.uint64)
+            at = np.searchsorted(h[:-1], key)
+            have = np.where((h[at] == key) & (at < len(h) - 1), n[at], 0)
+            share = np.log(have + SMOOTH) - log_total[(key % np.uint64(len(log_total))).astype(int)]
+            rows.append((dest, int(chunk[i]), 0, KEYS, share.astype(np.float32).tobytes()))
+        return pa.Table.from_batches([_message_batch(rows)] if rows else [], _message_schema())
+
+    def gather(t: pa.Table) -> pa.Table:
+        kind, dest, blobs = t["kind"].to_numpy(), t["dest"].to_numpy(), t["blob"].to_pylist()
+        ids, total, count, rare, spot, cut = unpack(blobs[int(np.flatnonzero(kind == DIRECTORY)[0])])
+        share = np.full(cut[-1], np.nan)
+        for i in np.flatnonzero(kind == KEYS):
+            b = place[int(dest[i])]
+            share[cut[b] : cut[b + 1]] = np.frombuffer(blobs[i], np.float32)
+        sums, end = np.concatenate([[0.0], np.cumsum(share[spot])]), np.cumsum(rare)
+        total = total + sums[end] - sums[end - rare]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            ppl = np.exp(-total / count)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(count), pa.array(np.round(total, 4)), pa.array(np.round(ppl, 4), mask=count == 0)], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
+
+    sent = _lower(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(scan, MESSAGE).union(count_messages(m["counts"], n_buckets))
+    replies = sent.groupBy("dest").applyInArrow(answer, MESSAGE)
+    return replies.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens int, log_prob double, perplexity double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -401,6 +401,29 @@ def test_probabilities_are_normalised(patterned):
     assert np.allclose(p, 1, atol=1e-3)
 
 
+def test_probabilities_are_normalised_over_words(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"r{int(600 * rng.random() ** 3)}" for _ in range(50)) for _ in range(80)]
+    n = {}
+    for w in " ".join(texts).split():
+        n[w] = n.get(w, 0) + 1
+    m = lm_scoring.model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **OPTIONS)
+    words = [*n, "unseen", "unheard"]
+    got = lm_scoring.score(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), m).collect()
+    logp = {words[r["doc_id"]]: r["log_prob"] for r in got}
+    assert len(got) == len(words)
+    assert 0.7 < sum(math.exp(logp[w]) for w in n) <= 1
+    rank = {w: i for i, w in enumerate(sorted(n, key=lambda w: (-n[w], w)))}
+    classes = {}
+    for w in words:
+        if rank.get(w, 99) >= 56:
+            classes.setdefault(lm_scoring.hash_of(w) % 7, []).append(w)
+    assert len(classes) == 7
+    for same in classes.values():
+        for w in same[1:]:
+            assert logp[w] - logp[same[0]] == pytest.approx(math.log((n.get(w, 0) + 0.5) / (n.get(same[0], 0) + 0.5)), abs=1e-3)
+
+
 def test_scores_of_edge_cases(make, edge):
     m = lm_scoring.model(edge.toDF(*["doc_id", "text", *[f"c{i}" for i in range(8)]]), **OPTIONS)
     plain = edge.toDF(*["doc_id", "text", *[f"c{i}" for i in range(8)]])
