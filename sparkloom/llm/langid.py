@@ -2,8 +2,8 @@
 
 Four kinds of evidence are multiplied for each text:
 * the text's likelihood, from byte trigrams without digits, hashed to 2**16 values; the multinomial model of each
-  language is fitted to labelled documents, at most ``FIT_ROWS`` of them (those of least hash);
-  likelihoods are tempered to the weight of ``EFFECTIVE`` trigrams;
+  language is fitted to labelled documents, at most ``FIT_ROWS`` of each language (those of least hash);
+  every language with a labelled document has a model, and each is fitted in a task of its own; likelihoods are tempered to the weight of ``EFFECTIVE`` trigrams;
 * the declared markup language and the address suffix: P(value | language), from grouped counts over
   all texts whose own likelihood decides clearly;
 * a host prior: the same counts by host, smoothed to its domain's, that to its suffix's and that to
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import masked, pick, ship, stored, with_row_key
@@ -72,14 +72,25 @@ def fit(rows: list[tuple[str, str]]) -> dict:
 
 
 def fit_documents(documents: DataFrame, limit: int = FIT_ROWS) -> dict:
-    """Fit to at most ``limit`` rows of ``documents(doc_id, lang, text)``: those of the least hash of doc_id."""
+    """Fit to at most ``limit`` rows of each language of ``documents(doc_id, lang, text)``: those of the least hash of doc_id."""
+    ship(documents.sparkSession)
     labelled = pick(documents, "doc_id", "lang", "text").where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id").alias("h"))
-    edge = labelled.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    if edge is None:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least_h"))
+    # hashes are spread evenly, so about this share of them holds the least ``limit``; equal hashes stay together
+    share = (limit + 8 * math.sqrt(limit) + 32) / F.col("n")
+    edge = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise(F.greatest("least_h", ((share - 0.5) * 2.0**64).cast("long")))
+    near = labelled.join(F.broadcast(counts.select("lang", edge.alias("edge"))), "lang").where("h <= edge")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.coalesce("doc_id", F.lit(0)), "text"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= limit).select("lang", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        m = fit(list(zip(t["lang"].to_pylist(), t["text"].to_pylist())))
+        return pa.table({"lang": m["langs"], "logp": [m["logp"].tobytes()], "least": m["least"]})
+
+    rows = sorted(sample.groupBy("lang").applyInArrow(run, "lang string, logp binary, least double").collect(), key=lambda r: r["lang"])
+    if not rows:
         return fit([])
-    rows = labelled.where(F.col("h") <= edge).select("h", "doc_id", "lang", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["doc_id"] or 0, r["text"]))[:limit]
-    return fit([(r["lang"], r["text"]) for r in rows])
+    return {"langs": [r["lang"] for r in rows], "logp": np.stack([np.frombuffer(r["logp"], np.float32) for r in rows]), "least": np.array([r["least"] for r in rows])}
 
 
 def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -336,6 +336,21 @@ def test_language_of_documents_and_pages(spark, tongues):
     assert docs == truth
 
 
+def test_every_language_is_fitted(spark, tongues):
+    rare = [(1000 + i, "lo que hay en la casa del pueblo viejo era muy bueno " * 3, "es", "s", 0, 1) for i in range(3)]
+    docs = tongues.union(spark.createDataFrame(rare, tongues.schema))
+    m = langid.fit_documents(docs, 4)
+    assert m["langs"] == ["de", "en", "es"]
+    # the same as a fit on the least hashes of each language
+    rows = docs.selectExpr("lang", "text", "xxhash64(doc_id) AS h").collect()
+    least = [(r["lang"], r["text"]) for lang in m["langs"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["h"])[:4]]
+    want = langid.fit(least)
+    assert np.array_equal(m["logp"], want["logp"])
+    assert np.allclose(m["least"], want["least"])
+    kept = {r["doc_id"] for r in langid.filter_language(docs, 4).collect()}
+    assert {1000, 1001, 1002} <= kept
+
+
 def test_filter_language(make, tongues, edge, spark):
     odd = spark.createDataFrame([(100, None, "en", "s", 0, 1), (101, "", None, None, 0, 1), (102, "中文的句子没有别的文字" * 9, None, "s", 0, 1), (103, EN * 2000, None, None, 0, 1), (None, DE, "en", "s", 0, 1), (103, EN * 2000, None, None, 0, 1)], tongues.schema)
     out = langid.filter_language(tongues.union(odd))
