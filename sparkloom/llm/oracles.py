@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ._tokens import NORMAL_CLASS
-from .toxicity import ADDRESS, CONTEXT, EDIT_POINTS, LEXICON, QUOTES, REPORTING, SCORE, STRETCH, UNIT, edits_of
+from .toxicity import ADDRESS, CONTEXT, EDIT_POINTS, LETTERS, MARGIN, ODDS, QUOTES, REPORTING, SCORE, STRETCH, TERMS, UNIT
 
 WORDS = r"string_split_regex({text}, '[ \t\n\r\f\x0B]+')"
 
@@ -27,7 +27,11 @@ HIT_PARTS = "\n".join(
 )
 
 OTHER_CLASS = "[^" + NORMAL_CLASS[1:]
-TERMS = ", ".join(f"('{t}', {i}, {edits_of(t)})" for i, t in enumerate(LEXICON))
+ACCENTS = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ"  # one byte for each, as levenshtein compares bytes; other letters are #
+
+
+def _bytes(text: str) -> str:
+    return f"regexp_replace(translate({text}, '{ACCENTS}', '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ!$%&()*'[: len(ACCENTS)]}'), '[^\\x00-\\x7F]', '#', 'g')"
 
 
 def _strings(values: frozenset[str]) -> str:
@@ -64,21 +68,28 @@ near AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id
 e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
 reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach AS r JOIN e ON r.y = e.x)
 SELECT x AS doc_id, min(y) AS kept_doc_id FROM reach GROUP BY x HAVING min(y) < x""",
-    "op8_toxicity": f"""WITH lex(term, idx, k) AS (VALUES {TERMS}),
+    # all labelled rows are fitted: at sf0.01 no language reaches the bound FIT_ROWS
+    "op8_toxicity": f"""WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic IN (0, 1) AND doc_id IS NOT NULL),
+src AS (SELECT coalesce(lang, '') AS lang, toxic, regexp_extract_all(lower(text), '{NORMAL_CLASS}') AS w FROM documents JOIN lab USING (doc_id)),
+each_ AS (SELECT DISTINCT lang, toxic, word, before FROM (SELECT lang, toxic, unnest(w) AS word, unnest(list_prepend('', w[1:len(w) - 1])) AS before FROM src) WHERE length(word) >= {LETTERS} AND NOT regexp_matches(word, '[0-9]')),
+evid AS (SELECT lang, word, sum(toxic)::DOUBLE AS t, sum(1 - toxic)::DOUBLE AS c FROM each_ GROUP BY lang, word),
+sums AS (SELECT lang, count(*) AS v, sum(t) AS tt, sum(c) AS cc FROM evid GROUP BY lang),
+gains AS (SELECT lang, word, c, CASE WHEN t > 0 THEN t * ln(t * (tt + cc) / ((t + c) * tt)) ELSE 0 END + CASE WHEN c > 0 THEN c * ln(c * (tt + cc) / ((t + c) * cc)) ELSE 0 END AS gain, v FROM evid JOIN sums USING (lang)
+  WHERE t > 0 AND cc > 0 AND ln((t + 0.5) / (tt + 1)) - ln((c + 0.5) / (cc + 1)) >= {ODDS}),
+best AS (SELECT word, c FROM gains WHERE gain > ln(v) + {MARGIN} QUALIFY row_number() OVER (PARTITION BY lang ORDER BY gain DESC, word) <= {TERMS}),
+lex AS (SELECT word AS term, {_bytes('word')} AS code, row_number() OVER (ORDER BY word) AS idx, CASE WHEN length(word) < 5 THEN 0 WHEN length(word) < 9 THEN 1 ELSE 2 END AS k, sum(c) > 0 AS doubtful FROM best GROUP BY word),
 p AS (SELECT doc_id, regexp_extract_all(lower(text), '{NORMAL_CLASS}|{OTHER_CLASS}') AS x FROM documents),
 f AS (SELECT doc_id, x, CASE WHEN regexp_matches(x[1], '^{NORMAL_CLASS}') THEN 1 ELSE 2 END AS f FROM p WHERE len(x) > 0),
 pieces AS (SELECT doc_id, f, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM f),
-words AS (SELECT DISTINCT s FROM pieces WHERE (j - f) % 2 = 0),
-cand AS (SELECT s, term, idx, d FROM (SELECT s, term, idx, k, levenshtein(regexp_replace(s, '[^\\x00-\\x7F]', '#', 'g'), term) AS d FROM words, lex WHERE abs(length(s) - length(term)) <= k)
-  WHERE d <= k QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, idx) = 1),
-spots AS (SELECT q.doc_id, q.j, (q.j - q.f) // 2 AS n, c.term, c.idx, c.d FROM pieces AS q JOIN cand AS c ON q.s = c.s WHERE (q.j - q.f) % 2 = 0),
+words AS (SELECT s, {_bytes('s')} AS code FROM (SELECT DISTINCT s FROM pieces WHERE (j - f) % 2 = 0)),
+near AS (SELECT s, term, idx, doubtful, levenshtein(words.code, lex.code) AS d, k FROM words JOIN lex ON abs(length(words.code) - length(lex.code)) <= k),
+cand AS (SELECT s, term, idx, doubtful, d FROM (SELECT * FROM near WHERE d <= k QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, idx) = 1) WHERE d = 0 OR s NOT IN (SELECT word FROM evid WHERE c > 0)),
+spots AS (SELECT q.doc_id, q.j, (q.j - q.f) // 2 AS n, c.term, c.idx, c.d, c.doubtful FROM pieces AS q JOIN cand AS c ON q.s = c.s WHERE (q.j - q.f) % 2 = 0),
 ctx AS (SELECT s.*, array_to_string(x[CASE WHEN n <= {CONTEXT} THEN 1 ELSE j - {2 * CONTEXT} END:j - 1], '') AS before, array_to_string(x[j + 1:j + {2 * CONTEXT + 1}], '') AS after,
   x[greatest(j - {2 * CONTEXT}, 1):j + {2 * CONTEXT}] AS near FROM spots AS s JOIN f USING (doc_id)),
-rated AS (SELECT doc_id, n, term, idx, d, q, ([{', '.join(map(str, EDIT_POINTS))}][d + 1] * CASE WHEN q THEN 1 ELSE 4 END * CASE WHEN list_has_any(near, {_strings(REPORTING)}) THEN 1 ELSE 2 END
+rated AS (SELECT doc_id, n, term, idx, d, q, ([{', '.join(map(str, EDIT_POINTS))}][greatest(d, doubtful::INTEGER) + 1] * CASE WHEN q THEN 1 ELSE 4 END * CASE WHEN list_has_any(near, {_strings(REPORTING)}) THEN 1 ELSE 2 END
   * CASE WHEN list_has_any(near, {_strings(ADDRESS)}) THEN 3 ELSE 2 END) // 16 AS points FROM (SELECT *, ({QUOTED}) AS q FROM ctx)),
-part AS (SELECT h.doc_id, h.n, o.idx, o.d > 0 AS missed, CASE WHEN o.d > 0 THEN max(o.points) ELSE sum(o.points) END AS points
-  FROM rated AS h JOIN rated AS o ON o.doc_id = h.doc_id AND o.n <= h.n AND h.n - o.n < {STRETCH} GROUP BY h.doc_id, h.n, o.idx, missed, o.d > 0),
-best AS (SELECT doc_id, max(points) AS top FROM (SELECT doc_id, n, sum(points) AS points FROM part GROUP BY doc_id, n HAVING bool_or(NOT missed) OR count(*) > 1) GROUP BY doc_id)
+best_ AS (SELECT doc_id, max(points) AS top FROM (SELECT doc_id, sum(points) OVER (PARTITION BY doc_id ORDER BY n RANGE BETWEEN {STRETCH - 1} PRECEDING AND CURRENT ROW) AS points FROM rated) GROUP BY doc_id)
 SELECT doc_id, top::DOUBLE / {UNIT} AS score, count(*)::INTEGER AS n_hits, (count(*) FILTER (d > 0))::INTEGER AS n_misspelled, (count(*) FILTER (q))::INTEGER AS n_quoted,
-  string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM rated JOIN best USING (doc_id) WHERE top::DOUBLE / {UNIT} >= {SCORE} GROUP BY doc_id, top""",
+  string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM rated JOIN best_ USING (doc_id) WHERE top::DOUBLE / {UNIT} >= {SCORE} GROUP BY doc_id, top""",
 }

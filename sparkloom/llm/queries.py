@@ -42,7 +42,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,23 +240,27 @@ def levenshtein(a, b):
     return row[-1]
 
 
+TERMS = ("scum", "idiot", "loser", "moron", "stupid", "trash", "worthless", "disgusting", "dégoûté", "абвгдежзи")
+LEXICON = toxicity.Lexicon(TERMS, frozenset({"loses"}), frozenset({"trash"}))
+
+
 def test_automaton_equals_levenshtein():
     rng = random.Random(6)
     words = set()
-    for t in toxicity.LEXICON:
+    for t in TERMS:
         for _ in range(60):
             w = list(t)
             for _ in range(rng.randint(0, 3)):
-                k, c = rng.randrange(len(w) + 1), rng.choice("abcidstéя1")
+                k, c = rng.randrange(len(w) + 1), rng.choice("abcidstéгя1")
                 w[k : k + rng.randint(0, 1)] = rng.choice([[c], []])
             words.add("".join(w) or "x")
     words = sorted(words)
     raw, off = string_buffers(pa.array([" ".join(words)]))
-    hit, term, cost = toxicity.match(Words(raw, off, normal_mask(raw)), toxicity.automaton())
+    hit, term, cost = toxicity.match(Words(raw, off, normal_mask(raw)), toxicity.automaton(TERMS))
     got = {words[h]: (int(k), int(t)) for h, t, k in zip(hit, term, cost)}
     want = {}
     for w in words:
-        best = min(((e, i) for i, t in enumerate(toxicity.LEXICON) if (e := levenshtein(w, t)) <= toxicity.edits_of(t)), default=None)
+        best = min(((e, i) for i, t in enumerate(TERMS) if (e := levenshtein(w, t)) <= toxicity.edits_of(t)), default=None)
         if best:
             want[w] = best
     assert got == want
@@ -264,20 +268,70 @@ def test_automaton_equals_levenshtein():
 
 def test_toxic_documents(make, edge):
     rows = [
-        (1, "what an idiot and a moron you are"), (2, prose(1, 300)), (3, "you are pathetc and a stupd loser"), (4, 'he was "an idiot" she said of the word'), (5, "the Verein and the verein and verein"),
-        (6, prose(2, 900) + " scum trash " + prose(3, 900)), (7, "idiot " + prose(4, 500) + " moron"), (None, "disgusting worthless scum"), (8, None), (9, ""), (1, "what an idiot and a moron you are"),
+        (1, "what an idiot and a moron you are"), (2, prose(1, 300)), (3, "a stupd lady and a stupd man"), (4, 'he was "an idiot" she said of the word'), (5, "he loses and loses, she loses"), (6, prose(2, 900) + " scum " + prose(3, 900)),
+        (7, "one stupd thing"), (None, "disgusting worthless scum"), (8, None), (9, ""), (1, "what an idiot and a moron you are"), (10, "trash it"), (11, "trash, stupd trash"), (12, "un DÉGOÛTÉ dégouté"), (13, "stupd " + "x " * 250 + " stupd"),
     ]
-    got = [(r["doc_id"], r["n_hits"], r["n_misspelled"], r["n_quoted"]) for r in toxicity.toxic_documents(make(rows)).collect()]
-    assert sorted(got, key=str) == sorted([(1, 2, 0, 0), (1, 2, 0, 0), (3, 3, 2, 0), (6, 2, 0, 0), (None, 3, 0, 0)], key=str)
-    assert toxicity.toxic_documents(edge).count() == 0
-    assert toxicity.toxic_documents(make([])).count() == 0
+    got = [(r["doc_id"], r["n_hits"], r["n_misspelled"], r["n_quoted"]) for r in toxicity.toxic_documents(make(rows), LEXICON).collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 0, 0), (1, 2, 0, 0), (3, 2, 2, 0), (6, 1, 0, 0), (None, 3, 0, 0), (11, 3, 1, 0), (12, 2, 1, 0)], key=str)
+    assert toxicity.toxic_documents(edge, LEXICON).count() == 0
+    assert toxicity.toxic_documents(make([]), LEXICON).count() == 0
+    assert toxicity.toxic_documents(make(rows), toxicity.Lexicon(())).count() == 0
+
+
+def invented(seed, n, toxic, terms):
+    """Texts of random syllables; toxic ones hold some of the terms."""
+    rng = random.Random(seed)
+    out = ["".join(rng.choice("ba ce di fo gu la me ni po ru sa té vi".split()) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    for _ in range(4 * toxic):
+        out[rng.randrange(n)] = rng.choice(terms)
+    return " ".join(out)
+
+
+def labelled_corpus(spark):
+    terms = {"en": ["blorf", "snarkle", "grumpfish"], "fr": ["zwéquille", "zwéquette"]}
+    docs, labels = [], []
+    for i in range(400):
+        lang, toxic = ("en", "fr")[i % 2], int(i % 7 == 0)
+        copy = invented(0, 80, 1, ["blorf"]) if i % 70 == 0 else None  # copies prove nothing
+        docs.append((i, copy or invented(i, 80, toxic, terms[lang]), lang, 1))
+        labels.append((i, 1, toxic, "x"))
+    docs += [(None, "blorf", "en", 1), (900, None, "en", 1), (901, "", None, 1), (902, "blorf here", None, 1)]
+    labels += [(None, 1, 1, "x"), (900, 1, 1, "x"), (901, 1, None, "x"), (950, 1, 1, "x"), (3, 1, 2, "x")]
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, word int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, TEXT string"), terms
+
+
+def test_lexicon_is_learned_and_holds_on_other_rows(spark):
+    docs, labels, terms = labelled_corpus(spark)
+    lex = toxicity.learn(docs.where("doc_id is null or doc_id < 300 or doc_id > 800"), labels)
+    assert lex.terms == tuple(sorted(t for x in terms.values() for t in x))
+    held = docs.where("doc_id >= 300 and doc_id < 800")
+    found = {r["doc_id"] for r in toxicity.toxic_documents(held, lex).collect()}
+    assert found == {r["doc_id"] for r in labels.where("toxic = 1 and doc_id >= 300 and doc_id < 800").collect()}
+    # the bound on rows, and nothing to learn from
+    assert toxicity.labelled(docs, labels, 10).groupBy("lang", "toxic").count().where("count > 10").count() == 0
+    assert toxicity.learn(docs, labels.where("false")) == toxicity.Lexicon(())
+    assert toxicity.learn(docs.where("false"), labels) == toxicity.Lexicon(())
+    assert toxicity.learn(docs, labels.where("toxic = 0")) == toxicity.Lexicon(())
+
+
+def test_evidence_equals_brute_force(spark):
+    docs, labels, _ = labelled_corpus(spark)
+    rows = toxicity.labelled(docs, labels)
+    want = {}
+    for r in rows.collect():
+        words = (r["text"] or "").lower().split()
+        for before, w in zip(["", *words], words):
+            if len(w) >= toxicity.LETTERS:
+                want.setdefault((r["lang"], w), set()).add((r["toxic"], before))
+    got = {(r["lang"], r["word"]): (r["t"], r["c"]) for r in toxicity.word_evidence(rows).collect()}
+    assert got == {k: (sum(t for t, _ in v), sum(1 - t for t, _ in v)) for k, v in want.items()}
 
 
 def test_quotation_lowers_the_score():
     def rate(text):
         raw, off = string_buffers(pa.array([text]))
         w = Words(raw, off, normal_mask(raw))
-        hit, _, cost = toxicity.match(w, toxicity.automaton())
+        hit, _, cost = toxicity.match(w, toxicity.automaton(TERMS))
         return toxicity.context_score(w, int(hit[0]), 0, len(w.starts), 0, len(raw), int(cost[0]))
 
     assert rate("an idiot here") == (10_000, False)
@@ -293,13 +347,7 @@ def test_stretch_equals_brute_force():
     for _ in range(300):
         at = sorted(rng.sample(range(900), rng.randint(1, 8)))
         hits = [(i, rng.randint(0, 2), rng.randint(0, 1), rng.choice([2500, 6000, 10000]), False) for i in at]
-        best = 0
-        for h in hits:
-            part = [x for x in hits if h[0] - toxicity.STRETCH < x[0] <= h[0]]
-            near = {t: max(x[3] for x in part if x[1] == t and x[2]) for t in {x[1] for x in part if x[2]}}
-            exact = [x[3] for x in part if not x[2]]
-            if exact or len(near) > 1:
-                best = max(best, sum(exact) + sum(near.values()))
+        best = max(sum(x[3] for x in hits if h[0] - toxicity.STRETCH < x[0] <= h[0]) for h in hits)
         assert toxicity.judge(hits) == best
 
 

@@ -73,7 +73,7 @@ def test_run_equals_stages(spark, world):
 @pytest.mark.parametrize("name", WITH_SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
