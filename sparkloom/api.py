@@ -12,10 +12,10 @@ from .operators import codecs
 from .operators.learners import train
 from .sources.model import Model, NormalizerSpec
 
-__all__ = ["PreTokenizer", "Tokenizer", "train"]
+__all__ = ["Splitter", "Vocabulary", "train"]
 
 
-class PreTokenizer:
+class Splitter:
     """Normalisation and splitting of texts or text columns."""
 
     def __init__(self, normalize: str = "no", cut: int = 0, reconstruct: bool = False):
@@ -27,7 +27,7 @@ class PreTokenizer:
         return codecs.split_python(codecs.normalize_python(text, self.spec).decode(), self.spec.cut)
 
 
-class Tokenizer:
+class Vocabulary:
     """A loaded model. Texts give lists; columns give columns."""
 
     def __init__(self, model: Model, cutter: Callable[[str], list[str]] | None = None):
@@ -36,7 +36,7 @@ class Tokenizer:
         self.codec = codecs.Codec(model, self.cutter)
 
     @classmethod
-    def load(cls, path: str) -> Tokenizer:
+    def load(cls, path: str) -> Vocabulary:
         return cls(Model.load(path))
 
     @property

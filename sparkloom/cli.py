@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .api import PreTokenizer
+from .api import Splitter
 from .functions.codepoints import escape
 from .operators.codecs import Codec, han_cutter
 from .operators.counting import raw_count
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("count", help="learn a vocabulary")
     c.add_argument("--method", choices=METHODS, default="bytepiece")
     c.add_argument("--input", action="append", required=True)
-    c.add_argument("--model", default="tokenizer", help="prefix of the model file")
+    c.add_argument("--model", default="vocabulary", help="prefix of the model file")
     c.add_argument("--vocab-size", type=int, default=8000)
     c.add_argument("--normalize", default="no")
     c.add_argument("--cpu", type=int, default=4)
@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         log.info("saved %s.model with %d pieces", a.model, len(model))
     elif a.command == "raw-count":
         lines = read_lines(session(a.cpu), a.input)
-        pre = PreTokenizer(a.normalize, a.cut, a.reconstruct)
+        pre = Splitter(a.normalize, a.cut, a.reconstruct)
         if a.normalize == "no":
             counts = raw_count(lines, a.cut, a.reconstruct, a.max_piece_size, "value")
         else:
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
             write_counts_file(counts, a.output)
         print(f"lines={lines.count()} tokens={counts.count()}", file=out)
     elif a.command == "pretokenize":
-        pre = PreTokenizer(a.normalize, a.cut, a.reconstruct)
+        pre = Splitter(a.normalize, a.cut, a.reconstruct)
         for path in a.input or [""]:
             for line in _lines(path):
                 print(" ".join(pre.tokenize(line)), file=out)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.api import PreTokenizer
+from sparkloom.api import Splitter
 from sparkloom.functions import codepoints as cp
 from sparkloom.functions import text as tx
 from sparkloom.functions.charsmap import CharsMap, normalize, normalize_offsets, normalize_with_offsets
@@ -67,7 +67,7 @@ END = "Hello, World! don't 你好，世界。123abc"
 )
 def test_end_to_end(spark, cut, reconstruct, text, tokens):
     assert column(spark, [text], lambda c: tx.pretokenize(c, cut, reconstruct)) == [tokens]
-    assert PreTokenizer(cut=cut, reconstruct=reconstruct).tokenize(text) == tokens
+    assert Splitter(cut=cut, reconstruct=reconstruct).tokenize(text) == tokens
 
 
 def test_charsmap_vectors(spark):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.api import Tokenizer, train
+from sparkloom.api import Vocabulary, train
 from sparkloom.operators import codecs, counting, learners
 from sparkloom.operators.unigram import STATES, Unigram, segment
 from sparkloom.sources.model import BYTE, CounterSpec, Model, NormalizerSpec, Piece, meta_pieces
@@ -149,7 +149,7 @@ def test_learn_chars_skips_duplicates_and_unknown():
 def test_train_encode_decode(spark, lines, method, tmp_path):
     model = train(lines, method, 300, order=("n",), min_count=1)
     model.save(str(tmp_path / "m.model"))
-    t = Tokenizer.load(str(tmp_path / "m.model"))
+    t = Vocabulary.load(str(tmp_path / "m.model"))
     assert t.method == method
     assert [p.piece for p in t.model.pieces] == [p.piece for p in model.pieces]
     assert t.vocab_size == len(model)
@@ -188,7 +188,7 @@ def test_chinese_modes(spark, lines):
     for words in ("no", {"英国".encode(): 9.0, "你好".encode(): 5.0}):
         model = train(lines, "piece", 300, cn_dict=words, min_count=1)
         cutter = (lambda run: list(run)) if words == "no" else codecs.han_cutter(words)
-        t = Tokenizer(model, cutter)
+        t = Vocabulary(model, cutter)
         assert t.decode(t.encode("他是英国人")) == "他是英国人"
         df = spark.createDataFrame([("他是英国人",)], "s string")
         assert df.select(t.encode_as_ids(F.col("s"))).first()[0] == t.encode_as_ids("他是英国人")
@@ -211,7 +211,7 @@ def test_model_table_round_trip(spark):
 
 
 def test_lookup_of_pieces(lines):
-    t = Tokenizer(train(lines, "bytepiece", 300, min_count=1))
+    t = Vocabulary(train(lines, "bytepiece", 300, min_count=1))
     assert t.piece_to_id("no such piece") == -1
     assert t.id_to_piece(0) == b"<unk>"
     with pytest.raises(IndexError):
