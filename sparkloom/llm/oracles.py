@@ -57,7 +57,7 @@ SELECT doc_id, s::INTEGER AS start_token, e::INTEGER AS end_token, n::INTEGER AS
     "op5_substring_dedup": f"""WITH {_windows(50)}
 SELECT doc_id, min(p)::INTEGER AS start_token, (max(p) + 50)::INTEGER AS end_token, (count(*) + 49)::INTEGER AS n_tokens FROM rep GROUP BY doc_id, island""",
     "op6_exact_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),
+d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM d)
 SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(sqrt(d), 6) AS distance FROM r WHERE rank <= 10""",
     "op9_minhash_dedup": f"""WITH RECURSIVE t AS (SELECT doc_id, {_words('lower(text)')} AS w FROM documents),

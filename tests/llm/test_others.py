@@ -145,17 +145,22 @@ def test_sentences():
 # 6: nearest neighbours
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 40])
-def test_top_k_is_exact(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "every", "nearest", "max_queries"), [(10_000, 1, 4, 1000), (40, 1, 4, 1000), (12, 3, 2, 20)])
+def test_top_k_is_exact(spark, shard_rows, every, nearest, max_queries):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 1, (60, 5)) for c in (0, 3, 9)])
     x[5] = x[6] = x[7]
+    x[60:90] = x[60]  # more equal vectors than neighbours
+    x[100] = [0.0] * 5
+    x[101] = [-0.0] * 5
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(6, x[6].tolist()), (None, x[9].tolist()), (900, None), (901, []), (902, [1.0, None, 2.0, 1.0, 1.0]), (903, [float("nan")] * 5), (904, [1.0, 2.0]), (905, [1.5, 2.0])]
     df = spark.createDataFrame([(i, v, 1, "y") for i, v in rows], "vec_id long, embedding array<double>, shard int, VEC_ID string")
-    got = [tuple(r) for r in knn.top_k(df, 4, shard_rows).collect()]
+    got = [tuple(r) for r in knn.top_k(df, 4, shard_rows, every, nearest, max_queries).collect()]
     live = [(i, np.array(v)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
     want = []
     for a, (i, v) in enumerate(live):
+        if i is None or i % every:
+            continue
         others = sorted((round(float(((v - u) ** 2).sum()), 12), j is None, j or 0, j) for b, (j, u) in enumerate(live) if a != b and len(u) == len(v))
         want += [(i, r + 1, o[3], round(math.sqrt(o[0]), 6)) for r, o in enumerate(others[:4])]
     assert sorted(got, key=str) == sorted(want, key=str)
@@ -172,7 +177,7 @@ def test_tree_prunes():
     rows = tree.order[:16]
     norm = tree.norm
     tree.norm = type("N", (), {"max": norm.max, "__getitem__": lambda s, at: (seen.append(len(at)), norm[at])[1]})()
-    tree.search(x[rows], rows, np.arange(len(x)), np.arange(len(x)), 3, np.full(len(rows), np.inf))
+    tree.search(x[rows], np.arange(len(x)), np.arange(len(x)), 3, np.full(len(rows), np.inf))
     assert sum(seen) < 800
 
 
