@@ -7,25 +7,15 @@ checkpoint every few merges. For thousands of merges use ``operators.learners``.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .counting import pair_counts
 
 CUT_EVERY = 4
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, set as the checkpoint folder; a temporary one only where the setting is absent."""
-    context = spark.sparkContext._jsc.sc()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
-    return (folder or context.getCheckpointDir().get()).rstrip("/")
-
-
 def atoms(words: DataFrame) -> DataFrame:
     """(s, freq) of (word, freq)."""
     return words.select(F.regexp_replace(F.hex(F.encode("word", "UTF-8")), "(..)", "<$1>").alias("s"), "freq")
@@ -45,7 +35,7 @@ def apply_merge(state: DataFrame, a: str, b: str) -> DataFrame:
 def learn_merges(words: DataFrame, k: int, max_bytes: int = 18) -> DataFrame:
     """(step, a, b, cnt) of the first k merges."""
     spark = words.sparkSession
-    shared_folder(spark)
+    checkpoint_dir(spark)
     state = atoms(words).groupBy("s").agg(F.sum("freq").cast("long").alias("freq")).checkpoint()
     out: list[tuple[int, str, str, int]] = []
     for step in range(1, k + 1):

@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions.charsmap import normalize
 from ..operators import codecs, counting, merges, vocab
 from ..operators.learners import train
-from ..session import line_table, ship, spread, table
+from ..session import checkpoint_dir, line_table, ship, spread, table
 from ..sources.model import Model
 from ..sources.text import json_texts
 from ..streaming.counts import raw_count_stream
@@ -230,7 +230,7 @@ def stream_raw_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of the documents read as a stream, after its last batch."""
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if Path(f"{sf_dir}/documents.parquet").is_file() else spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
-    out = f"{merges.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     counts = raw_count_stream(docs.select(F.explode(F.split("text", "\n")).alias("value")))
     run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")).start()
     run.awaitTermination()

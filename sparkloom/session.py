@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir, set as the checkpoint folder.
+
+    Where the setting is absent, a temporary folder on one machine, as in tests; on a cluster that is an error.
+    """
+    context = spark.sparkContext._jsc.sc()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir().isDefined():
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
+    return (folder or context.getCheckpointDir().get()).rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
