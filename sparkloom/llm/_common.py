@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STABLE = {"Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "OneRowRelation", "ExternalRDD", "SerializeFromObject"}
+from ..session import checkpoint_dir
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where the setting is absent (local tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        d = tempfile.mkdtemp(prefix="sparkloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+_STABLE = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
+MAX_FILES = 1_000_000  # of an input whose list of files is broadcast
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,26 +33,39 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder (columns of it can be read on their own)."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def with_row_key(docs: DataFrame, name: str = "__rid") -> DataFrame:
-    """Add a unique key of every row, the same each time the plan runs.
+    """Add a unique key of every row, the same each time the plan runs, in the order of the table.
 
-    Over a file scan, the position in the scan is such a key; any other plan (one with a shuffle) is stored first.
+    It is the number of the row's file and its place in that file, whatever the splits of the scan are. Plans that
+    are more than columns and rows chosen from a file scan are stored first.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    todo, stable = [plan], True
+    keyed = _file_key(docs, name)
+    return keyed if keyed is not None else _file_key(stored(docs), name)
+
+
+def _file_key(docs: DataFrame, name: str) -> DataFrame | None:
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
     while todo:
         p = todo.pop()
-        stable &= p.nodeName().split(" ")[0] in _STABLE
+        if p.nodeName().split(" ")[0] not in _STABLE:
+            return None
         kids = p.children()
         todo += [kids.apply(i) for i in range(kids.size())]
-    if not stable:
-        docs = stored(docs)
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    try:
+        at = docs.metadataColumn("_metadata")
+        place = docs.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__row"))
+        files = sorted(r[0] for r in place.select("__file").distinct().limit(MAX_FILES + 1).collect())
+    except AnalysisException:  # not a file scan
+        return None
+    if len(files) > MAX_FILES:
+        return None
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __number long")
+    return place.join(F.broadcast(numbers), "__file").withColumn(name, F.shiftleft("__number", 40) + F.col("__row")).drop("__file", "__number", "__row")
 
 
 def buckets(spark: SparkSession) -> int:

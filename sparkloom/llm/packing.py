@@ -7,27 +7,31 @@ rest of which opens the next one. No window overflows, so every word is in exact
 words of capacity w costs w - s for padding, plus ``split`` where it cuts a document and ``truncation``
 where it cuts a sentence. With prefix sums S, the best total over the first j units (sentences, or words
 of the over-long ones) is the minimum of f(i) + S(i) over the window S(i) >= S(j) - w, held in a
-monotone queue: linear time, and optimal for the stream. A stream holds the texts of
-``ids_per_stream`` consecutive doc_id values, so that streams run in parallel at any size of the input.
+monotone queue: linear time, and optimal for the stream. A stream is a stretch of the ordered corpus of
+about ``STREAM_BYTES`` bytes of text (more where that would give over ``MAX_STREAMS`` streams), whatever the values
+of doc_id are, so that streams run in parallel and at most one window of each is cut short by its end. Streams
+are found by running sums: keys and sizes of the texts, without the texts, are ordered in ranges, and the sums of
+ranges before each are added; the first keys of the streams are then broadcast to the one shuffle of the texts.
 
 Defined results: null or empty texts take no room and appear in no window; ``truncated``, the words
-lost, is always 0; rows of one doc_id are ordered by text; rows without doc_id form a stream of their own (stream null); an empty table gives no rows;
-other columns are ignored. Equal totals: the earliest cut is taken.
+lost, is always 0; rows of one doc_id are ordered by a hash of the text, then as in the table; rows without doc_id come
+last; an empty table gives no rows; other columns are ignored. Equal totals: the earliest cut is taken.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import pick, ship
+from ._common import cut, pick, ship, with_row_key
 from ._tokens import Words, slices, string_buffers
 
-CAPACITY, TRUNCATION, SPLIT, IDS_PER_STREAM = 2048, 8, 16, 512
+CAPACITY, TRUNCATION, SPLIT, STREAM_BYTES, MAX_STREAMS = 2048, 8, 16, 8_000_000, 200_000
 SCHEMA = "stream long, window int, n_tokens int, padding int, truncated int, doc_ids array<long>, starts array<int>, ends array<int>, text string"
 
 _STOP = np.zeros(256, bool)
@@ -134,15 +138,54 @@ def pack_stream(texts: list[tuple[int | None, str]], capacity: int, truncation:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, truncation: int = TRUNCATION, split: int = SPLIT, ids_per_stream: int = IDS_PER_STREAM) -> DataFrame:
+def stream_of(few: DataFrame, stream_bytes: int) -> Column:
+    """The stream of each row of few(doc_id, text, h, __rid), in the order of doc_id (null last), h, __rid."""
+    spark = few.sparkSession
+    keys = ("none", "doc_id", "h", "__rid")
+    light = few.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h", "__rid", F.octet_length("text").cast("long").alias("size"))
+    total = light.agg(F.sum("size")).first()[0] or 0
+    stream_bytes = max(stream_bytes, -(-total // MAX_STREAMS))
+    if total <= stream_bytes:
+        return F.lit(0).cast("long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    light = cut(light.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()))
+    sums = {r["part"]: r["size"] for r in light.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+    before, at = [], 0
+    for part in sorted(sums):
+        before.append((part, at))
+        at += sums[part]
+    order = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
+    placed = placed.withColumn("own", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    placed = placed.withColumn("stream", F.expr(f"(before + own) div {stream_bytes}"))
+    firsts = sorted(tuple(r["k"]) + (r["stream"],) for r in placed.groupBy("stream").agg(F.min(F.struct(*keys)).alias("k")).collect())
+    shared = spark.sparkContext.broadcast((np.array([f[1] for f in firsts if not f[0]], np.int64), firsts))
+
+    @F.arrow_udf("long")
+    def find(doc_id: pa.Array, h: pa.Array, rid: pa.Array) -> pa.Array:
+        ids, first = shared.value
+        null, did = np.asarray(doc_id.is_null()), doc_id.fill_null(0).to_numpy()
+        at = np.where(null, len(first), np.searchsorted(ids, did, "left")) - 1
+        tie = np.flatnonzero(null | (np.searchsorted(ids, did, "right") - 1 != at))  # a stream begins inside this doc_id
+        for i in tie.tolist():
+            at[i] = bisect_right(first, (bool(null[i]), int(did[i]), h[i].as_py(), rid[i].as_py()), key=lambda f: f[:4]) - 1
+        return pa.array(np.array([f[4] for f in first], np.int64)[np.maximum(at, 0)])
+
+    return find("doc_id", "h", "__rid")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, truncation: int = TRUNCATION, split: int = SPLIT, stream_bytes: int = STREAM_BYTES) -> DataFrame:
     """Windows of ``docs(doc_id, text)``: stream, window, n_tokens, padding, truncated, doc_ids with word ranges starts and ends, text."""
     ship(docs.sparkSession)
-    few = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    few = few.withColumn("stream", F.floor(F.col("doc_id") / ids_per_stream).cast("long"))
+    few = with_row_key(pick(docs, "doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__rid").where("text is not null")
+    few = few.withColumn("h", F.xxhash64("text"))
+    few = few.withColumn("stream", stream_of(few, stream_bytes))
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()), key=lambda r: (r[0] or 0, r[1]))
-        out = pack_stream(rows, capacity, truncation, split)
+        did, h, rid = (t[c].to_pylist() for c in ("doc_id", "h", "__rid"))
+        by = sorted(range(len(did)), key=lambda i: (did[i] is None, did[i] or 0, h[i], rid[i]))
+        text = t["text"]
+        out = pack_stream([(did[i], text[i].as_py()) for i in by], capacity, truncation, split)
         stream = t["stream"][0].as_py()
         cols = list(zip(*out)) if out else [()] * 7
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())

@@ -101,14 +101,37 @@ def test_packing_keeps_words_and_order(make, edge):
     for r in out:
         assert r["n_tokens"] + r["padding"] == 64
         assert r["text"].split() == [w for d, a, b in zip(r["doc_ids"], r["starts"], r["ends"]) for w in texts[d].split()[a:b]]
-    ids = [d for r in out if r["stream"] == 0 for d in r["doc_ids"]]
-    assert ids == sorted(ids)
-    assert {r["stream"] for r in out} == {0, 1, None}
+    ids = [d for r in out for d in r["doc_ids"]]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0))
+    assert {r["stream"] for r in out} == {0}
     assert packing.pack(make([])).count() == 0
     wide = packing.pack(edge).collect()
     assert sum(r["n_tokens"] + r["truncated"] for r in wide) == sum(len((r["text"] or "").split()) for r in edge.toDF(*["doc_id", "text", *[f"c{i}" for i in range(8)]]).collect())
 
 
+def test_streams_follow_the_mass_of_the_text(make, spark):
+    """Any values of doc_id pack alike; a doc_id, or none, of a third of all rows is spread over streams."""
+    rng = random.Random(4)
+    texts = [prose(i, 40) for i in range(120)]
+    hashed = [rng.randrange(-(1 << 62), 1 << 62) for _ in texts]
+    windows = {}
+    for name, ids in (("dense", list(range(120))), ("hashed", sorted(hashed)), ("one", [i if i % 3 else 7 for i in range(120)]), ("none", [i if i % 3 else None for i in range(120)])):
+        rows = list(zip(ids, texts))
+        rng.shuffle(rows)
+        docs = make(rows + rows[:1] * 40)
+        out = packing.pack(docs.repartition(5), capacity=64, stream_bytes=4000).orderBy("stream", "window").collect()
+        seen = [d for r in out for d in r["doc_ids"]]
+        assert seen == sorted(seen, key=lambda i: (i is None, i or 0))
+        assert sorted(w for r in out for w in r["text"].split()) == sorted(w for _, t in rows + rows[:1] * 40 for w in t.split())
+        by = {}
+        for r in out:
+            by[r["stream"]] = by.get(r["stream"], 0) + len(r["text"])
+        assert len(by) > 5
+        assert max(by.values()) < 6000
+        windows[name] = len(out)
+    assert max(windows.values()) - min(windows.values()) <= 4
+
+
 def test_every_word_is_in_one_window(make):
     rows = [(1, prose(1, 50)), (2, " ".join(f"w{i}" for i in range(300)) + " the end. One more."), (3, prose(3, 90)), (4, " ".join(f"v{i}" for i in range(129))), (5, prose(5, 400))]
     out = packing.pack(make(rows), capacity=64).orderBy("window").collect()
