@@ -70,7 +70,7 @@ def _file_key(docs: DataFrame, name: str) -> DataFrame | None:
 
 def buckets(spark: SparkSession) -> int:
     """How many hash buckets an exchange has; follows spark.sql.shuffle.partitions."""
-    return max(1, min(60_000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

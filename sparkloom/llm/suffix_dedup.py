@@ -1,11 +1,12 @@
 """Operator 2: repeated passages by a depth-limited suffix radix sort.
 
 All suffixes of all texts are ordered, most significant digit first, only as deep as ``threshold``
-words. A digit is a block of words: the first one deals the suffixes into hash buckets (the shuffle),
-the second orders a bucket and drops suffixes that stand alone, the third orders only the survivors
-through the threshold. Groups that are equal at that depth are the repeated windows. Order within a
-digit is that of its 64-bit hash: which suffixes are equal does not depend on it. Digits two and
-three are 24 bits of the prefix and 39 bits of the whole window, besides the bucket's bits.
+words. A digit is a block of words. The first pass deals the suffixes by the hash of their first ``PREFIX`` words
+into buckets (the shuffle) and orders each bucket; suffixes that stand alone there are done, as they can have no
+equal deeper down. The second pass deals and orders only the others, through the threshold. Groups that
+are equal at that depth are the repeated windows. Order within a digit is that of its hash: which suffixes are
+equal does not depend on it. The hash of the first digit has 31 bits besides the bucket's (it only chooses what
+the second pass sees), that of the last 127 bits, so groups are equal words but for a chance of about n^2 / 2^128.
 
 Defined results: a null or empty text, or one shorter than the threshold, has no window; a null
 doc_id sorts last; repeated rows are separate documents; an empty table gives no rows; other columns
@@ -22,84 +23,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import buckets, masked, pick, with_row_key
-from ._exchange import MULTI, doc_table, exchange
+from ._exchange import DIRECT, MULTI, doc_table, equal_runs, exchange
+from ._lookup import looked_up
 from ._rewrite import without_words
 from ._tokens import Words, slices, window_hashes, window_starts
+from ._windows import RANGES, at_ranges, packed_ranges, range_windows, runs_at, whole_window_keys, window_runs
 
-THRESHOLD = 50
+THRESHOLD, PREFIX = 50, 16
 SPANS = "__rid long, doc_id long, start_token int, end_token int, repeated_windows int, first_windows int"
 
 
-def suffix_keys(threshold: int, n_buckets: int):
-    d0, d1 = max(1, threshold * 8 // 50), max(1, threshold * 24 // 50)
-    top, low = np.uint64(0xFFFFFF0000000000), np.uint64(0xFFFFFFFFFE)
+def prefix_keys(threshold: int, n_buckets: int):
+    """The first digit of the suffixes that reach the threshold."""
+    depth = max(1, threshold * PREFIX // THRESHOLD)
 
     def keys(raw: np.ndarray, off: np.ndarray, _: object) -> Iterator[tuple]:
         for a, _b, r, o in slices(raw, off):
             words = Words(r, o)
             at, counts = window_starts(words.doc, threshold)
-            h0, h1, h2 = window_hashes(words.hashes(), (d0, d1, threshold))
-            yield a, h0[at] % np.uint64(n_buckets), (h1[at] & top) | (h2[at] & low), counts
+            (h,) = window_hashes(words.hashes(), (depth,))
+            h = h[at]
+            yield a, h % np.uint64(n_buckets), (h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE), None, counts
 
     return keys
 
 
-def refine(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The second and third digit pass in a bucket: (in an equal group, first of its group)."""
+def not_alone(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A digit pass in a bucket: (in a group of equals, first of its group)."""
+    order, again = equal_runs(keys, second, MULTI)
+    grouped = again | np.concatenate([again[1:], [False]]) | (keys[order] & keys.dtype.type(MULTI)).astype(bool)
     repeated, first = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    many = (keys & np.uint64(MULTI)).astype(bool)
-    left = np.arange(len(keys))
-    for digit in (keys >> np.uint64(40), keys >> np.uint64(1)):
-        k = digit[left]
-        order = np.argsort(k, kind="stable")
-        k = k[order]
-        same = k[1:] == k[:-1]
-        again = np.concatenate([[False], same])
-        grouped = again | np.concatenate([same, [False]]) | many[left[order]]
-        heads = left[order[grouped & ~again]]
-        left = np.sort(left[order[grouped]])
-        if not len(left):
-            return repeated, first
-    repeated[left] = True
-    first[heads] = True
+    repeated[order[grouped]] = True
+    first[order[grouped & ~again]] = True
     return repeated, first
 
 
-def window_runs(count: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of flagged positions that stay inside a row: (row, first position in it, end position in it, first position in all)."""
-    doc = np.repeat(np.arange(len(count)), count)
-    base = np.cumsum(count) - count
-    new = np.ones(len(flag), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | ~flag[:-1]
-    start = np.flatnonzero(flag & new)
-    last = np.ones(len(flag), bool)
-    last[:-1] = (doc[1:] != doc[:-1]) | ~flag[1:]
-    end = np.flatnonzero(flag & last) + 1
-    return doc[start], start - base[doc[start]], end - base[doc[start]], start
+def deep_sort(keyed: DataFrame, threshold: int, assemble, schema: str, direct: int) -> DataFrame:  # noqa: ANN001
+    """Both passes over ``keyed`` (which has __rid); ``assemble`` gets the groups of the second one."""
+    n = buckets(keyed.sparkSession)
 
+    def survivors(rid, did, null, count, repeated, first, _):  # noqa: ANN001, ANN202
+        row, a, b, _ = window_runs(count, repeated)
+        return packed_ranges(rid, row, a, b)
 
-def repeat_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    some = exchange(doc_table(keyed), prefix_keys(threshold, n), not_alone, survivors, RANGES, "uint32", n_buckets=n, direct=direct)
+    return exchange(at_ranges(keyed, some), whole_window_keys(threshold, n), not_alone, assemble, schema, "uint64", True, n_buckets=n, direct=direct)
+
+
+def repeat_runs(docs: DataFrame, threshold: int = THRESHOLD, direct: int = DIRECT) -> DataFrame:
     """Per row of ``docs`` (which has __rid): its runs of repeated windows."""
-    n = buckets(docs.sparkSession)
 
-    def assemble(rid, did, null, count, repeated, first, _):  # noqa: ANN001, ANN202
-        row, a, b, start = window_runs(count, repeated)
+    def assemble(rid, did, null, count, repeated, first, notes):  # noqa: ANN001, ANN202
+        row, a, b, start = runs_at(notes, repeated)
         n_first = np.concatenate([[0], np.cumsum(first & repeated)])
         return {"__rid": rid[row], "doc_id": pa.array(did[row], mask=null[row]), "start_token": pa.array(a, pa.int32()), "end_token": pa.array(b + threshold - 1, pa.int32()), "repeated_windows": pa.array(b - a, pa.int32()), "first_windows": pa.array(n_first[start + b - a] - n_first[start], pa.int32())}
 
-    return exchange(doc_table(docs), suffix_keys(threshold, n), refine, assemble, SPANS, n_buckets=n)
+    return deep_sort(docs, threshold, assemble, SPANS, direct)
 
 
-def suffix_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def suffix_repeats(docs: DataFrame, threshold: int = THRESHOLD, direct: int = DIRECT) -> DataFrame:
     """Every maximal run of windows of ``threshold`` words that occur at least twice in ``docs(doc_id, text)``.
 
     Rows: doc_id, start_token, end_token (exclusive, in words), repeated_windows, and first_windows: how
     many of them are the first of their group in the order of the table (least doc_id first within a scan chunk).
     """
-    return repeat_runs(with_row_key(pick(docs, "doc_id", "text")), threshold).drop("__rid")
+    return repeat_runs(with_row_key(pick(docs, "doc_id", "text")), threshold, direct).drop("__rid")
+
 
+def later_words(notes: list[bytes], repeated: np.ndarray, first: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the stretches of words in later occurrences and in no first one."""
+    starts, counts = range_windows(notes)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    size = np.zeros(len(counts), np.int64)
+    np.maximum.at(size, doc, starts + threshold)
+    base = np.cumsum(size) - size
 
-DROPS = "__rid long, __cut binary"
+    def cover(flag: np.ndarray) -> np.ndarray:
+        at = np.zeros(int(size.sum()) + 1, np.int64)
+        np.add.at(at, base[doc[flag]] + starts[flag], 1)
+        np.add.at(at, base[doc[flag]] + starts[flag] + threshold, -1)
+        return np.cumsum(at)[:-1] > 0
+
+    row, a, b, _ = window_runs(size, cover(repeated & ~first) & ~cover(repeated & first))
+    return row, a, b
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -107,27 +113,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Words of a later occurrence go, unless they also belong to a first one. A text of which nothing is left goes.
     """
-    n = buckets(docs.sparkSession)
     docs, back = masked(docs, "doc_id", "text", "n_chars")
     keyed = with_row_key(docs)
 
-    def assemble(rid, did, null, count, repeated, first, _):  # noqa: ANN001, ANN202
-        def cover(flag: np.ndarray) -> np.ndarray:
-            row, a, b, _ = window_runs(count, flag)
-            at = np.zeros(int((count + threshold).sum()) + 1, np.int64)
-            base = np.cumsum(count + threshold) - (count + threshold)
-            np.add.at(at, base[row] + a, 1)
-            np.add.at(at, base[row] + b + threshold - 1, -1)
-            return np.cumsum(at)[:-1] > 0
-
-        gone = cover(repeated & ~first) & ~cover(repeated & first)
-        row, a, b, _ = window_runs(count + threshold, gone)
-        by = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
-        pairs = np.stack([a, b], 1).astype(np.int32)
-        return {"__rid": rid[row[by]], "__cut": pa.array([p.tobytes() for p in np.split(pairs, by[1:])] if len(by) else [], pa.binary())}
-
-    drops = exchange(doc_table(keyed), suffix_keys(threshold, n), refine, assemble, DROPS, n_buckets=n)
-    out = keyed.join(drops.hint("merge"), "__rid", "left").withColumn("text", without_words(F.col("text"), F.col("__cut")))
+    def assemble(rid, did, null, count, repeated, first, notes):  # noqa: ANN001, ANN202
+        return packed_ranges(rid, *later_words(notes, repeated, first, threshold))
+
+    drops = deep_sort(keyed, threshold, assemble, RANGES, DIRECT)
+    out = keyed.withColumn("__cut", looked_up(drops, F.col("__rid"))).withColumn("text", without_words(F.col("text"), F.col("__cut")))
     out = out.where(F.col("__cut").isNull() | (F.trim("text") != ""))
     return back(with_lengths(out, docs))
 

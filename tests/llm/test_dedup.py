@@ -53,16 +53,69 @@ def brute_runs(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [50, 12, 3])
-def test_repeats_equal_brute_force(make, n):
+@pytest.mark.parametrize(("n", "direct"), [(50, 2048), (12, 2048), (3, 2048), (12, 1), (3, 2)])
+def test_repeats_equal_brute_force(make, n, direct):
+    """``direct`` below the number of buckets takes the second hop."""
     rows = rows_with_repeats()
     want = brute_runs(rows, n)
-    got = [tuple(r) for r in suffix_dedup.suffix_repeats(make(rows).coalesce(1), n).collect()]
+    got = [tuple(r) for r in suffix_dedup.suffix_repeats(make(rows).coalesce(1), n, direct).collect()]
     assert sorted(got, key=str) == want
-    spans = [tuple(r) for r in substring_dedup.substring_repeats(make(rows), n).collect()]
+    spans = [tuple(r) for r in substring_dedup.substring_repeats(make(rows).repartition(3), n, direct).collect()]
     assert sorted(spans, key=str) == sorted([(d, a, b, b - a) for d, a, b, _, _ in want], key=str)
 
 
+def test_anchors_equal_brute_force(make):
+    """The windows that are extended: those that hold a reference block of another place, or a window that equals their own block."""
+    from sparkloom.llm._common import with_row_key
+
+    rows = order(rows_with_repeats())
+    texts = [(t or "").split() for _, t in rows]
+    blocks, windows = defaultdict(set), defaultdict(set)
+    for k, w in enumerate(texts):
+        for i in range(len(w) - 5):
+            windows[tuple(w[i : i + 6])].add((k, i))
+            if i % 6 == 0:
+                blocks[tuple(w[i : i + 6])].add((k, i))
+    hit = {spot for value, spots in windows.items() if value in blocks and len(spots) > 1 for spot in spots}
+    want = {}
+    for k, w in enumerate(texts):
+        starts = sorted(s for s in range(len(w) - 11) if any((k, s + o) in hit for o in range(7)))
+        if starts:
+            want.setdefault((rows[k][0], rows[k][1]), []).append(starts)
+    keyed = with_row_key(make(rows).toDF("doc_id", "text", *[f"c{i}" for i in range(8)]).select("doc_id", "text"))
+    of = {r["__rid"]: (r["doc_id"], r["text"]) for r in keyed.collect()}
+    got = {}
+    for r in substring_dedup.anchors(keyed, 12).collect():
+        ranges = np.frombuffer(r["extra"], np.int32).reshape(-1, 2)
+        got.setdefault(of[r["__rid"]], []).append([i for a, b in ranges for i in range(a, b)])
+    assert got == want
+
+
+def test_lookup(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm._lookup import looked_up
+
+    keys = spark.range(0, 5000, 1, 3)
+    some = spark.range(0, 9000, 7).select(F.col("id").alias("__rid"), (F.col("id") * 2).alias("v"))
+    got = keys.withColumn("v", looked_up(some, F.col("id"), 100)).collect()
+    assert all(r["v"] == (2 * r["id"] if r["id"] % 7 == 0 else None) for r in got)
+    raw = some.select("__rid", F.encode(F.col("v").cast("string"), "UTF-8").alias("v"))
+    got = keys.withColumn("v", looked_up(raw, F.col("id"), 250)).collect()
+    assert all(r["v"] == (str(2 * r["id"]).encode() if r["id"] % 7 == 0 else None) for r in got)
+    assert keys.withColumn("v", looked_up(some.where("v < 0"), F.col("id"))).where("v is not null").count() == 0
+
+
+def test_colliding_first_parts_are_told_apart():
+    from sparkloom.llm._exchange import equal_runs
+
+    key = np.array([8, 8, 6, 8, 8, 6], np.uint64)
+    second = np.array([1, 2, 5, 1, 3, 5], np.uint64)
+    order_, again = equal_runs(key, second, 1)
+    assert [(int(key[i]), int(second[i]), bool(x)) for i, x in zip(order_, again)] == [(6, 5, False), (6, 5, True), (8, 1, False), (8, 1, True), (8, 2, False), (8, 3, False)]
+    assert suffix_dedup.not_alone(key, second)[0].tolist() == [True, False, True, True, False, True]
+
+
 def test_remove_repeats(make):
     rows = rows_with_repeats()
     docs = make(rows)
