@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
@@ -11,16 +11,18 @@ from ._common import cut
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, component: its least node), for every node of an edge.
 
-    Each round is two shuffles of the edges; the lineage is cut with a reliable checkpoint. Null ends and loops are ignored.
+    The least neighbour of a node is a partial aggregate that is joined to its edges, so a node with very many edges
+    is no group of one task (adaptive execution splits its side of the join). The lineage is cut with a reliable
+    checkpoint each round. Null ends and loops are ignored.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        by = Window.partitionBy("a")
         both = e.union(e.select("b", "a"))
-        large = both.withColumn("m", F.least(F.min("b").over(by), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        m = F.min("b").over(by)
-        small = large.withColumn("m", m).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        m = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(m, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

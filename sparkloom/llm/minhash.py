@@ -4,11 +4,15 @@ Shingles are runs of ``SHINGLE`` lower-cased words. Two permutations of the 2**3
 all signature coordinates (Li and Li, C-MinHash): sigma is applied once, and coordinate k is the
 minimum of pi circularly shifted by k, i.e. of pi(sigma(x) + k mod 2**32). Both are bijections
 computed in 32-bit lanes, so no table of them is kept. Signatures are cut into bands; texts that
-share a band are candidates, and every group that candidates connect is verified with exact Jaccard
-similarities of the whole shingle sets. Texts with equal shingle sets are joined first, whatever
-their number, and only one of them goes through the bands. A candidate group is verified breadth
-first: each text that was reached is compared with all that were not, so the components are those of
-all pairs at or above the threshold, without listing the pairs of a large group.
+share a band are candidates. Texts with equal shingle sets are joined first, whatever their number, and only one
+of them goes through the bands. In a bucket of a band, texts are linked that agree in ``PLAUSIBLE`` of their
+coordinates (one byte of each), far below the threshold, so that chance candidates do not grow into large groups;
+buckets of more than ``BUCKET`` texts are linked whole. The groups so connected are verified with exact Jaccard
+similarities of the whole shingle sets, breadth first: each text that was reached is compared with all
+that were not, so the components are those of all pairs at or above the threshold, without listing the
+pairs of a large group. A group of over ``BLOCK`` texts is verified in blocks, each beside the first text of the group;
+texts that are not linked to that one are then compared, in batches, with all blocks, which leaves out no pair
+that could join two components.
 
 Defined results: a text of fewer than ``SHINGLE`` words is one shingle of all its words; null and
 empty texts belong to no group; repeated rows are copies of each other; a group keeps the row of the
@@ -21,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, masked, pick, ship, stored, with_row_key
+from ._lookup import looked_up
 from ._tokens import Words, mix64, slices, string_buffers, window_hashes
 from .components import components
 
-SHINGLE, BANDS, ROWS, JACCARD = 3, 48, 4, 0.5
-SIGNED = "__rid long, doc_id long, f1 long, f2 long, bands array<long>"
+SHINGLE, BANDS, ROWS, JACCARD, PLAUSIBLE, BUCKET, BLOCK = 3, 48, 4, 0.5, 0.3, 20_000, 4096
+SIGNED = "__rid long, doc_id long, f1 long, f2 long, bands array<long>, sig binary"
 
 
 def sigma(x: np.ndarray) -> np.ndarray:
@@ -102,12 +107,14 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 sizes = np.array([len(sets[i]) for i in live])
                 starts = np.cumsum(sizes) - sizes
                 x = np.concatenate([sets[i] for i in live])
-                keys = band_keys(signatures((x >> np.uint64(32)).astype(np.uint32), starts, bands * rows), bands, rows)
+                sig = signatures((x >> np.uint64(32)).astype(np.uint32), starts, bands * rows)
+                keys = band_keys(sig, bands, rows)
+                low = pa.array([c.tobytes() for c in sig.T.astype(np.uint8)], pa.binary())
                 f1 = np.add.reduceat(mix64(x ^ np.uint64(0x1234567)), starts)
                 f2 = np.bitwise_xor.reduceat(mix64(x + np.uint64(0x7654321)), starts)
                 take = pa.array(live + a)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(live) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rid.take(take), did.take(take), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["__rid", "doc_id", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([rid.take(take), did.take(take), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, low], names=["__rid", "doc_id", "f1", "f2", "bands", "sig"])
 
     return _lowered(docs).mapInArrow(run, SIGNED)
 
@@ -116,10 +123,33 @@ def _lowered(docs: DataFrame) -> DataFrame:
     return docs.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
 
 
+def within(x: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, which: np.ndarray, jaccard: float) -> np.ndarray:
+    """Those of the sets ``which`` whose Jaccard similarity with x reaches the threshold."""
+    small, large = np.minimum(sizes[which], len(x)), np.maximum(sizes[which], len(x))
+    near = which[small >= jaccard * large]
+    hit = [np.zeros(0, np.int64)]
+    for at in range(0, len(near), 256):
+        part = near[at : at + 256]
+        flat = np.concatenate([sets[j] for j in part])
+        pos = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        starts = np.cumsum(sizes[part]) - sizes[part]
+        both = np.add.reduceat((x[pos] == flat).astype(np.int64), starts)
+        hit.append(part[both >= jaccard * (sizes[part] + len(x) - both)])
+    return np.concatenate(hit)
+
+
 def groups_in(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
     """Component of each set (the least index), over all pairs whose Jaccard similarity reaches the threshold."""
-    n = len(sets)
     sizes = np.array([len(s) for s in sets])
+
+    def reach(i: int, left: np.ndarray) -> np.ndarray:
+        return within(sets[i], sets, sizes, left, jaccard)
+
+    return spread(len(sets), reach)
+
+
+def spread(n: int, reach) -> np.ndarray:  # noqa: ANN001
+    """Component of each of n items (the least index); ``reach(i, left)`` gives those of ``left`` that are linked to i."""
     label = np.full(n, -1)
     for root in range(n):
         if label[root] >= 0:
@@ -128,65 +158,130 @@ def groups_in(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
         queue = [root]
         left = np.flatnonzero(label < 0)
         while queue and len(left):
-            x = sets[i := queue.pop()]
-            small, large = np.minimum(sizes[left], sizes[i]), np.maximum(sizes[left], sizes[i])
-            near = left[small >= jaccard * large]
-            hit = []
-            for at in range(0, len(near), 256):
-                part = near[at : at + 256]
-                flat = np.concatenate([sets[j] for j in part])
-                pos = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-                starts = np.cumsum(sizes[part]) - sizes[part]
-                both = np.add.reduceat((x[pos] == flat).astype(np.int64), starts)
-                hit.append(part[both >= jaccard * (sizes[part] + sizes[i] - both)])
-            if hit and len(hit := np.concatenate(hit)):
+            hit = reach(queue.pop(), left)
+            if len(hit):
                 label[hit] = root
                 queue += hit.tolist()
                 left = left[label[left] < 0]
     return label
 
 
-def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """(__rid, doc_id, kept_doc_id) of each row of ``keyed`` (which has __rid) that duplicates the kept row of its group."""
-    spark = keyed.sparkSession
-    sigs = stored(signed(keyed, shingle, bands, rows))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")
-    copies = Window.partitionBy("f1", "f2")
-    rep = sigs.select("__rid", "doc_id", F.min(order).over(copies).alias("rep"))
-    rep = cut(rep.select("__rid", "doc_id", F.col("rep.__rid").alias("rep"), F.col("rep.doc_id").alias("rep_doc")))
-    one = rep.where("__rid = rep").select("__rid")
-    banded = sigs.select("__rid", F.explode("bands").alias("band")).join(one, "__rid", "left_semi")
-    edges = banded.withColumn("b", F.min("__rid").over(Window.partitionBy("band"))).where("__rid <> b").select(F.col("__rid").alias("a"), "b").distinct()
-    comp = components(edges).withColumnRenamed("node", "__rid")
-    ship(spark)
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, __rid, sig) rows ordered by band -> edges (a, b) that connect what may be similar in each bucket."""
 
-    def verify(t: pa.Table) -> pa.Table:
-        did = t["doc_id"].fill_null(0).to_numpy()
-        rid = t["__rid"].to_numpy()
-        null = np.asarray(t["doc_id"].is_null())
-        by = np.lexsort((rid, did, null))
+    def edges(band: np.ndarray, rid: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        need = PLAUSIBLE * sig.shape[1]
+        start = np.flatnonzero(np.diff(band, prepend=band[0] - 1))
+        size = np.diff(np.append(start, len(band)))
+        two = start[size == 2]
+        ok = (sig[two] == sig[two + 1]).sum(1) >= need
+        out = [np.stack([rid[two[ok]], rid[two[ok] + 1]], 1)]
+        for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            s = sig[a : a + n]
+            label = spread(n, lambda i, left, s=s: left[(s[left] == s[i]).sum(1) >= need])
+            out.append(np.stack([rid[a : a + n], rid[a + label]], 1)[label != np.arange(n)])
+        pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw, _ = string_buffers(batch.column(2))
+        new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw.reshape(batch.num_rows, -1))
+        cols = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
+        end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+        if end:
+            yield edges(*(c[:end] for c in cols))
+        rest = tuple(c[end:] for c in cols)
+    if rest is not None:
+        yield edges(*rest)
+
+
+def candidates(sigs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(node, component) of the texts of ``sigs(__rid, bands, sig)`` that bands and signatures connect."""
+    bands = sigs.select("__rid", F.explode("bands").alias("band"))
+    heads = cut(bands.groupBy("band").agg(F.min("__rid").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    inside = bands.join(heads, "band")
+    whole = inside.where((F.col("n") > bucket) & (F.col("__rid") != F.col("head"))).select(F.col("__rid").alias("a"), F.col("head").alias("b"))
+    small = inside.where(F.col("n") <= bucket).select("__rid", "band").join(sigs.select("__rid", "sig"), "__rid")
+    some = small.select("band", "__rid", "sig").repartition("band").sortWithinPartitions("band").mapInArrow(plausible, "a long, b long")
+    return components(whole.union(some))
+
+
+VERIFIED = "__rid long, doc_id long, lead long, component long"
+
+
+def verified(keyed: DataFrame, comp: DataFrame, shingle: int, jaccard: float, block: int = BLOCK) -> DataFrame:
+    """(__rid, doc_id, lead): the component under the exact similarity of each text of the candidate groups, named by a member."""
+    sizes = cut(comp.groupBy("component").agg(F.count("*").alias("n")))
+    placed = comp.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # the first text of a group stands in each of its blocks
+    placed = placed.select("node", "component", F.explode(F.when(F.col("node") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))).alias("part"))
+    texts = _lowered(keyed.where(looked_up(comp.select("node", "component"), F.col("__rid")).isNotNull()))
+    rows = texts.join(placed.withColumnRenamed("node", "__rid"), "__rid")
+
+    def sets_of(t: pa.Table) -> list[np.ndarray]:
         raw, off = string_buffers(t["text"])
-        all_sets = [x for _, _, r, o in slices(raw, off) for x in shingle_sets(r, o, shingle)]
-        sets = [all_sets[i] for i in by]
-        label = groups_in(sets, jaccard)
-        lead = by[label]
-        return pa.table({"rep": rid[by], "lead": rid[lead], "lead_doc": pa.array(did[lead], pa.int64(), mask=null[lead])})
+        return [x for _, _, r, o in slices(raw, off) for x in shingle_sets(r, o, shingle)]
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__rid")
+        label = groups_in(sets_of(t), jaccard)
+        return pa.table({"__rid": t["__rid"], "doc_id": t["doc_id"], "lead": t["__rid"].take(pa.array(label)), "component": t["component"]})
+
+    first = stored(rows.groupBy("component", "part").applyInArrow(verify, VERIFIED))
+    large = sizes.where(F.col("n") > block)
+    if not large.count():
+        return first.select("__rid", "doc_id", "lead")
+    big = first.join(large.select("component"), "component", "left_semi")
+    rest = cut(big.where("lead <> component").select("__rid", "lead", "component"))
+    left = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("batches"))
+    members = rows.join(left, "component").join(big.select("__rid", "component", "lead").distinct(), ["__rid", "component"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    asks = texts.join(rest, "__rid").join(left, "component").join(placed.groupBy("component").agg(F.max("part").alias("parts")), "component")
+    asks = asks.withColumn("batch", F.pmod(F.xxhash64("__rid"), F.col("batches")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts"))))
+
+    def cross(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = set()
+        if len(a) and len(b):
+            sets, lead = sets_of(b), b["lead"].to_numpy()
+            sizes_ = np.array([len(s) for s in sets])
+            for x, mine in zip(sets_of(a), a["lead"].to_pylist()):
+                found |= {(mine, int(y)) for y in np.unique(lead[within(x, sets, sizes_, np.arange(len(sets)), jaccard)]) if y != mine}
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
-    near = _lowered(keyed).join(comp, "__rid").groupBy("component").applyInArrow(verify, "rep long, lead long, lead_doc long")
-    out = rep.join(near, "rep", "left")
-    kept = F.when(F.col("lead").isNull(), F.col("rep")).otherwise(F.col("lead"))
-    doc = F.when(F.col("lead").isNull(), F.col("rep_doc")).otherwise(F.col("lead_doc"))
-    return out.where(kept != F.col("__rid")).select("__rid", "doc_id", doc.alias("kept_doc_id"))
+    key = ["component", "part", "batch"]
+    asks = asks.select(*[F.col(c).alias(c) for c in (*key, "text", "lead")])  # new columns, not those of members
+    more = asks.groupBy(*key).cogroup(members.select(*key, "text", "lead").groupBy(*key)).applyInArrow(cross, "a long, b long")
+    joined = components(big.select(F.col("__rid").alias("a"), F.col("lead").alias("b")).union(more)).withColumnRenamed("component", "joined")
+    out = first.select("__rid", "doc_id", "lead").distinct().join(joined.withColumnRenamed("node", "__rid"), "__rid", "left")
+    return out.select("__rid", "doc_id", F.coalesce("joined", "lead").alias("lead"))
+
+
+def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(__rid, doc_id, kept, kept_doc_id) of each row of ``keyed`` (which has __rid) that duplicates the kept row of its group."""
+    sigs = stored(signed(keyed, shingle, bands, rows))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")
+    classes = sigs.groupBy("f1", "f2").agg(F.min(rank).alias("rep"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "rep")
+    copies = stored(sigs.join(classes, ["f1", "f2"]).where("__rid <> rep.__rid").select("__rid", "doc_id", F.col("rep.__rid").alias("rep"), F.col("rep.doc_id").alias("rep_doc")))
+    one = sigs.where(looked_up(copies.select("__rid", "rep"), F.col("__rid")).isNull())
+    lead = cut(verified(keyed, candidates(one, bucket), shingle, jaccard, block))
+    best = lead.groupBy("lead").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    near = lead.join(best, "lead").select("__rid", "doc_id", F.col("kept.__rid").alias("kept"), F.col("kept.doc_id").alias("kept_doc_id"))
+    of = near.select(F.col("__rid").alias("rep"), "kept", "kept_doc_id")
+    same = copies.join(of, "rep", "left").select("__rid", "doc_id", F.coalesce("kept", "rep").alias("kept"), F.when(F.col("kept").isNull(), F.col("rep_doc")).otherwise(F.col("kept_doc_id")).alias("kept_doc_id"))
+    return near.where("__rid <> kept").unionByName(same)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """Each document of ``docs(doc_id, text)`` that is a near or exact copy, with the kept one of its group: doc_id, kept_doc_id."""
-    return removals(with_row_key(pick(docs, "doc_id", "text")), shingle, bands, rows, jaccard).drop("__rid")
+    return removals(with_row_key(pick(docs, "doc_id", "text")), shingle, bands, rows, jaccard).select("doc_id", "kept_doc_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all columns stay."""
     docs, back = masked(docs, "doc_id", "text")
     keyed = with_row_key(docs)
-    gone = cut(removals(keyed, shingle, bands, rows, jaccard).select("__rid"))
-    return back(keyed.join(gone, "__rid", "left_anti"))
+    gone = removals(keyed, shingle, bands, rows, jaccard).select("__rid", "kept")
+    return back(keyed.where(looked_up(gone, F.col("__rid")).isNull()))

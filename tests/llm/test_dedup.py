@@ -197,6 +197,27 @@ def test_near_duplicates_equal_brute_force(make):
     assert got == brute_groups(rows, minhash.JACCARD)
 
 
+def test_large_groups_are_verified_in_blocks(make):
+    """Chains of texts, of which only neighbours are similar, in buckets and groups above their limits."""
+    import random
+
+    from sparkloom.llm._common import pick, with_row_key
+
+    rng = random.Random(14)
+    rows = []
+    for g in range(3):
+        w = prose(2000 + g, 90).split()
+        for c in range(30):
+            for _ in range(9):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((g * 100 + c, " ".join(w)))
+    rows += [(7000 + i, prose(2000, 90) + f" tail{i}") for i in range(20)] + [(8000, prose(2000, 90)), (8001, prose(2000, 90))]
+    rng.shuffle(rows)
+    keyed = with_row_key(pick(make(rows), "doc_id", "text"))
+    got = {(r["doc_id"], r["kept_doc_id"]) for r in minhash.removals(keyed, bucket=3, block=8).collect()}
+    assert got == brute_groups(rows, minhash.JACCARD)
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
