@@ -21,6 +21,7 @@ LETTER = (
 )
 WORD = LETTER + HAN + DIGIT
 SPACES = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+STRIPPED = SPACES + r"\x{1C}-\x{1F}"  # white space as cleaning and sentence splitting see it
 _S = r"\x{2581}"
 _NOT = f"[^{WORD}]"
 _P = f"[^{WORD}{_S}]"
@@ -110,14 +111,18 @@ def piece_to_byte(piece: Column) -> Column:
 
 
 def strip_headings(text: Column) -> Column:
-    """Delete Markdown heading lines."""
-    return F.regexp_replace(text, r"(?m)^#+[ \t\n\f\r\x{B}]+.*$", "")
+    """Delete Markdown heading lines. Only a line feed ends a line."""
+    return F.regexp_replace(text, f"(?md)^#+[{STRIPPED}]+.*$", "")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends, that of all scripts."""
+    return F.regexp_replace(text, f"^[{STRIPPED}]+|[{STRIPPED}]+\\z", "")
 
 
 def clean_text(text: Column) -> Column:
-    """Headings deleted, ends trimmed, white space collapsed."""
-    t = F.regexp_replace(strip_headings(text), r"[ \t\n\f\r\x{B}]+", " ")
-    return F.trim(t)
+    """Headings deleted, ends trimmed, runs of white space (of all scripts) made one space."""
+    return F.trim(F.regexp_replace(strip_headings(text), f"[{STRIPPED}]+", " "))
 
 
 def simplify_chinese(text: Column, mapping: dict[str, str]) -> Column:
@@ -127,10 +132,9 @@ def simplify_chinese(text: Column, mapping: dict[str, str]) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences: cut after full-width enders, or after .!? before white space or the end; trimmed, without empty ones."""
-    t = F.regexp_replace(text, r"([.!?])([ \t\n\f\r\x{B}]|\z)", "$1\n$2")
-    t = F.regexp_replace(t, "([。！？])", "$1\n")
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(s, r"^[ \t\n\f\r\x{B}]+|[ \t\n\f\r\x{B}]+\z", "")), lambda s: s != "")
+    """Sentences: lines cut after full-width enders, or after .!? before white space or the end; trimmed, without empty ones."""
+    t = F.regexp_replace(text, f"([.!?])(?=[{STRIPPED}]|\\z)|([。！？])", "$1$2\n")
+    return F.filter(F.transform(F.split(t, "[\r\n]"), strip), lambda s: s != "")
 
 
 def is_english_token(token: Column) -> Column:

@@ -1,7 +1,8 @@
 """Byte-pair merges as DataFrame steps, for a few merges over a distributed word table.
 
 A word is a string of hex atoms, <68><65>. A merge is the literal replacement of '<a><b>' by '<ab>',
-which is left to right without overlap. Each merge is one job; the lineage is cut with a reliable
+which is left to right without overlap. Pair counts are kept as a table: a merge recounts only the words that
+hold its pair, before and after, and adds the difference. The lineage is cut with a reliable
 checkpoint every few merges. For thousands of merges use ``operators.learners``.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .counting import pair_counts
 
-CUT_EVERY = 4
+CUT_EVERY = 16
 
 
 def atoms(words: DataFrame) -> DataFrame:
@@ -21,11 +22,14 @@ def atoms(words: DataFrame) -> DataFrame:
     return words.select(F.regexp_replace(F.hex(F.encode("word", "UTF-8")), "(..)", "<$1>").alias("s"), "freq")
 
 
-def best_pair(state: DataFrame, max_bytes: int = 18) -> DataFrame:
+def pairs_of(state: DataFrame) -> DataFrame:
+    """(a, b, cnt) of the neighbouring atoms of state(s, freq)."""
+    return pair_counts(state, F.regexp_extract_all(F.col("s"), F.lit("<[^>]+>"), F.lit(0)))
+
+
+def best_pair(pairs: DataFrame, max_bytes: int = 18) -> DataFrame:
     """One row (a, b, cnt): the most frequent pair that stays within ``max_bytes``; ties by a, then b."""
-    t = F.regexp_extract_all(F.col("s"), F.lit("<[^>]+>"), F.lit(0))
-    pairs = pair_counts(state, t).where(F.length("a") + F.length("b") - 4 <= 2 * max_bytes)
-    return pairs.orderBy(F.desc("cnt"), "a", "b").limit(1)
+    return pairs.where((F.col("cnt") > 0) & (F.length("a") + F.length("b") - 4 <= 2 * max_bytes)).orderBy(F.desc("cnt"), "a", "b").limit(1)
 
 
 def apply_merge(state: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,14 +40,27 @@ def learn_merges(words: DataFrame, k: int, max_bytes: int = 18) -> DataFrame:
     """(step, a, b, cnt) of the first k merges."""
     spark = words.sparkSession
     checkpoint_dir(spark)
-    state = atoms(words).groupBy("s").agg(F.sum("freq").cast("long").alias("freq")).checkpoint()
+    state = atoms(words).groupBy("s").agg(F.sum("freq").cast("long").alias("freq")).persist()
+    pairs = pairs_of(state).persist()
+    held = [state, pairs]
     out: list[tuple[int, str, str, int]] = []
-    for step in range(1, k + 1):
-        top = best_pair(state, max_bytes).first()
-        if top is None or top["cnt"] <= 0:
-            break
-        out.append((step, top["a"][1:-1], top["b"][1:-1], top["cnt"]))
-        state = apply_merge(state, top["a"], top["b"])
-        if step % CUT_EVERY == 0:
-            state = state.checkpoint()
+    try:
+        for step in range(1, k + 1):
+            top = best_pair(pairs, max_bytes).first()
+            if top is None:
+                break
+            a, b = top["a"], top["b"]
+            out.append((step, a[1:-1], b[1:-1], top["cnt"]))
+            old = state.where(F.contains("s", F.lit(a + b)))
+            gone = pairs_of(old).withColumn("cnt", -F.col("cnt"))
+            pairs = pairs.union(gone).union(pairs_of(apply_merge(old, a, b))).groupBy("a", "b").agg(F.sum("cnt").cast("long").alias("cnt")).where("cnt > 0")
+            state = apply_merge(state, a, b)
+            if step % CUT_EVERY == 0:
+                state, pairs = state.checkpoint(), pairs.checkpoint()
+            else:
+                pairs = pairs.persist()
+                held.append(pairs)
+    finally:
+        for df in held:
+            df.unpersist()
     return spark.createDataFrame(out, "step int, a string, b string, cnt long")

@@ -25,7 +25,7 @@ def _count(pattern: str = R0, norm: str = _norm("line"), source: str = LINES) ->
   SELECT token, count(*)::BIGINT AS freq FROM (SELECT unnest(regexp_extract_all({norm}, '{pattern}')) AS token FROM lines) GROUP BY token)"""
 
 
-def _words(least: int = 2) -> str:
+def _words(least: int = 0) -> str:
     return _count() + f", words AS (SELECT token AS word, freq FROM counts WHERE freq >= {least})"
 
 
@@ -58,6 +58,27 @@ VOCAB = """vocab AS (
   UNION ALL SELECT (rk + 258)::INTEGER, piece, (1 - rk)::FLOAT, 1 FROM (SELECT piece, row_number() OVER (ORDER BY cnt DESC, strlen(piece) DESC, piece) AS rk FROM tops) WHERE rk <= 1000)"""
 SPELLED = f"SELECT doc_id, line_no, replace({_norm('line')}, '▁', ' ') AS text FROM lines"
 
+# white space as Python's str methods and patterns define it, written out from that definition
+PY_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+HEADED = "chr(12288) || '# no title' || chr(10) || '##' || chr(160) || 'Title' || chr(10) || '# ' || chr(10) || 'Title' || chr(10) || " + "replace(replace(text, '. ', '.' || chr(160) || chr(12288)), ', ', ',' || chr(31) || chr(8195)) || chr(28) || chr(160) || chr(133)"
+
+
+def _spaced(x: str) -> str:
+    return f"replace(replace({x}, '. ', '.' || chr(160) || chr(12288)), ', ', ',' || chr(31) || chr(8195))"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{PY_SPACE}]+', ''), '[{PY_SPACE}]+$', '')"
+
+
+def _clean(x: str) -> str:
+    """Headings, then the ends, then runs of white space."""
+    headless = f"regexp_replace({x}, '(?m)^#+[{PY_SPACE}]+.*$', '', 'g')"
+    return f"regexp_replace({_strip(headless)}, '[{PY_SPACE}]+', ' ', 'g')"
+
+
+ODD = f"CASE doc_id % 14 WHEN 0 THEN chr(9) || chr(12288) || chr(28) || chr(10) WHEN 7 THEN '# ' || chr(160) || 'only a title' ELSE {_spaced('text')} END"
+
 ORACLES: dict[str, str] = {
     "raw_count_cut0": f"WITH {_count()} SELECT * FROM counts",
     "raw_count_cut1": f"WITH {_count(R1)} SELECT * FROM counts",
@@ -71,11 +92,13 @@ ORACLES: dict[str, str] = {
     "token_lengths": f"""WITH {LINES} SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(c)::BIGINT AS n_characters, round(sum(c) / sum(n), 4) AS fertility
   FROM (SELECT doc_id, len(regexp_extract_all({_norm('line')}, '{R0}')) AS n, length(line) AS c FROM lines) GROUP BY doc_id""",
     "filter_english": f"WITH {_count(R1)} SELECT * FROM counts WHERE regexp_full_match(token, '[A-Za-z]{{2,}}')",
-    "clean_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace('# Title ' || chr(10) || text, '(?m)^#+[ \t\n\f\r\x{B}]+.*$', '', 'g'), '[ \t\n\f\r\x{B}]+', ' ', 'g'), ' ') AS text FROM documents",
-    "split_sentences": r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS i, sentence FROM (
-  SELECT doc_id, k, regexp_replace(s[k], '^[ \t\n\f\r\x{B}]+|[ \t\n\f\r\x{B}]+$', '', 'g') AS sentence FROM (
-    SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (
-      SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])([ \t\n\f\r\x{B}]|$)', '\1' || chr(10) || '\2', 'g'), '([。！？])', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents)))
+    "clean_text": f"SELECT doc_id, {_clean(HEADED)} AS text FROM documents",
+    "split_sentences": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY l, k) - 1)::BIGINT AS i, sentence FROM (
+  SELECT doc_id, l, k, {_strip('s[k]')} AS sentence FROM (
+    SELECT doc_id, l, s, unnest(range(1, len(s) + 1)) AS k FROM (
+      SELECT doc_id, l, string_split(regexp_replace(regexp_replace(regexp_replace(line, '([.!?])([{PY_SPACE}])', '\\1' || chr(10) || '\\2', 'g'), '([.!?])$', '\\1' || chr(10)), '([。！？])', '\\1' || chr(10), 'g'), chr(10)) AS s FROM (
+        SELECT doc_id, l, t[l] AS line FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS l FROM (
+          SELECT doc_id, string_split(replace({_spaced('text')} || '。One.' || chr(160) || 'Two.' || chr(12288) || 'Three！4.5 U.S.A. end?' || chr(13) || 'next!' || chr(160), chr(13), chr(10)), chr(10)) AS t FROM documents))))))
   WHERE sentence <> ''""",
     "char_class_histogram": f"""WITH {_words(1)}, {CHARS} SELECT class, is_space, is_punctuation, sum(cnt)::BIGINT AS cnt, count(*)::BIGINT AS n_chars FROM (
   SELECT CASE WHEN ch = '▁' THEN 'space' WHEN regexp_matches(ch, '^[{HAN}]$') THEN 'han' WHEN regexp_matches(ch, '^[{DIGIT}]$') THEN 'digit' WHEN regexp_matches(ch, '^[{LETTER}]$') THEN 'letter' ELSE 'other' END AS class,
@@ -83,8 +106,9 @@ ORACLES: dict[str, str] = {
     "word_table_min_count": f"WITH {_words(4)} SELECT * FROM words",
     "char_counts": f"WITH {_words()}, {CHARS} SELECT * FROM chars",
     "char_coverage": f"WITH {_words()}, {CHARS}, {COVER} SELECT ch, cnt, cp, before, total, (before::DOUBLE / total)::FLOAT < 0.9995::FLOAT AS required FROM cover",
-    "rare_char_replace": f"""WITH {_words()}, {CHARS}, {COVER}, rare AS (SELECT coalesce(string_agg(ch, ''), '') AS r FROM cover WHERE (before::DOUBLE / total)::FLOAT >= 0.99::FLOAT)
-  SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: CASE WHEN contains(r, c) THEN '▅' ELSE c END), '') AS replaced, freq FROM words, rare""",
+    "rare_char_replace": f"""WITH {_words()}, {CHARS}, {COVER}, rare AS MATERIALIZED (SELECT ch FROM cover WHERE (before::DOUBLE / total)::FLOAT >= 0.99::FLOAT),
+  each_ AS (SELECT word, freq, unnest(string_split(word, '')) AS ch, unnest(range(1, length(word) + 1)) AS i FROM words)
+  SELECT word, string_agg(CASE WHEN rare.ch IS NULL THEN each_.ch ELSE '▅' END, '' ORDER BY i) AS replaced, freq FROM each_ LEFT JOIN rare USING (ch) GROUP BY word, freq""",
     "byte_ngrams": f"WITH {_words()}, {GRAMS} SELECT * FROM grams WHERE n <= 1 OR cnt >= 2",
     "ngram_logprob": f"""WITH {_words()}, {GRAMS},
   ones AS (SELECT printf('%02X', b) AS gram, cnt FROM range(256) AS r(b) LEFT JOIN (SELECT gram, cnt FROM grams WHERE n = 1) AS g ON g.gram = printf('%02X', b)),
@@ -102,7 +126,8 @@ ORACLES: dict[str, str] = {
     "decode_ids": f"""WITH {_words()}, tops AS (SELECT word AS piece, freq AS cnt FROM words), {VOCAB},
   t AS (SELECT doc_id, line_no, i, p[i] AS piece FROM (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_extract_all({_norm('line')}, '{R0}') AS p FROM lines)))
   SELECT doc_id, line_no, replace(string_agg(t.piece, '' ORDER BY i), '▁', ' ') AS text FROM t JOIN vocab AS v ON v.piece = t.piece WHERE v.type NOT IN (2, 3) GROUP BY doc_id, line_no""",
-    "jsonl_text": "SELECT doc_id, text FROM documents WHERE trim(text, ' ') <> ''",
+    "jsonl_text": f"SELECT doc_id, {ODD} AS text FROM documents WHERE {_strip(ODD)} <> ''",
+    "jsonl_articles": f"SELECT doc_id, {_clean(ODD)} AS text FROM documents WHERE {_clean(ODD)} <> ''",
     "stream_raw_count": f"WITH {_count()} SELECT * FROM counts",
     "roundtrip_piece": f"WITH {LINES} {SPELLED}",
     "roundtrip_sentencepiece": f"WITH {LINES} {SPELLED}",

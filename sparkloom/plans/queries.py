@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,10 +15,11 @@ from ..operators import codecs, counting, merges, vocab
 from ..operators.learners import train
 from ..session import checkpoint_dir, line_table, ship, spread, table
 from ..sources.model import Model
-from ..sources.text import json_texts
+from ..sources.text import json_articles, json_texts
 from ..streaming.counts import raw_count_stream
 
-MIN_COUNT = 2
+MIN_COUNT = 0
+NBSP, WIDE = "\u00a0", "\u3000"
 UNIGRAM_WORDS = {"▁the": 900.0, "▁of": 500.0, "▁and": 500.0, "the": 90.0, "tion": 80.0, "ing": 80.0, "an": 60.0, "er": 60.0, "en": 50.0, "on": 50.0, "es": 40.0, "▁": 300.0, "e": 30.0, "a": 20.0, "n": 20.0, "t": 20.0, "r": 20.0, "s": 20.0, "i": 20.0, "o": 20.0, ".": 9.0}
 
 
@@ -78,13 +79,19 @@ def filter_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_count_cut1(spark, sf_dir).where(tx.is_english_token(F.col("token")))
 
 
+def spaced(text: Column) -> Column:
+    """Text with no-break, ideographic and control white space after full stops and commas."""
+    return F.replace(F.replace(text, F.lit(". "), F.lit(f".{NBSP}{WIDE}")), F.lit(", "), F.lit(",\x1f\u2003"))
+
+
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headed = F.concat(F.lit("# Title \n"), F.col("text"))
+    """Documents with a heading and with white space of other scripts."""
+    headed = F.concat(F.lit(f"{WIDE}# no title\n##{NBSP}Title\n# \nTitle\n"), spaced(F.col("text")), F.lit(f"\x1c{NBSP}\x85"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.clean_text(headed).alias("text"))
 
 
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("i", "sentence"))
+    s = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tx.split_sentences(F.concat(spaced(F.col("text")), F.lit(f"。One.{NBSP}Two.{WIDE}Three！4.5 U.S.A. end?\rnext!{NBSP}")))).alias("i", "sentence"))
     return s.select("doc_id", F.col("i").cast("long").alias("i"), "sentence")
 
 
@@ -111,8 +118,9 @@ def rare_char_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All byte n-grams of the distinct words but those seen once."""
     g = counting.byte_ngrams(_words(spark, sf_dir))
-    return g.where((F.col("n") <= 1) | (F.col("cnt") >= MIN_COUNT)).select(F.col("n").cast("int").alias("n"), "gram", "cnt")
+    return g.where((F.col("n") <= 1) | (F.col("cnt") >= 2)).select(F.col("n").cast("int").alias("n"), "gram", "cnt")
 
 
 def ngram_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +225,22 @@ def roundtrip_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jsonl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of JSON lines made of the documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", odd_texts())
     return json_texts(docs.select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), "text")).alias("value")))
 
 
+def odd_texts() -> Column:
+    """The text, or for one document in seven white space or a bare heading."""
+    bare = F.when(F.col("doc_id") % 14 == 0, F.lit(f"\t{WIDE}\x1c\n")).when(F.col("doc_id") % 14 == 7, F.lit(f"# {NBSP}only a title"))
+    return F.coalesce(bare, spaced(F.col("text"))).alias("text")
+
+
+def jsonl_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts of JSON lines, without those of which nothing is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", odd_texts())
+    return json_articles(docs.select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), "text")).alias("value")))
+
+
 def normalize_nfkc_cf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines through the NFKC and case-folding map."""
     return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("line"), "NFKC_CF").alias("text"))
@@ -245,6 +265,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         char_class_histogram, word_table_min_count, char_counts, char_coverage, rare_char_replace, byte_ngrams,
         ngram_logprob, pair_counts_bytes, pair_counts_chars, bpe_merge_1, bpe_merges_8, vocab_ids, byte_pieces,
         piece_lookup, encode_unigram, decode_ids, train_piece, train_sentencepiece, train_bytepiece, train_naive,
-        roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, normalize_nfkc_cf, stream_raw_count,
+        roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, jsonl_articles, normalize_nfkc_cf, stream_raw_count,
     )
 }

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text, simplify_chinese, strip
+
 log = logging.getLogger("sparkloom")
 
 
@@ -39,7 +41,14 @@ def read_jsonl(spark: SparkSession, path: str, field: str = "text") -> DataFrame
 
 def json_texts(lines: DataFrame, field: str = "text", column: str = "value") -> DataFrame:
     """lines with the field of their JSON as text, without missing and blank ones."""
-    return lines.withColumn("text", F.get_json_object(column, f"$.{field}")).where(F.trim("text") != "").drop(column)
+    return lines.withColumn("text", F.get_json_object(column, f"$.{field}")).where(strip(F.col("text")) != "").drop(column)
+
+
+def json_articles(lines: DataFrame, field: str = "text", column: str = "value", simplify: dict[str, str] | None = None) -> DataFrame:
+    """lines with the cleaned field of their JSON as text, in simplified characters where a table is given; articles of which nothing is left go."""
+    text = clean_text(F.col("text"))
+    out = json_texts(lines, field, column).withColumn("text", simplify_chinese(text, simplify) if simplify else text)
+    return out.where("text <> ''")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
