@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 _STABLE = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
+_LEAN: list[bool] = []
 MAX_FILES = 1_000_000  # of an input whose list of files is broadcast
 
 
@@ -24,6 +25,24 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+def lean() -> None:
+    """In a Python worker: large buffers are given back to the system as soon as they are freed.
+
+    Otherwise the allocators of several workers of an executor each keep the most that any task has used.
+    """
+    if not _LEAN:
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):  # glibc
+            for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+                libc.mallopt(option, value)
+        _LEAN.append(True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
     checkpoint_dir(df.sparkSession)

@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets, ship
+from ._common import buckets, lean, ship
+from ._lookup import in_ranges
 from ._tokens import string_buffers
 
 MESSAGE = "dest int, chunk long, ord long, kind byte, blob binary"
-CHUNK_KEYS, DIRECT = 1_500_000, 2048
+CHUNK_KEYS, DIRECT = 1_000_000, 2048
 MULTI = 1
 KEYS, DIRECTORY, OUTER = 0, 1, 2  # kinds of messages; OUTER: a directory of the first hop on its way through the second
 
@@ -153,8 +154,10 @@ class Blob:
         return b"".join(a[at].tobytes() for a in arrays if a is not None)
 
 
-def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0, span: int = 1) -> DataFrame:
-    """docs(__rid, doc_id, text[, extra]) -> message rows to groups of ``span`` buckets.
+def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0, span: int = 1, ranges: DataFrame | None = None) -> DataFrame:
+    """docs(__rid, doc_id, text) -> message rows to groups of ``span`` buckets.
+
+    With ``ranges(__rid, extra)``, only texts that have a row there take part, and ``keys`` gets their extras.
 
     ``keys(raw, offsets, extra)`` yields (first row, bucket of each position, key of each position, second part or
     None, positions of each row), covering the rows in order.
@@ -162,12 +165,15 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0, s
     ship(docs.sparkSession)
     n_out = -(-n_buckets // span)
     label = labels(n_out)
+    chosen = None if ranges is None else docs.sparkSession.sparkContext.broadcast(in_ranges(ranges))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
+        look = None if chosen is None else chosen.value.finder()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, seq
@@ -213,11 +219,15 @@ def messages(docs: DataFrame, keys: Callable, n_buckets: int, either: int = 0, s
         n = 0
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            rid = t["__rid"].to_numpy()
+            rid, extra = t["__rid"].to_numpy(), None
+            if look is not None:
+                extra = look(rid)
+                some = extra.is_valid()
+                t, extra = t.filter(some), extra.filter(some)
+                rid = rid[np.asarray(some)]
             null = np.asarray(t["doc_id"].is_null())
             did = t["doc_id"].fill_null(0).to_numpy().astype(np.int64)
             raw, off = string_buffers(t["text"])
-            extra = t["extra"] if "extra" in t.column_names else None
             for first, bucket, key, second, count in keys(raw, off, extra):
                 sl = slice(first, first + len(count))
                 live = count > 0
@@ -238,6 +248,7 @@ def answers(sent: DataFrame, judge: Callable, form: Blob) -> DataFrame:
     """Messages to buckets -> a reply to each, with the directories as they were."""
 
     def answer(t: pa.Table) -> pa.Table:
+        lean()
         kind, chunk, ord_ = (t[c].to_numpy() for c in ("kind", "chunk", "ord"))
         blobs = t["blob"].to_pylist()
         bucket = int(t["dest"][0].as_py())
@@ -287,6 +298,7 @@ def two_hops(sent: DataFrame, judge: Callable, dtype: str, second: bool, span: i
     stretch = max(1, n_out // 4)  # scan tasks whose messages are dealt together
 
     def deal(t: pa.Table) -> pa.Table:
+        lean()
         kind, chunk, ord_, dest = (t[c].to_numpy() for c in ("kind", "chunk", "ord", "dest"))
         blobs = t["blob"].to_pylist()
         rows = [(int(dest[i]), int(chunk[i]), 0, OUTER, blobs[i]) for i in np.flatnonzero(kind == DIRECTORY)]
@@ -317,7 +329,7 @@ def two_hops(sent: DataFrame, judge: Callable, dtype: str, second: bool, span: i
     return answers(inside, judge, final).groupBy("chunk").applyInArrow(undeal, MESSAGE)
 
 
-def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callable, schema: str, dtype: str = "uint64", second: bool = False, n_buckets: int | None = None, either: int = 0, direct: int = DIRECT) -> DataFrame:
+def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callable, schema: str, dtype: str = "uint64", second: bool = False, n_buckets: int | None = None, either: int = 0, direct: int = DIRECT, ranges: DataFrame | None = None) -> DataFrame:
     """Run keys -> buckets -> answers -> chunks.
 
     ``judge(keys, second parts)`` gets the keys of one bucket in table order and returns two boolean arrays. The first is
@@ -330,6 +342,7 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
     bucket_of = {int(x): b for b, x in enumerate(labels(n_out))}
 
     def gather(t: pa.Table) -> pa.Table:
+        lean()
         kind, dest = t["kind"].to_numpy(), t["dest"].to_numpy()
         blobs = t["blob"].to_pylist()
         here = int(np.flatnonzero(kind == DIRECTORY)[0])
@@ -345,11 +358,11 @@ def exchange(docs: DataFrame, keys: Callable, judge: Callable, assemble: Callabl
         cols = assemble(rid, did, null, count, a, b, notes)
         return pa.table(cols)
 
-    sent = messages(docs, keys, n_buckets, either, span)
+    sent = messages(docs, keys, n_buckets, either, span, ranges)
     replies = answers(sent, judge, Blob(dtype, second, False)) if span == 1 else two_hops(sent, judge, dtype, second, span, n_out)
     return replies.groupBy("chunk").applyInArrow(gather, schema)
 
 
-def doc_table(docs: DataFrame, *extra: str) -> DataFrame:
+def doc_table(docs: DataFrame) -> DataFrame:
     """The columns that a scan needs; everything else is pruned from it."""
-    return docs.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    return docs.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from ._common import lean
+from ._lookup import in_ranges
 from ._tokens import Words, normal_mask
 
 
@@ -23,14 +26,29 @@ def cut_words(text: str, drop: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def without_words(text: Column, ranges: Column) -> Column:
-    """text without the word ranges packed as int32 pairs in ``ranges`` (null: the text itself, which then isn't sent to Python)."""
+def without_ranges(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs(__rid, text, ...) without the word ranges packed as int32 pairs in ``drops(__rid, ranges)``; texts of which nothing is left go."""
+    shared = docs.sparkSession.sparkContext.broadcast(in_ranges(drops))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, packed: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else cut_words(t, np.frombuffer(p, np.int32).reshape(-1, 2).tolist()) for t, p in zip(texts, packed)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        look = shared.value.finder()
+        for batch in batches:
+            packed = look(batch["__rid"].to_numpy())
+            rows = np.flatnonzero(np.asarray(packed.is_valid()))
+            if len(rows):
+                at = batch.schema.get_field_index("text")
+                text = batch.column(at)
+                new = [cut_words(text[i].as_py(), np.frombuffer(packed[i].as_py(), np.int32).reshape(-1, 2).tolist()) for i in rows.tolist()]
+                # texts that stay are taken over by position, so that only the changed ones are built anew
+                where, keep = np.arange(batch.num_rows), np.ones(batch.num_rows, bool)
+                where[rows] = batch.num_rows + np.arange(len(rows))
+                keep[rows] = [bool(t.strip(" \t\n\r\f\v")) for t in new]
+                both = pa.concat_arrays([text, pa.array(new, text.type)])
+                batch = batch.set_column(at, batch.schema.field(at), both.take(pa.array(where))).filter(pa.array(keep))
+            yield batch
 
-    return F.when(ranges.isNull(), text).otherwise(run(F.when(ranges.isNotNull(), text), ranges))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without_words_of(text: str, drop: list[tuple[int, int]]) -> str:

@@ -6,11 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._exchange import doc_table
-from ._lookup import looked_up
 from ._tokens import Words, mix64, slices, window_hashes
 
 RANGES = "__rid long, extra binary"
@@ -36,11 +32,6 @@ def packed_ranges(rid: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray
     return {"__rid": pa.array(rid[row[by]], pa.int64()), "extra": pa.array([p.tobytes() for p in np.split(pairs, by[1:])] if len(by) else [], pa.binary())}
 
 
-def at_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(__rid, doc_id, text, extra) of the rows of docs that have ranges; other texts stay in the scan."""
-    return doc_table(docs.withColumn("extra", looked_up(ranges, F.col("__rid"))).where("extra is not null"), "extra")
-
-
 def range_windows(notes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(start of each window, number of them in each text) of packed ranges of starts."""
     spans = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in notes]
@@ -53,8 +44,6 @@ def whole_window_keys(threshold: int, n_buckets: int):
     """128-bit keys of the windows of ``threshold`` words that start in the ranges of each text."""
 
     def keys(raw: np.ndarray, off: np.ndarray, extra: pa.Array) -> Iterator[tuple]:
-        if isinstance(extra, pa.ChunkedArray):
-            extra = extra.combine_chunks()
         for a, b, r, o in slices(raw, off):
             words = Words(r, o)
             inside, counts = range_windows(extra[a:b].to_pylist())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ._common import buckets, pick, with_row_key
 from ._exchange import DIRECT, MULTI, doc_table, equal_runs, exchange
 from ._tokens import Words, runs, slices, window_hashes, window_starts
-from ._windows import RANGES, at_ranges, packed_ranges, runs_at, whole_window_keys, window_runs
+from ._windows import RANGES, packed_ranges, runs_at, whole_window_keys, window_runs
 
 THRESHOLD = 50
 BLOCK = 2  # the bit of a key that says a reference block begins here
@@ -100,5 +100,5 @@ def substring_repeats(docs: DataFrame, threshold: int = THRESHOLD, direct: int =
         row, a, b, _ = runs_at(notes, matched)
         return {"doc_id": pa.array(did[row], mask=null[row]), "start_token": pa.array(a, pa.int32()), "end_token": pa.array(b + threshold - 1, pa.int32()), "n_tokens": pa.array(b - a + threshold - 1, pa.int32())}
 
-    near = at_ranges(keyed, anchors(keyed, threshold, direct))
-    return exchange(near, whole_window_keys(threshold, n), agree, extend, "doc_id long, start_token int, end_token int, n_tokens int", "uint64", True, n_buckets=n, direct=direct)
+    near = anchors(keyed, threshold, direct)
+    return exchange(doc_table(keyed), whole_window_keys(threshold, n), agree, extend, "doc_id long, start_token int, end_token int, n_tokens int", "uint64", True, n_buckets=n, direct=direct, ranges=near)

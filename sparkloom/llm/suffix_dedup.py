@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from ._common import buckets, masked, pick, with_row_key
 from ._exchange import DIRECT, MULTI, doc_table, equal_runs, exchange
-from ._lookup import looked_up
-from ._rewrite import without_words
+from ._rewrite import without_ranges
 from ._tokens import Words, slices, window_hashes, window_starts
-from ._windows import RANGES, at_ranges, packed_ranges, range_windows, runs_at, whole_window_keys, window_runs
+from ._windows import RANGES, packed_ranges, range_windows, runs_at, whole_window_keys, window_runs
 
 THRESHOLD, PREFIX = 50, 16
 SPANS = "__rid long, doc_id long, start_token int, end_token int, repeated_windows int, first_windows int"
@@ -67,7 +66,7 @@ def deep_sort(keyed: DataFrame, threshold: int, assemble, schema: str, direct: i
         return packed_ranges(rid, row, a, b)
 
     some = exchange(doc_table(keyed), prefix_keys(threshold, n), not_alone, survivors, RANGES, "uint32", n_buckets=n, direct=direct)
-    return exchange(at_ranges(keyed, some), whole_window_keys(threshold, n), not_alone, assemble, schema, "uint64", True, n_buckets=n, direct=direct)
+    return exchange(doc_table(keyed), whole_window_keys(threshold, n), not_alone, assemble, schema, "uint64", True, n_buckets=n, direct=direct, ranges=some)
 
 
 def repeat_runs(docs: DataFrame, threshold: int = THRESHOLD, direct: int = DIRECT) -> DataFrame:
@@ -120,9 +119,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         return packed_ranges(rid, *later_words(notes, repeated, first, threshold))
 
     drops = deep_sort(keyed, threshold, assemble, RANGES, DIRECT)
-    out = keyed.withColumn("__cut", looked_up(drops, F.col("__rid"))).withColumn("text", without_words(F.col("text"), F.col("__cut")))
-    out = out.where(F.col("__cut").isNull() | (F.trim("text") != ""))
-    return back(with_lengths(out, docs))
+    return back(with_lengths(without_ranges(keyed, drops), docs))
 
 
 def with_lengths(out: DataFrame, docs: DataFrame) -> DataFrame:
