@@ -28,8 +28,9 @@ def pairs_of(state: DataFrame) -> DataFrame:
 
 
 def best_pair(pairs: DataFrame, max_bytes: int = 18) -> DataFrame:
-    """One row (a, b, cnt): the most frequent pair that stays within ``max_bytes``; ties by a, then b."""
-    return pairs.where((F.col("cnt") > 0) & (F.length("a") + F.length("b") - 4 <= 2 * max_bytes)).orderBy(F.desc("cnt"), "a", "b").limit(1)
+    """One row (a, b, cnt): the most frequent pair that stays within ``max_bytes``; ties by the bytes of a, then of b."""
+    bare = [F.expr(f"substring({c}, 2, length({c}) - 2)") for c in ("a", "b")]
+    return pairs.where((F.col("cnt") > 0) & (F.length("a") + F.length("b") - 4 <= 2 * max_bytes)).orderBy(F.desc("cnt"), *bare).limit(1)
 
 
 def apply_merge(state: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import DIGIT, HAN, LETTER, PATTERN_0, PATTERN_1, SPACES, WORD
+from . import learner_sql as sql
+from .dictionary import UNIGRAM_WORDS
 
 
 def _q(pattern: str) -> str:
@@ -46,7 +48,7 @@ def _merges(k: int) -> str:
     for i in range(1, k + 1):
         src = f"SELECT regexp_extract_all(s, '<[^>]+>') AS t, freq FROM s{i - 1}"
         parts.append(f"""m{i} AS MATERIALIZED (SELECT a, b, sum(freq)::BIGINT AS cnt FROM ({PAIR_OF.format(src=src)})
-  WHERE length(a) + length(b) - 4 <= 36 GROUP BY a, b ORDER BY cnt DESC, a, b LIMIT 1)""")
+  WHERE length(a) + length(b) - 4 <= 36 GROUP BY a, b ORDER BY cnt DESC, substr(a, 2, length(a) - 2), substr(b, 2, length(b) - 2) LIMIT 1)""")
         parts.append(f"s{i} AS MATERIALIZED (SELECT replace(s, m.a || m.b, '<' || substr(m.a, 2, length(m.a) - 2) || substr(m.b, 2, length(m.b) - 2) || '>') AS s, freq FROM s{i - 1}, m{i} AS m)")
     rows = " UNION ALL ".join(f"SELECT {i}::INTEGER AS step, substr(a, 2, length(a) - 2) AS a, substr(b, 2, length(b) - 2) AS b, cnt FROM m{i}" for i in range(1, k + 1))
     return f"WITH {', '.join(parts)} {rows}"
@@ -132,4 +134,9 @@ ORACLES: dict[str, str] = {
     "roundtrip_piece": f"WITH {LINES} {SPELLED}",
     "roundtrip_sentencepiece": f"WITH {LINES} {SPELLED}",
     "roundtrip_bytepiece": f"WITH {LINES} {SPELLED}",
+    "encode_unigram": sql.unigram(_words(), UNIGRAM_WORDS),
+    "train_piece": sql.train_piece(_words(), 8000, 32),
+    "train_sentencepiece": sql.train_chars(_words(), 8000, 32),
+    "encode_piece": sql.encode_piece(_words(), 8000, 32),
+    "encode_sentencepiece": sql.encode_chars(_words(), 8000, 32),
 }

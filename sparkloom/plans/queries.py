@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,10 @@ from ..session import checkpoint_dir, line_table, ship, spread, table
 from ..sources.model import Model
 from ..sources.text import json_articles, json_texts
 from ..streaming.counts import raw_count_stream
+from .dictionary import UNIGRAM_WORDS
 
 MIN_COUNT = 0
 NBSP, WIDE = "\u00a0", "\u3000"
-UNIGRAM_WORDS = {"▁the": 900.0, "▁of": 500.0, "▁and": 500.0, "the": 90.0, "tion": 80.0, "ing": 80.0, "an": 60.0, "er": 60.0, "en": 50.0, "on": 50.0, "es": 40.0, "▁": 300.0, "e": 30.0, "a": 20.0, "n": 20.0, "t": 20.0, "r": 20.0, "s": 20.0, "i": 20.0, "o": 20.0, ".": 9.0}
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +178,11 @@ def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.replace_space(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("text"))
 
 
-def _model(spark: SparkSession, sf_dir: str, method: str, size: int) -> Model:
-    return train(_lines(spark, sf_dir), method, size, min_count=8)
+VOCAB_SIZE, LEAST = 8000, 32  # the learners' defaults
+
+
+def _model(spark: SparkSession, sf_dir: str, method: str, size: int = VOCAB_SIZE) -> Model:
+    return train(_lines(spark, sf_dir), method, size, min_count=LEAST)
 
 
 def _pieces(model: Model, spark: SparkSession) -> DataFrame:
@@ -186,15 +190,15 @@ def _pieces(model: Model, spark: SparkSession) -> DataFrame:
 
 
 def train_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_model(spark, sf_dir, "piece", 600), spark)
+    return _pieces(_model(spark, sf_dir, "piece"), spark)
 
 
 def train_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_model(spark, sf_dir, "sentencepiece", 600), spark)
+    return _pieces(_model(spark, sf_dir, "sentencepiece"), spark)
 
 
 def train_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_model(spark, sf_dir, "bytepiece", 2000), spark)
+    return _pieces(_model(spark, sf_dir, "bytepiece"), spark)
 
 
 def train_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,24 +207,44 @@ def train_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(train(b, "naive", 300, order=("item_id", "n")), spark)
 
 
-def _encoded(spark: SparkSession, sf_dir: str, method: str, size: int) -> DataFrame:
+def _word_ids(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """Ids of every distinct word of the corpus, with a model trained on it."""
+    model = _model(spark, sf_dir, method)
+    model.normalizer = replace(model.normalizer, reconstruct=True)  # words keep their space marks
+    ids = codecs.encode_ids(F.col("word"), model)
+    return _words(spark, sf_dir).select("word", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
+
+
+def encode_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_ids(spark, sf_dir, "piece")
+
+
+def encode_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_ids(spark, sf_dir, "sentencepiece")
+
+
+def encode_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_ids(spark, sf_dir, "bytepiece")
+
+
+def _encoded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     ship(spark)
-    model = _model(spark, sf_dir, method, size)
+    model = _model(spark, sf_dir, method)
     e = _lines(spark, sf_dir).select("doc_id", "line_no", "line", codecs.encode_ids(F.col("line"), model).alias("ids"))
     return e.select("doc_id", F.col("line_no").cast("long").alias("line_no"), codecs.decode(F.col("ids"), model).alias("text"))
 
 
 def roundtrip_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """decode(encode(line)) with a trained model; SQL expects the normalised line with spaces."""
-    return _encoded(spark, sf_dir, "piece", 600)
+    return _encoded(spark, sf_dir, "piece")
 
 
 def roundtrip_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(spark, sf_dir, "sentencepiece", 600)
+    return _encoded(spark, sf_dir, "sentencepiece")
 
 
 def roundtrip_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(spark, sf_dir, "bytepiece", 2000)
+    return _encoded(spark, sf_dir, "bytepiece")
 
 
 def jsonl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +289,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         char_class_histogram, word_table_min_count, char_counts, char_coverage, rare_char_replace, byte_ngrams,
         ngram_logprob, pair_counts_bytes, pair_counts_chars, bpe_merge_1, bpe_merges_8, vocab_ids, byte_pieces,
         piece_lookup, encode_unigram, decode_ids, train_piece, train_sentencepiece, train_bytepiece, train_naive,
-        roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, jsonl_articles, normalize_nfkc_cf, stream_raw_count,
+        encode_piece, encode_sentencepiece, encode_bytepiece, roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, jsonl_articles, normalize_nfkc_cf, stream_raw_count,
     )
 }
