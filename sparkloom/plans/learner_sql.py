@@ -86,17 +86,84 @@ found AS (SELECT word, i, 0 AS k, id FROM each_ JOIN vocab ON vocab.piece = each
 SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY i, k) AS ids FROM found GROUP BY word"""
 
 
+def best_paths(name: str, items: str, weights: str, fallback: float = -10.0) -> str:
+    """CTEs ending in {name}(word, t): the tokens of the best path of each row of ``items`` (word) through ``weights`` (w, p).
+
+    Position by position, of the edges that end there the first best one.
+    """
+    return f"""{name}_spots AS (SELECT word, unnest(range(0, length(word))) AS a FROM {items}),
+{name}_edges AS (SELECT word, a, a + 1 AS e, {fallback!r}::DOUBLE AS p, 0 AS o FROM {name}_spots UNION ALL SELECT word, a, a + k, p, 1
+  FROM (SELECT word, a, k, substr(word, a + 1, k) AS w FROM {name}_spots, (SELECT DISTINCT length(w) AS k FROM {weights}) WHERE a + k <= length(word)) JOIN {weights} USING (w)),
+{name}_into AS MATERIALIZED (SELECT word, e, list(a ORDER BY a, o) AS a, list(p ORDER BY a, o) AS p FROM {name}_edges GROUP BY word, e),
+{name}_path AS (SELECT word, 0 AS e, [0.0::DOUBLE] AS score, [0::BIGINT] AS came FROM {items}
+  UNION ALL SELECT word, e, list_append(score, list_max(c)), list_append(came, a[list_position(c, list_max(c))]) FROM (
+    SELECT q.word, i.e, q.score, q.came, i.a, list_transform(range(1, len(i.a) + 1), lambda k: q.score[i.a[k] + 1] + i.p[k]) AS c FROM {name}_path AS q JOIN {name}_into AS i ON i.word = q.word AND i.e = q.e + 1)),
+{name}_back AS (SELECT word, came, e AS stop, []::VARCHAR[] AS t FROM {name}_path WHERE e = length(word)
+  UNION ALL SELECT word, came, came[stop + 1], list_prepend(substr(word, came[stop + 1] + 1, stop - came[stop + 1]), t) FROM {name}_back WHERE stop > 0),
+{name} AS MATERIALIZED (SELECT word, t FROM {name}_back WHERE stop = 0)"""
+
+
 def unigram(words: str, weights: dict[str, float], fallback: float = -10.0) -> str:
-    """Best dictionary path of each word: (word, tokens, freq). Position by position, of the edges that end there the first best one."""
+    """Best dictionary path of each word: (word, tokens, freq)."""
     values = ", ".join(f"('{w}', {f!r}::DOUBLE)" for w, f in weights.items())
     total = math.fsum(weights.values())
     return f"""WITH RECURSIVE {words}, dict AS (SELECT w, ln(f) - ln({total!r}::DOUBLE) AS p FROM (VALUES {values}) AS d(w, f)),
-spots AS (SELECT word, unnest(range(0, length(word))) AS a FROM words),
-edges AS (SELECT word, a, a + 1 AS e, {fallback!r}::DOUBLE AS p, 0 AS o FROM spots UNION ALL SELECT word, a, a + length(w), p, 1 FROM spots JOIN dict ON substr(word, a + 1, length(w)) = w),
-into_ AS MATERIALIZED (SELECT word, e, list(a ORDER BY a, o) AS a, list(p ORDER BY a, o) AS p FROM edges GROUP BY word, e),
-path AS (SELECT word, 0 AS e, [0.0::DOUBLE] AS score, [0::BIGINT] AS came FROM words
-  UNION ALL SELECT word, e, list_append(score, list_max(c)), list_append(came, a[list_position(c, list_max(c))]) FROM (
-    SELECT path.word, i.e, path.score, path.came, i.a, list_transform(range(1, len(i.a) + 1), lambda k: path.score[i.a[k] + 1] + i.p[k]) AS c FROM path JOIN into_ AS i ON i.word = path.word AND i.e = path.e + 1)),
-back AS (SELECT word, came, e AS stop, []::VARCHAR[] AS t FROM path WHERE e = length(word)
-  UNION ALL SELECT word, came, came[stop + 1], list_prepend(substr(word, came[stop + 1] + 1, stop - came[stop + 1]), t) FROM back WHERE stop > 0)
-SELECT word, array_to_string(t, '|') AS tokens, freq FROM back JOIN words USING (word) WHERE stop = 0"""
+{best_paths('best', 'words', 'dict', fallback)}
+SELECT word, array_to_string(t, '|') AS tokens, freq FROM best JOIN words USING (word)"""
+
+
+def byte_piece_learner(words: str, grams: str, size: int, least: int, rounds: int) -> str:
+    """CTEs ending in vocab: n-gram model, segmentation of all words where its best path has no context, pruning, then the most frequent pieces.
+
+    A path has a state for each byte, the bytes of context before it (5: five or more). ``grams`` gives grams(n, gram, cnt).
+    Pruning stops by itself where a round changes nothing; ``rounds`` must be enough for that.
+    """
+    ninf = "'-inf'::DOUBLE"
+    grow = ", ".join(f"CASE WHEN {j} >= greatest(here, before + 1, 1) AND {j} <= pos AND now[{j}] > {ninf} AND ins[pos - {j} + 1] = 0 THEN now[{j}] + g[{j + 1}] ELSE {ninf} END" for j in range(1, 5))
+    stay = f"CASE WHEN pos < 5 OR top <= {ninf} THEN {ninf} ELSE top + g[6] END"
+    prune = []
+    for r in range(1, rounds + 1):
+        prune.append(f"""w{r} AS MATERIALIZED (SELECT word AS w, ln(cnt) - ln((SELECT sum(cnt)::DOUBLE FROM keep{r - 1})) AS p FROM keep{r - 1}),
+{best_paths(f'cut{r}', 'bad' if r == 1 else f'keep{r - 1}', f'w{r}')},
+keep{r} AS MATERIALIZED (SELECT word, sum(cnt) AS cnt FROM ({'SELECT word, cnt FROM keep0 UNION ALL ' if r == 1 else ''}SELECT unnest(c.t) AS word, s.cnt FROM cut{r} AS c JOIN {'bad' if r == 1 else f'keep{r - 1}'} AS s USING (word)) GROUP BY word)""")
+    return f"""{words}, {grams},
+ones AS (SELECT printf('%02X', b) AS gram, cnt FROM range(256) AS r(b) LEFT JOIN (SELECT gram, cnt FROM grams WHERE n = 1) AS g ON g.gram = printf('%02X', b)),
+full_ AS MATERIALIZED (SELECT n, gram, cnt FROM grams WHERE n > 1 AND cnt >= {least} UNION ALL SELECT 1, gram, coalesce(cnt, 1) FROM ones
+  UNION ALL SELECT 0, '', (SELECT coalesce(sum(cnt), 0) FROM grams WHERE n = 0) + (SELECT count(*) FROM ones WHERE cnt IS NULL)),
+logp AS MATERIALIZED (SELECT g.n, g.gram, ln(g.cnt) - coalesce(ln(p.cnt), 0) AS p FROM full_ AS g LEFT JOIN full_ AS p ON p.n = g.n - 1 AND p.gram = substr(g.gram, 1, (g.n - 1) * 2) WHERE g.n > 0),
+spell AS MATERIALIZED (SELECT word, hx, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN b[i][1] NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN b[i - 1][1] NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN b[i - 2][1] NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END) AS ins
+  FROM (SELECT word, hex(encode(word)) AS hx, regexp_extract_all(hex(encode(word)), '..') AS b FROM words)),
+ends_ AS (SELECT word, hx, unnest(range(0, length(hx) // 2)) AS pos FROM spell),
+tails AS (SELECT word, pos, n, CASE WHEN pos + 1 >= n THEN substr(hx, (pos + 1 - n) * 2 + 1, n * 2) END AS gram FROM ends_, range(1, 7) AS k(n)),
+scores AS MATERIALIZED (SELECT word, pos, list(coalesce(p, {ninf}) ORDER BY tails.n) AS g FROM tails LEFT JOIN logp ON logp.n = tails.n AND logp.gram = tails.gram GROUP BY word, pos),
+walk AS (SELECT word, ins, 0 AS pos, [g[1], {ninf}, {ninf}, {ninf}, {ninf}, {ninf}] AS now, []::BIGINT[][] AS routes FROM scores JOIN spell USING (word) WHERE pos = 0
+  UNION ALL SELECT word, ins, pos, [CASE WHEN here = 0 THEN list_max(now[before + 1:6]) + g[1] ELSE {ninf} END, {grow}, {stay}],
+    list_append(routes, [before + list_position(now[before + 1:6], list_max(now[before + 1:6])) - 1, 0, 1, 2, 3, who]) FROM (
+      SELECT *, CASE WHEN now[6] > held THEN now[6] ELSE held END AS top, CASE WHEN now[6] > held THEN 5 ELSE 4 END AS who FROM (
+        SELECT q.word, q.ins, s.pos, q.now, q.routes, s.g, q.ins[s.pos + 1] AS here, q.ins[s.pos] AS before, CASE WHEN s.pos >= 5 AND q.ins[s.pos] < 5 AND q.ins[s.pos - 4] = 0 THEN q.now[5] ELSE {ninf} END AS held
+        FROM walk AS q JOIN scores AS s ON s.word = q.word AND s.pos = q.pos + 1))),
+done_ AS MATERIALIZED (SELECT word, ins, pos, routes, list_max(now[ins[pos + 1] + 1:6]) AS best, ins[pos + 1] + list_position(now[ins[pos + 1] + 1:6], list_max(now[ins[pos + 1] + 1:6])) - 1 AS state FROM walk WHERE pos = len(ins) - 1),
+trace AS (SELECT word, ins, routes, pos, state, []::BIGINT[] AS cuts FROM done_ WHERE best > {ninf}
+  UNION ALL SELECT word, ins, routes, pos - 1, routes[pos][state + 1], CASE WHEN state = 0 AND ins[pos + 1] = 0 THEN list_prepend(pos, cuts) ELSE cuts END FROM trace WHERE pos > 0),
+cutting AS (SELECT word, cuts FROM trace WHERE pos = 0 UNION ALL SELECT word, list_filter(range(1, len(ins)), lambda i: ins[i + 1] = 0) FROM done_ WHERE best <= {ninf}),
+segments AS (SELECT word, freq, unnest(list_transform(range(1, len(cuts) + 2), lambda i: decode(unhex(substr(hex(encode(word)), coalesce(cuts[i - 1], 0) * 2 + 1, (coalesce(cuts[i], strlen(word)) - coalesce(cuts[i - 1], 0)) * 2))))) AS piece FROM cutting JOIN words USING (word)),
+pieces AS MATERIALIZED (SELECT piece AS word, sum(freq) AS cnt FROM segments GROUP BY piece),
+keep0 AS MATERIALIZED (SELECT * FROM pieces WHERE strlen(word) <= 18 AND cnt >= {least}), bad AS MATERIALIZED (SELECT * FROM pieces WHERE strlen(word) > 18 OR cnt < {least}),
+{', '.join(prune)},
+chosen AS (SELECT word, cnt FROM keep{rounds} ORDER BY strlen(word) > 1, cnt DESC, strlen(word) DESC, word LIMIT {size}),
+vocab AS MATERIALIZED (SELECT id, hex(encode(piece)) AS piece, 0 AS score, type, '' AS u, '' AS v FROM ({BYTE_META})
+  UNION ALL SELECT 258 + row_number() OVER (ORDER BY cnt DESC, strlen(word) DESC, word), hex(encode(word)), cnt, 1, '', '' FROM chosen)"""
+
+
+def train_byte_pieces(words: str, grams: str, size: int, least: int, rounds: int = 5) -> str:
+    return f"WITH RECURSIVE {byte_piece_learner(words, grams, size, least, rounds)} SELECT {PIECE_ROW} FROM vocab"
+
+
+def encode_byte_pieces(words: str, grams: str, size: int, least: int, rounds: int = 5) -> str:
+    return f"""WITH RECURSIVE {byte_piece_learner(words, grams, size, least, rounds)},
+dict AS MATERIALIZED (SELECT decode(unhex(piece)) AS w, ln(score) - ln((SELECT sum(score)::DOUBLE FROM vocab WHERE type = 1)) AS p, id FROM vocab WHERE type = 1),
+{best_paths('best', 'words', 'dict')},
+each_ AS (SELECT word, unnest(t) AS piece, unnest(range(1, len(t) + 1)) AS i FROM best),
+found AS (SELECT word, i, 0 AS k, id FROM each_ JOIN dict ON dict.w = each_.piece
+  UNION ALL SELECT word, i, k, ('0x' || substr(hex(encode(piece)), 2 * k + 1, 2))::INTEGER + 3 FROM (SELECT word, i, piece, unnest(range(0, strlen(piece))) AS k FROM each_ WHERE piece NOT IN (SELECT w FROM dict)))
+SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY i, k) AS ids FROM found GROUP BY word"""

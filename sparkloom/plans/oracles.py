@@ -139,4 +139,6 @@ ORACLES: dict[str, str] = {
     "train_sentencepiece": sql.train_chars(_words(), 8000, 32),
     "encode_piece": sql.encode_piece(_words(), 8000, 32),
     "encode_sentencepiece": sql.encode_chars(_words(), 8000, 32),
+    "train_bytepiece": sql.train_byte_pieces(_words(), GRAMS, 8000, 32),
+    "encode_bytepiece": sql.encode_byte_pieces(_words(), GRAMS, 8000, 32),
 }
