@@ -6,8 +6,9 @@ Four kinds of evidence are multiplied for each text:
   every language with a labelled document has a model, and each is fitted in a task of its own; likelihoods are tempered to the weight of ``EFFECTIVE`` trigrams;
 * the declared markup language and the address suffix: P(value | language), from grouped counts over
   all texts whose own likelihood decides clearly;
-* a host prior: the same counts by host, smoothed to its domain's, that to its suffix's and that to
-  the global share, each with strength ``STRENGTH``; a text's own count is left out of its host's.
+* a host prior: the same counts by host, smoothed to its domain's and that to the global share, each with
+  strength ``STRENGTH``.
+Each piece of evidence is used once, and a text's own count is left out of all counts that judge it.
 Counts, priors and evidence cover all rows; only the fit is bounded.
 
 A text is accepted when it has letters, its best posterior reaches ``ACCEPT`` and its trigrams are not
@@ -16,7 +17,8 @@ allowance of ``NOISE`` / sqrt(n) for short texts, is at most ``MARGIN`` below th
 
 Defined results: a null or empty text, or one without letters, gets language 'und' and is not
 accepted; null markup, suffix or host counts as the value ''; repeated rows count as often as they
-occur; an empty table gives no rows; without labelled documents all is 'und'; other columns are
+occur; documents declare no markup (their language column is what the model is fitted to) and their source is their
+host; an empty table gives no rows; without labelled documents all is 'und'; other columns are
 ignored, or kept by :func:`filter_language`. Equal posteriors: the first language in order.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import masked, pick, ship, stored, with_row_key
+from ._lookup import looked_up
 from ._tokens import slices, string_buffers
 
 FIT_ROWS, EFFECTIVE, STRENGTH, ACCEPT, MARGIN, NOISE, CLEAR = 2000, 64.0, 8.0, 0.5, 1.0, 12.0, 4.0
@@ -138,8 +141,9 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host name."""
-    return F.substring_index(host, ".", -2)
+    """The last two labels of a host name, or three where the last two are a country's general suffix, as in co.uk."""
+    three = host.rlike(r"(?:^|\.)[^.]+\.(?:ac|co|com|edu|gob|gov|gouv|ne|net|or|org)\.[a-z]{2}$")
+    return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def identified(rows: DataFrame, model: dict) -> DataFrame:
@@ -159,26 +163,24 @@ def identified(rows: DataFrame, model: dict) -> DataFrame:
     ones = [F.sum((F.col("own") == i).cast("long")).alias(f"n{i}") for i in range(len(langs))]
     adds = lambda p: [F.sum(f"n{i}").alias(f"{p}{i}") for i in range(len(langs))]
     known = s.where("own is not null")
-    hosts = known.groupBy("host", "domain", "suffix").agg(*ones)
-    domains, suffixes = hosts.groupBy("domain", "suffix").agg(*adds("d")), hosts.groupBy("suffix").agg(*adds("s"))
+    hosts = known.groupBy("host", "domain").agg(*ones)
+    domains = hosts.groupBy("domain").agg(*adds("d"))
+    marks, suffixes = (known.groupBy(by).agg(*[x.alias(f"{p}{i}") for i, x in enumerate(ones)]) for by, p in (("markup", "m"), ("suffix", "s")))
     world = hosts.agg(*adds("g")).first()
-    total = sum(world[i] or 0 for i in range(len(langs)))
-    share = [((world[i] or 0) + 1.0) / (total + len(langs)) for i in range(len(langs))]
-    marks = known.groupBy("markup").agg(*[x.alias(f"m{i}") for i, x in enumerate(ones)])
+    world = [world[i] or 0 for i in range(len(langs))]
     n_marks, n_suffixes = marks.count(), suffixes.count()
 
-    joined = s.join(hosts, ["host", "domain", "suffix"], "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left").join(marks, "markup", "left")
+    joined = s.join(hosts, ["host", "domain"], "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").join(marks, "markup", "left")
     n = lambda p, i: F.coalesce(F.col(f"{p}{i}"), F.lit(0)).cast("double")
     of = lambda p: sum((n(p, i) for i in range(len(langs))), F.lit(0.0))
     posts = []
+    any_ = F.col("own").isNotNull().cast("double")
     for i in range(len(langs)):
         mine = F.coalesce((F.col("own") == i).cast("double"), F.lit(0.0))
-        any_ = F.col("own").isNotNull().cast("double")
-        p = F.lit(share[i])
-        p = (n("s", i) + STRENGTH * p) / (of("s") + STRENGTH)
-        p = (n("d", i) + STRENGTH * p) / (of("d") + STRENGTH)
+        p = (world[i] - mine + 1.0) / (sum(world) - any_ + len(langs))
+        p = (n("d", i) - mine + STRENGTH * p) / (of("d") - any_ + STRENGTH)
         p = (n("n", i) - mine + STRENGTH * p) / (of("n") - any_ + STRENGTH)
-        given = F.log((n("m", i) - mine + 1.0) / ((world[i] or 0) - mine + n_marks + 1.0)) + F.log((n("s", i) - mine + 1.0) / ((world[i] or 0) - mine + n_suffixes + 1.0))
+        given = F.log((n("m", i) - mine + 1.0) / (world[i] - mine + n_marks + 1.0)) + F.log((n("s", i) - mine + 1.0) / (world[i] - mine + n_suffixes + 1.0))
         posts.append(F.log(p) + given + ll[i])
     out = joined.withColumn("__post", F.array(*posts)).withColumn("__top", F.array_max("__post"))
     total_ = F.aggregate(F.transform("__post", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x)
@@ -197,14 +199,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def document_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """Documents in the same form: the declared language is their markup, the source their host."""
-    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").alias("markup"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    """Documents in the same form: the source is their host."""
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit("").alias("markup"), F.col("source").alias("host"), F.lit("").alias("suffix"))
 
 
 def identify(documents: DataFrame, pages: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Language of every document and every page: kind ('document' or 'page'), doc_id or page_id, lang, confidence, accepted."""
     model = fit_documents(documents, fit_rows)
-    d = identified(document_rows(pick(documents, "doc_id", "text", "lang", "source")), model).withColumn("page_id", F.lit(None).cast("long"))
+    d = identified(document_rows(pick(documents, "doc_id", "text", "source")), model).withColumn("page_id", F.lit(None).cast("long"))
     p = identified(page_rows(pages), model).withColumn("doc_id", F.lit(None).cast("long"))
     cols = ["doc_id", "page_id", "lang", "confidence", "accepted"]
     return d.select(F.lit("document").alias("kind"), *cols).union(p.select(F.lit("page").alias("kind"), *cols))
@@ -215,5 +217,5 @@ def filter_language(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     model = fit_documents(docs, fit_rows)
     docs, back = masked(docs, "doc_id", "text", "lang", "source")
     keyed = with_row_key(docs)
-    good = identified(document_rows(keyed, "__rid"), model).where("accepted").select("__rid")
-    return back(keyed.join(good, "__rid", "left_semi"))
+    gone = identified(document_rows(keyed, "__rid"), model).where("not accepted").select("__rid", F.lit(0).cast("long").alias("gone"))
+    return back(keyed.where(looked_up(gone, F.col("__rid")).isNull()))

@@ -402,6 +402,8 @@ def test_language_of_documents_and_pages(spark, tongues):
         ],
         "page_id long, url string, html string, host int",
     )
+    assert langid.identify(tongues, pages.where("false")).count() == tongues.count()
+    assert langid.identify(tongues.where("false"), pages).where("lang <> 'und'").count() == 0
     got = langid.identify(tongues, pages)
     by = {r["page_id"]: r for r in got.where("kind = 'page'").collect()}
     assert [by[i]["lang"] for i in (1, 2, 3, 4, 5, 6, None)] == ["de", "en", "und", "und", "en", "und", "de"]
@@ -449,13 +451,54 @@ def test_held_out_accuracy(tongues):
 
 def test_scores_equal_brute_force(tongues):
     m = langid.fit([(r["lang"], r["text"]) for r in tongues.collect()][:20])
+    texts = {r["doc_id"]: r["text"] for r in tongues.collect()}
     for r in langid.scored(tongues.select("doc_id", "text"), m).collect():
-        text = tongues.where(f"doc_id = {r['doc_id']}").first()["text"].encode()
-        t = langid.trigrams(np.frombuffer(text, np.uint8))
+        t = langid.trigrams(np.frombuffer(texts[r["doc_id"]].encode(), np.uint8))
         t = t[t != langid.NO_TRIGRAM]
         want = m["logp"][:, t].astype(np.float64).mean(1) * min(len(t), langid.EFFECTIVE)
         assert np.allclose(r["lls"], want)
-        break
+
+
+def test_fused_posterior_equals_brute_force(spark, tongues):
+    """Language, confidence and acceptance of every row, from the likelihoods and counts by Bayes' rule in plain loops."""
+    rng = random.Random(12)
+    m = langid.fit([(r["lang"], r["text"]) for r in tongues.collect()][:30])
+    rows = []
+    for i in range(150):
+        base = rng.choice([EN, DE, EN + DE]).split()
+        text = " ".join(rng.choice(base) for _ in range(rng.choice([1, 3, 40]))) if i % 20 else rng.choice([None, "", "12 34", "中文的句子没有别的文字"])
+        rows.append((i, text, rng.choice([None, "en", "DE"]), rng.choice(["de", "com", "uk"]), rng.choice(["a.x.de", "b.x.de", "www.y.co.uk", "z.co.uk", None])))
+    df = spark.createDataFrame(rows, "id long, text string, markup string, suffix string, host string")
+    fit = {r["id"]: (r["lls"], r["fits"]) for r in langid.scored(df.select("id", "text"), m).collect()}
+    domain = {"a.x.de": "x.de", "b.x.de": "x.de", "www.y.co.uk": "y.co.uk", "z.co.uk": "z.co.uk", "": ""}
+    info = {i: ((mk or "").lower(), sx, h or "", domain[h or ""]) for i, _, mk, sx, h in rows}
+    own = {}
+    for i, (lls, fits) in fit.items():
+        if lls is not None and fits and abs(lls[0] - lls[1]) >= langid.CLEAR:
+            own[i] = lls.index(max(lls))
+    kinds = [len({info[i][k] for i in own}) for k in range(2)]
+    got = {r["id"]: r for r in langid.identified(df, m).collect()}
+    assert len(got) == len(rows)
+    for i, (lls, fits) in fit.items():
+        if lls is None:
+            assert (got[i]["lang"], got[i]["confidence"], got[i]["accepted"]) == ("und", 0.0, False)
+            continue
+
+        def n(k, lang, i=i):
+            return sum(x == lang and (k is None or info[j][k] == info[i][k]) for j, x in own.items() if j != i)
+
+        post = []
+        for lang in range(2):
+            p = (n(None, lang) + 1) / (n(None, 0) + n(None, 1) + 2)
+            for k in (3, 2):
+                p = (n(k, lang) + langid.STRENGTH * p) / (n(k, 0) + n(k, 1) + langid.STRENGTH)
+            for k in range(2):
+                p *= (n(k, lang) + 1) / (n(None, lang) + kinds[k] + 1)
+            post.append(p * math.exp(lls[lang]))
+        conf = max(post) / sum(post)
+        assert got[i]["lang"] == m["langs"][post.index(max(post))]
+        assert got[i]["confidence"] == pytest.approx(conf, abs=1e-4)
+        assert got[i]["accepted"] == (fits and round(conf, 4) >= langid.ACCEPT)
 
 
 # 10: language model
