@@ -224,6 +224,88 @@ def test_blocks_and_labels():
     assert html_extract.first_label("the one", 0) == "short"
 
 
+def test_blocks_equal_a_parser():
+    """Blocks, their texts and characters in links against the standard library's parser, on random nested pages."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.parts, self.links, self.a, self.skip = [], [], 0, False, 0
+
+        def close_block(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.out.append((text, self.links))
+            self.parts, self.links = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "head", "svg")
+            self.a = self.a or tag == "a"
+            if not self.skip and tag in html_extract.BLOCK_TAGS.split("|"):
+                self.close_block()
+
+        def handle_endtag(self, tag):
+            if not self.skip and tag in html_extract.BLOCK_TAGS.split("|"):
+                self.close_block()
+            self.skip -= tag in ("script", "style", "head", "svg")
+            if tag == "a":
+                self.a = False
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+                if self.a:
+                    self.links += len("".join(data.split()))
+
+    rng = random.Random(31)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.35:
+            return rng.choice(["plain words here ", "a &lt;b&gt; &amp; c ", "é 中文 ", " ", "x<br>y", "<!-- no <p> -->", "<script>if (a<b) c()</script>", "1 > 0 "])
+        tag = rng.choice(["p", "div", "a", "b", "span", "li", "o:p", "my-tag", "H2", "td"])
+        attrs = rng.choice(["", " class=x", ' title="a > b"', " data-a='<p>'", ' href="/q?a=1"'])
+        return f"<{tag}{attrs}>" + "".join(node(depth - 1) for _ in range(rng.randint(0, 3))) + f"</{tag}>"
+
+    for _ in range(600):
+        html = "<html><head><title>t</title></head><body>" + "".join(node(4) for _ in range(4)) + "</body></html>"
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        reader.close_block()
+        assert html_extract.blocks(html) == reader.out, html
+
+
+def test_first_labels_equal_brute_force():
+    rng = random.Random(32)
+    for _ in range(500):
+        words = [rng.choice(["the", "of", "und", "la", "blorf", "snark", "zwick", "42"]) for _ in range(rng.randint(1, 70))]
+        text, links = " ".join(words), rng.choice([0, 0, 3, 40])
+        real = [w for w in words if w != "42"]
+        density = sum(w in ("the", "of", "und", "la") for w in real) / len(real) if real else 0
+        if links / len("".join(words)) > 0.2:
+            want = "bad"
+        elif len(text) < 70:
+            want = "bad" if links else "short"
+        elif density >= 0.2:
+            want = "good" if len(text) > 200 else "near"
+        else:
+            want = "near" if density >= 0.12 else "bad"
+        assert html_extract.first_label(text, links) == want
+
+
+def test_other_languages_and_tags():
+    kept = lambda body: html_extract.extract(f"<html><body><nav><a href=x>{'link ' * 20}</a></nav><p>{body}</p></body></html>")[0]
+    for body in (
+        "他说这是一个很好的故事，我们在家里看了很久，也有人不同意。" * 9, "これはとても長い話で、彼はその家に住んでいたと言われています。" * 8, "она сказала что это не так и мы все были в доме на горе для того чтобы он не был один. " * 4,
+        "यह एक लंबी कहानी है और हम सब घर में थे। " * 9, "이것은 아주 긴 이야기이고 우리는 모두 집에 있었다. " * 9,
+    ):
+        assert kept(body) == body.strip()
+    assert kept("中文链接目录首页产品") == ""
+    assert html_extract.blocks("<p>hello <o:p>x</o:p> <my-tag a=1>y</my-tag> 2 < 3</p>") == [("hello x y 2 < 3", 0)]
+    assert html_extract.blocks("a&#xE002;b\ue002c") == [("abc", 0)]
+
+
 def test_context_labels_equal_brute_force():
     rng = random.Random(3)
     for _ in range(500):
