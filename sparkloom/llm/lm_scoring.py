@@ -1,23 +1,27 @@
 """Operator 10: scoring of texts with a log-bilinear language model trained by noise-contrastive estimation.
 
-The alphabet of the model has ``WORDS`` entries: the most frequent lower-cased words of the whole
-corpus, ``HASHED`` classes of all other words (by hash) and the mark of a text's begin. The score of
-token w after u, v is (c1 * R[v] + c2 * R[u]) . Q[w] + b[w] (Mnih and Teh, 2012, with diagonal context
-matrices). Training reads all texts: in each round every task starts from the same parameters, runs
-AdaGrad on noise-contrastive batches of its share, and the results are averaged by number of tokens
-(rounds take the batches in turn, so all rounds together are one epoch). Noise is the unigram
-distribution of the whole corpus. For scoring, batched matrix products give log Z of each context, so
-log-probabilities are normalised over the alphabet. A word of a class then gets its share of the class,
-(n + ``SMOOTH``) / (N + ``SMOOTH`` * (V + 1)) for a word that occurs n times in a class of N tokens and V distinct
-words of the corpus, all words that are not in the corpus together counting as one with n = 0; so
+Words are predicted in two steps. The classes of the model are the ``SINGLES`` most frequent lower-cased words of
+the whole corpus, ``GROUPS`` groups of ``GROUP_SIZE`` words of the next frequencies, ``HASHED`` classes of
+all other words (by hash) and the mark of a text's begin. The score of class w after u, v is
+(c1 * R[v] + c2 * R[u]) . Q[w] + b[w] (Mnih and Teh, 2012, with diagonal context matrices); the score of a word in its
+group is that of the same context vector with the word's own W and a. Both are trained by noise-contrastive
+estimation, with the unigram distribution of classes, and of words in a group, as noise.
+
+Training reads all texts. Their tokens, as 16-bit word numbers, are dealt by hash of the text into shards of about
+``SHARD_TOKENS``, each in the order of the hash, so that a model does not depend on how the input is split over
+files or tasks. In each round every shard starts from the same parameters and AdaGrad sums, runs on its batches (rounds
+take them in turn, so all rounds together are one epoch) with random numbers that depend on the shard, and the
+results are averaged by number of tokens, ``FAN`` at a time. For scoring, batched matrix products give log Z of each
+context over the classes and of each group's words, so log-probabilities are normalised. A word of a hashed class gets its
+share of it, (n + ``SMOOTH``) / (N + ``SMOOTH`` * (V + 1)) for a word that occurs n times in a class of N tokens and V
+distinct words of the corpus, all words that are not in the corpus together counting as one with n = 0; so
 probabilities are normalised over words. The counts of all words are a table that grows with the corpus:
 a task sends each hash bucket of it the distinct words of a chunk of texts and gets back their shares.
 What goes to the driver (parameters, log Z, totals of classes) has a fixed size; counts and training data
 stay distributed. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have 0 tokens, log_prob 0 and null perplexity; repeated rows
-give repeated rows; an empty table gives no rows; other columns are ignored. Results depend on how
-the input is split over tasks, as averaging does.
+give repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets, pick, ship, stored
-from ._exchange import MESSAGE, _message_batch, _message_schema, labels, unpack
+from ._common import buckets, cut, lean, pick, ship, stored
+from ._exchange import DIRECTORY, KEYS, MESSAGE, _message_batch, _message_table, labels, unpack
+from ._exchange import dealt as dealt_by
 from ._exchange import pack as packed
 from ._tokens import Words, slices, string_buffers
 
-WORDS, HASHED, DIM, ROUNDS, BATCH, NOISE, RATE = 1024, 63, 24, 2, 4096, 24, 0.1
-SMOOTH, CHUNK_TOKENS, CHUNK_ROWS, CHUNK_WORDS = 0.5, 1_500_000, 200_000, 2_000_000
-KEYS, DIRECTORY, COUNTS = 0, 1, 2  # kinds of messages
+SINGLES, GROUPS, GROUP_SIZE, HASHED, DIM, ROUNDS, BATCH, NOISE, INNER_NOISE, RATE = 512, 448, 64, 63, 24, 2, 4096, 24, 8, 0.1
+SMOOTH, SHARD_TOKENS, FAN, CHUNK_TOKENS, CHUNK_ROWS, CHUNK_WORDS = 0.5, 8_000_000, 32, 1_500_000, 200_000, 2_000_000
+COUNTS = 3  # a kind of messages, beside KEYS and DIRECTORY
+NEVER = -1e4  # the score of a class without words
 WHITE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -50,10 +56,10 @@ def hash_of(word: str) -> int:
     return int(Words(np.frombuffer(b, np.uint8), np.array([0, len(b)])).hashes()[0])
 
 
-def vocabulary(texts: DataFrame, size: int = WORDS, hashed: int = HASHED) -> tuple[dict, DataFrame, np.ndarray]:
-    """Hashes of the frequent words (sorted) with their ids, the unigram distribution of the alphabet, the table (h, n) of all words, log of the classes' totals."""
+def vocabulary(texts: DataFrame, singles: int = SINGLES, groups: int = GROUPS, group_size: int = GROUP_SIZE, hashed: int = HASHED) -> tuple[dict, DataFrame, np.ndarray]:
+    """Hashes of the frequent words (sorted) with their numbers, the classes and their unigram distributions, the table (h, n) of all words, log of the hashed classes' totals."""
     ship(texts.sparkSession)
-    n_words = size - hashed - 1
+    n_words, size = singles + groups * group_size, singles + groups + hashed + 1
     counts = word_counts(texts)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,29 +79,34 @@ def vocabulary(texts: DataFrame, size: int = WORDS, hashed: int = HASHED) -> tup
     try:
         top = counts.orderBy(F.desc("n"), "word").limit(n_words).collect()
         every = stored(counts.mapInArrow(hashes, "h long, n long"))
-        sums, kinds = {}, np.zeros(hashed)
+        sums, kinds = np.zeros(hashed), np.zeros(hashed)
         for r in every.mapInArrow(classes, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
             sums[r["c"]], kinds[r["c"]] = r["n"], r["v"]
     finally:
         counts.unpersist()
     h = np.array([hash_of(r["word"]) for r in top], np.uint64)
-    freq = np.zeros(size)
-    for i, r in enumerate(top):
-        freq[i] = r["n"]
-        sums[int(h[i] % np.uint64(hashed))] -= r["n"]
-        kinds[int(h[i] % np.uint64(hashed))] -= 1
-    for c, n in sums.items():
-        freq[n_words + c] = n
-    log_total = np.log(freq[n_words : n_words + hashed] + SMOOTH * (kinds + 1))
-    freq = np.maximum(freq, 0.5)
-    freq[-1] = 0.5
+    freq = np.zeros(n_words)
+    freq[: len(top)] = [r["n"] for r in top]
+    np.subtract.at(sums, (h % np.uint64(hashed)).astype(int), freq[: len(top)])
+    np.subtract.at(kinds, (h % np.uint64(hashed)).astype(int), 1)
+    group = np.minimum(np.arange(n_words), singles + (np.arange(n_words) - singles) // group_size)
+    group[:singles] = np.arange(singles)
+    mass = np.concatenate([np.bincount(group, freq, singles + groups), sums, [0.0]])
+    inner = freq[singles:].reshape(groups, group_size)
+    inner = inner / np.maximum(inner.sum(1, keepdims=True), 1)
     order = np.argsort(h)
-    return {"hash": h[order], "id": order.astype(np.int32), "n_words": n_words, "hashed": hashed, "size": size, "unigram": freq / freq.sum()}, every, log_total
+    vocab = {
+        "hash": h[order], "id": order.astype(np.uint16), "n_words": n_words, "singles": singles, "group_size": group_size, "hashed": hashed, "size": size,
+        "class": np.concatenate([group, singles + groups + np.arange(hashed)]).astype(np.int32), "live": np.concatenate([mass[: singles + groups] > 0, np.ones(hashed, bool), [False]]),
+        "unigram": np.maximum(mass, 0.5) / np.maximum(mass, 0.5).sum(), "inner": inner, "tokens": int(mass.sum()),
+    }
+    return vocab, every, np.log(sums + SMOOTH * (kinds + 1))
 
 
 def token_ids(words: Words, vocab: dict) -> np.ndarray:
+    """Number of each word: its rank, or that of its hashed class after all ranks."""
     h = words.hashes()
-    ids = (vocab["n_words"] + (h % np.uint64(vocab["hashed"])).astype(np.int32)).astype(np.int32)
+    ids = (vocab["n_words"] + (h % np.uint64(vocab["hashed"])).astype(np.int32)).astype(np.uint16)
     if len(vocab["hash"]):
         at = np.minimum(np.searchsorted(vocab["hash"], h), len(vocab["hash"]) - 1)
         known = vocab["hash"][at] == h
@@ -118,8 +129,10 @@ def contexts(ids: np.ndarray, doc: np.ndarray, begin: int) -> tuple[np.ndarray,
 
 def initial(vocab: dict, dim: int, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    n = vocab["size"]
-    return {"R": rng.normal(0, 0.1, (n, dim)).astype(np.float32), "Q": rng.normal(0, 0.1, (n, dim)).astype(np.float32), "b": np.log(vocab["unigram"]).astype(np.float32), "c": np.stack([np.ones(dim), np.full(dim, 0.5)]).astype(np.float32)}
+    n, m = vocab["size"], vocab["inner"].size
+    p = {"R": rng.normal(0, 0.1, (n, dim)), "Q": rng.normal(0, 0.1, (n, dim)), "b": np.log(vocab["unigram"]), "c": np.stack([np.ones(dim), np.full(dim, 0.5)])}
+    p |= {"W": rng.normal(0, 0.1, (m, dim)), "a": np.log(np.maximum(vocab["inner"].ravel(), 1e-9))}
+    return {k: x.astype(np.float32) for k, x in p.items()}
 
 
 def scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -150,58 +163,121 @@ def nce_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray,
     return float(np.log(np.maximum(1 - data, 1e-12)).mean() + np.log(np.maximum(1 - fake, 1e-12)).sum(1).mean())
 
 
+def inner_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray, noise: np.ndarray, log_kp: np.ndarray, rate: float) -> None:
+    """One AdaGrad step of the words in groups: w is the place of each among all words of groups, noise (rows of it) are places in the same group."""
+    q = p["c"][0] * p["R"][one] + p["c"][1] * p["R"][two]
+    spots = np.concatenate([w[:, None], noise], 1)
+    score = np.einsum("nd,nkd->nk", q, p["W"][spots]) + p["a"][spots] - log_kp[spots]
+    grad = -1 / (1 + np.exp(np.clip(-score, -30, 30)))
+    grad[:, 0] += 1
+    rows, inverse = np.unique(spots, return_inverse=True)
+    inverse = inverse.reshape(spots.shape)
+    for name, g in (("W", scatter(inverse.ravel(), (grad[:, :, None] * q[:, None]).reshape(-1, q.shape[1]), len(rows))), ("a", np.bincount(inverse.ravel(), grad.ravel(), len(rows)).astype(np.float32))):
+        g /= 8.0
+        g2[name][rows] += g * g
+        p[name][rows] += (rate * g / np.sqrt(g2[name][rows] + 1e-6)).astype(np.float32)
+
+
 def _lower(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.lower(F.col("text").cast("string")).alias("text"))
 
 
-def train(texts: DataFrame, vocab: dict, dim: int = DIM, rounds: int = ROUNDS, batch: int = BATCH, noise: int = NOISE, rate: float = RATE) -> dict:
+def sharded(texts: DataFrame, vocab: dict, shard_tokens: int) -> DataFrame:
+    """(shard, ids) of the texts: 16-bit word numbers, a partition for each shard, in the order of a hash of the text."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    n = max(1, -(-vocab["tokens"] // shard_tokens))
+    place = labels(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            raw, off = string_buffers(batch.column(1))
+            for a, b, r, o in slices(raw, off):
+                words = Words(r, o)
+                h = batch.column(0)[a:b]
+                ids = token_ids(words, shared.value).tobytes()
+                cuts = pa.array((2 * words.doc).astype(np.int32))
+                shard = place[(h.to_numpy().view(np.uint64) % np.uint64(n)).astype(int)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), h, pa.Array.from_buffers(pa.binary(), b - a, [None, cuts.buffers()[1], pa.py_buffer(ids)])], names=["shard", "h", "ids"])
+
+    rows = texts.where("text <> ''").select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "shard int, h long, ids binary")
+    return cut(rows.repartition(n, "shard").sortWithinPartitions("h", "ids").select("shard", "ids"))
+
+
+def averaged(parts: DataFrame) -> DataFrame:
+    """(name, weight, value) of parts(name, shard, weight, value), as weighted means of ``FAN`` at a time."""
+
+    def mean(t: pa.Table) -> pa.Table:
+        lean()
+        w = t["weight"].to_numpy()
+        total = sum(x * np.frombuffer(v.as_py(), np.float32).astype(np.float64) for x, v in sorted(zip(w, t["value"]), key=lambda y: (y[0], y[1].as_py())))
+        return pa.table({"name": t["name"][:1], "shard": t["up"][:1], "weight": pa.array([w.sum()]), "value": pa.array([(total / w.sum()).astype(np.float32).tobytes()])})
+
+    n = parts.agg(F.max("shard")).first()[0] or 0
+    while True:
+        parts = parts.withColumn("up", F.expr(f"shard div {FAN}")).groupBy("name", "up").applyInArrow(mean, "name string, shard long, weight double, value binary")
+        n //= FAN
+        if not n:
+            return parts
+
+
+def train(texts: DataFrame, vocab: dict, dim: int = DIM, rounds: int = ROUNDS, batch: int = BATCH, noise: int = NOISE, inner_noise: int = INNER_NOISE, rate: float = RATE, shard_tokens: int = SHARD_TOKENS) -> dict:
     """Parameters after ``rounds`` rounds over ``texts(text)`` (lower-cased)."""
     spark = texts.sparkSession
     p = initial(vocab, dim)
-    shapes = {k: x.shape for k, x in p.items()}
+    state = p | {f"g2{k}": np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    shapes = {k: x.shape for k, x in state.items()}
+    tokens = sharded(texts, vocab, shard_tokens)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((p, vocab))
+        shared = spark.sparkContext.broadcast((state, vocab))
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            from pyspark import TaskContext
-
+            lean()
             start, voc = shared.value
-            mine = {k: x.copy() for k, x in start.items()}
-            g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in mine.items()}
-            rng = np.random.default_rng([TaskContext.get().partitionId(), r])
+            mine = {k: start[k].copy() for k in p}
+            g2 = {k: start[f"g2{k}"].copy() for k in p}
             log_kp = np.log(noise * voc["unigram"]).astype(np.float32)
             cdf = np.cumsum(voc["unigram"])
             cdf /= cdf[-1]
-            seen, turn = 0, 0
+            inner, size = voc["inner"], voc["group_size"]
+            inner_kp = np.log(np.maximum(inner_noise * inner.ravel(), 1e-9)).astype(np.float32)
+            # group g has the stretch g..g+1 of one distribution function over all words of groups
+            inner_cdf = (np.arange(len(inner))[:, None] + np.minimum(np.cumsum(inner, 1), 1)).ravel()
+            seen, turn, shard, rng = 0, 0, None, None
             for rb in batches:
-                raw, off = string_buffers(rb.column(0))
-                for _, _, rr, o in slices(raw, off):
-                    words = Words(rr, o)
-                    if not len(words.starts):
-                        continue
-                    ids = token_ids(words, voc)
-                    one, two = contexts(ids, words.doc, voc["size"] - 1)
-                    for a in range(0, len(ids), batch):
-                        turn += 1
-                        if turn % rounds == r:
-                            sl = slice(a, a + batch)
-                            nce_step(mine, g2, one[sl], two[sl], ids[sl], np.searchsorted(cdf, rng.random(noise)).astype(np.int32), log_kp, rate)
-                            seen += len(ids[sl])
+                if not rb.num_rows:
+                    continue
+                if shard is None:
+                    shard = rb.column(0)[0].as_py()
+                    rng = np.random.default_rng([shard, r])
+                raw, off = string_buffers(rb.column(1))
+                words = np.frombuffer(raw.tobytes(), np.uint16)
+                ids = voc["class"][words]
+                one, two = contexts(ids, off // 2, voc["size"] - 1)
+                for a in range(0, len(ids), batch):
+                    turn += 1
+                    if turn % rounds == r:
+                        sl = slice(a, a + batch)
+                        seen += len(ids[sl])
+                        nce_step(mine, g2, one[sl], two[sl], ids[sl], np.searchsorted(cdf, rng.random(noise)).astype(np.int32), log_kp, rate)
+                        grouped = np.flatnonzero((words[sl] >= voc["singles"]) & (words[sl] < voc["n_words"])) + a
+                        if len(grouped):
+                            w = words[grouped].astype(np.int64) - voc["singles"]
+                            draw = np.searchsorted(inner_cdf, (w // size)[:, None] + rng.random((len(w), inner_noise)), "right")
+                            inner_step(mine, g2, one[grouped], two[grouped], w, np.minimum(draw, (w // size * size + size - 1)[:, None]), inner_kp, rate)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([float(seen)] * len(mine)), pa.array([x.astype(np.float32).tobytes() for x in mine.values()])], names=["name", "weight", "value"])
-
-        def mean(t: pa.Table) -> pa.Table:
-            w = t["weight"].to_numpy()
-            total = sum(x * np.frombuffer(v.as_py(), np.float32).astype(np.float64) for x, v in zip(w, t["value"]))
-            return pa.table({"name": t["name"][:1], "value": pa.array([(total / w.sum()).astype(np.float32).tobytes()])})
+                out = mine | {f"g2{k}": x for k, x in g2.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([shard] * len(out), pa.int64()), pa.array([float(seen)] * len(out)), pa.array([x.astype(np.float32).tobytes() for x in out.values()])], names=["name", "shard", "weight", "value"])
 
-        rows = texts.select("text").mapInArrow(run, "name string, weight double, value binary").groupBy("name").applyInArrow(mean, "name string, value binary").collect()
-        p = p | {x["name"]: np.frombuffer(x["value"], np.float32).reshape(shapes[x["name"]]) for x in rows}
-    return p
+        parts = stored(tokens.mapInArrow(run, "name string, shard long, weight double, value binary"))
+        rank = {int(x): i for i, x in enumerate(labels(tokens.rdd.getNumPartitions()))}
+        parts = parts.join(F.broadcast(spark.createDataFrame(list(rank.items()), "shard long, k long")), "shard").drop("shard").withColumnRenamed("k", "shard")
+        state = state | {x["name"]: np.frombuffer(x["value"], np.float32).reshape(shapes[x["name"]]) for x in averaged(parts).collect()}
+    return {k: state[k] for k in p}
 
 
 def log_z(spark, p: dict) -> np.ndarray:  # noqa: ANN001
-    """log Z of every context [one before, two before], by batched matrix products in parallel."""
+    """log Z over the classes of every context [one before, two before], by batched matrix products in parallel."""
     n = len(p["b"])
     shared = spark.sparkContext.broadcast(p)
 
@@ -223,19 +299,36 @@ def log_z(spark, p: dict) -> np.ndarray:  # noqa: ANN001
     return z
 
 
-def model(docs: DataFrame, **options: int) -> dict:
-    """Train on ``docs(text)`` and tabulate: vocab, pair[v, w] and skip[u, w] scores and log Z [v, u], counts(h, n) of all words, log_total of classes."""
+def model(docs: DataFrame, singles: int = SINGLES, groups: int = GROUPS, group_size: int = GROUP_SIZE, hashed: int = HASHED, **options: float) -> dict:
+    """Train on ``docs(text)`` and tabulate the classes, whose number is fixed: vocab, pair[v, w] and skip[u, w] scores and log Z [v, u], the parameters p of the words in groups, counts(h, n) of all words, log_total of hashed classes."""
     texts = _lower(docs)
-    vocab, counts, log_total = vocabulary(texts, options.pop("words", WORDS), options.pop("hashed", HASHED))
+    vocab, counts, log_total = vocabulary(texts, singles, groups, group_size, hashed)
     p = train(texts, vocab, **options)
-    return {"vocab": vocab, "pair": (p["c"][0] * p["R"]) @ p["Q"].T + p["b"], "skip": (p["c"][1] * p["R"]) @ p["Q"].T, "z": log_z(docs.sparkSession, p), "counts": counts, "log_total": log_total}
+    p["b"] = np.where(vocab["live"], p["b"], np.float32(NEVER)).astype(np.float32)
+    p["a"] = np.where(vocab["inner"].ravel() > 0, p["a"], np.float32(NEVER)).astype(np.float32)
+    return {"vocab": vocab, "p": p, "pair": (p["c"][0] * p["R"]) @ p["Q"].T + p["b"], "skip": (p["c"][1] * p["R"]) @ p["Q"].T, "z": log_z(docs.sparkSession, p), "counts": counts, "log_total": log_total}
 
 
 def token_log_probs(words: Words, m: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised log-probability of every word or its class, and whether it is that of a class."""
-    ids = token_ids(words, m["vocab"])
-    one, two = contexts(ids, words.doc, m["vocab"]["size"] - 1)
-    return m["pair"][one, ids] + m["skip"][two, ids] - m["z"][one, two], ids >= m["vocab"]["n_words"]
+    """Normalised log-probability of every word, or of the hashed class of it, and whether it is that of a hashed class."""
+    voc, p = m["vocab"], m["p"]
+    number = token_ids(words, voc)
+    ids = voc["class"][number]
+    one, two = contexts(ids, words.doc, voc["size"] - 1)
+    out = m["pair"][one, ids] + m["skip"][two, ids] - m["z"][one, two]
+    grouped = np.flatnonzero((number >= voc["singles"]) & (number < voc["n_words"]))
+    if len(grouped):
+        w, size = number[grouped].astype(np.int64) - voc["singles"], voc["group_size"]
+        order, cut_ = dealt_by(w // size, len(voc["inner"]))
+        at = grouped[order]
+        q = p["c"][0] * p["R"][one[at]] + p["c"][1] * p["R"][two[at]]
+        for g in np.flatnonzero(np.diff(cut_)):
+            x, y = cut_[g], cut_[g + 1]
+            s = q[x:y] @ p["W"][g * size : (g + 1) * size].T + p["a"][g * size : (g + 1) * size]
+            top = s.max(1)
+            z = np.log(np.exp(s - top[:, None]).sum(1)) + top
+            out[at[x:y]] += s[np.arange(y - x), w[order[x:y]] - g * size] - z
+    return out, number >= voc["n_words"]
 
 
 def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -244,9 +337,7 @@ def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def dealt(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of h by bucket, and the bounds of the buckets in it."""
-    b = bucket_of(h, n_buckets)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(n_buckets + 1))
+    return dealt_by(bucket_of(h, n_buckets), n_buckets)
 
 
 def count_messages(counts: DataFrame, n_buckets: int) -> DataFrame:
@@ -277,7 +368,7 @@ def score(docs: DataFrame, m: dict) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum, natural logarithm), perplexity of each of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast({k: m[k] for k in ("vocab", "pair", "skip", "z")})
+    shared = spark.sparkContext.broadcast({k: m[k] for k in ("vocab", "p", "pair", "skip", "z")})
     n_buckets, log_total = buckets(spark), m["log_total"]
     label = labels(n_buckets)
     place = {int(x): b for b, x in enumerate(label)}
@@ -285,6 +376,7 @@ def score(docs: DataFrame, m: dict) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         tables, part, seq = shared.value, TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
@@ -327,7 +419,7 @@ def score(docs: DataFrame, m: dict) -> DataFrame:
             have = np.where((h[at] == key) & (at < len(h) - 1), n[at], 0)
             share = np.log(have + SMOOTH) - log_total[(key % np.uint64(len(log_total))).astype(int)]
             rows.append((dest, int(chunk[i]), 0, KEYS, share.astype(np.float32).tobytes()))
-        return pa.Table.from_batches([_message_batch(rows)] if rows else [], _message_schema())
+        return _message_table(rows)
 
     def gather(t: pa.Table) -> pa.Table:
         kind, dest, blobs = t["kind"].to_numpy(), t["dest"].to_numpy(), t["blob"].to_pylist()

@@ -600,7 +600,7 @@ def patterned(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, word string")
 
 
-OPTIONS = {"words": 64, "hashed": 7, "dim": 16, "rounds": 6, "batch": 128, "noise": 16, "rate": 0.3}
+OPTIONS = {"singles": 20, "groups": 9, "group_size": 4, "hashed": 7, "dim": 16, "rounds": 6, "batch": 128, "noise": 16, "rate": 0.3, "shard_tokens": 20_000}
 
 
 def test_model_learns(spark, patterned):
@@ -618,26 +618,66 @@ def test_probabilities_are_normalised(patterned):
 
 
 def test_probabilities_are_normalised_over_words(spark):
+    """Of all words after the same two words: known ones, rare ones and an unseen one in each hashed class."""
     rng = random.Random(4)
     texts = [" ".join(f"r{int(600 * rng.random() ** 3)}" for _ in range(50)) for _ in range(80)]
     n = {}
     for w in " ".join(texts).split():
         n[w] = n.get(w, 0) + 1
     m = lm_scoring.model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **OPTIONS)
-    words = [*n, "unseen", "unheard"]
-    got = lm_scoring.score(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), m).collect()
-    logp = {words[r["doc_id"]]: r["log_prob"] for r in got}
-    assert len(got) == len(words)
-    assert 0.7 < sum(math.exp(logp[w]) for w in n) <= 1
-    rank = {w: i for i, w in enumerate(sorted(n, key=lambda w: (-n[w], w)))}
-    classes = {}
-    for w in words:
-        if rank.get(w, 99) >= 56:
-            classes.setdefault(lm_scoring.hash_of(w) % 7, []).append(w)
-    assert len(classes) == 7
-    for same in classes.values():
-        for w in same[1:]:
-            assert logp[w] - logp[same[0]] == pytest.approx(math.log((n.get(w, 0) + 0.5) / (n.get(same[0], 0) + 0.5)), abs=1e-3)
+    unseen = {}
+    for i in range(1000):
+        unseen.setdefault(lm_scoring.hash_of(f"new{i}") % 7, f"new{i}")
+    words = [*n, *unseen.values()]
+    for before in ("r0 r1 ", "r77 ", ""):
+        rows = [(i, before + w) for i, w in enumerate(words)] + [(-1, before.strip())]
+        got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+        assert len(got) == len(rows)
+        assert sum(math.exp(got[i] - got[-1]) for i in range(len(words))) == pytest.approx(1, abs=2e-3)
+
+
+def test_log_prob_equals_brute_force(spark, patterned):
+    """log_prob of whole texts, token by token from the parameters."""
+    texts = [r["text"] for r in patterned.orderBy("doc_id").limit(60).collect()]
+    texts = [t + f" rare{i}" for i, t in enumerate(texts)]
+    m = lm_scoring.model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **OPTIONS | {"singles": 8, "groups": 5})
+    n = {}
+    for w in " ".join(texts).split():
+        n[w] = n.get(w, 0) + 1
+    ranked = sorted(n, key=lambda w: (-n[w], w))[:28]
+    p, begin = m["p"], 8 + 5 + 7
+
+    def class_of(w):
+        if w in ranked:
+            r = ranked.index(w)
+            return r if r < 8 else 8 + (r - 8) // 4
+        return 13 + lm_scoring.hash_of(w) % 7
+
+    def token(w, v, u):
+        q = p["c"][0] * p["R"][v] + p["c"][1] * p["R"][u]
+        s = p["Q"] @ q + p["b"]
+        out = s[class_of(w)] - np.log(np.exp(s).sum())
+        if w in ranked[8:]:
+            r = ranked.index(w) - 8
+            s = p["W"][r // 4 * 4 : r // 4 * 4 + 4] @ q + p["a"][r // 4 * 4 : r // 4 * 4 + 4]
+            out += s[r % 4] - np.log(np.exp(s).sum())
+        elif w not in ranked:
+            same = [x for x in n if x not in ranked and class_of(x) == class_of(w)]
+            out += math.log((n.get(w, 0) + 0.5) / (sum(n[x] for x in same) + 0.5 * (len(same) + 1)))
+        return out
+
+    asked = [*texts[:12], "w1 never seen w2", "w3"]
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), m).collect()}
+    for i, text in enumerate(asked):
+        ws = text.split()
+        cs = [begin, begin, *map(class_of, ws)]
+        assert got[i] == pytest.approx(sum(token(w, cs[k + 1], cs[k]) for k, w in enumerate(ws)), rel=1e-3)
+
+
+def test_model_does_not_depend_on_the_split(spark, patterned):
+    one = lm_scoring.train(patterned.coalesce(1).select("text"), lm_scoring.vocabulary(patterned.select("text"), 20, 9, 4, 7)[0], 8, 2, 128, 8, 4, 0.3, 5000)
+    many = lm_scoring.train(patterned.repartition(7).select("text"), lm_scoring.vocabulary(patterned.select("text"), 20, 9, 4, 7)[0], 8, 2, 128, 8, 4, 0.3, 5000)
+    assert all(np.array_equal(one[k], many[k]) for k in one)
 
 
 def test_scores_of_edge_cases(make, edge):
@@ -663,6 +703,7 @@ def test_gradient_of_the_objective():
         f = q @ p["Q"][noise].T + p["b"][noise] - log_kp[noise]
         return -np.log1p(np.exp(-s)).sum() - np.log1p(np.exp(f)).sum()
 
+    voc["inner"] = np.full((2, 4), 0.25)
     p = {k: v.astype(np.float64) for k, v in lm_scoring.initial(voc, 3).items()}
     for name, at in (("R", (int(one[0]), 1)), ("Q", (int(w[0]), 2)), ("Q", (int(noise[0]), 0)), ("b", (int(w[1]),)), ("c", (1, 2))):
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
@@ -674,3 +715,28 @@ def test_gradient_of_the_objective():
         lm_scoring.nce_step(new, g2, one, two, w, noise, log_kp, 64e6)
         step = (new[name][at] - p[name][at])
         assert step == pytest.approx(slope, rel=0.05, abs=2e-3)
+
+
+def test_gradient_of_words_in_groups():
+    rng = np.random.default_rng(1)
+    voc = {"size": 6, "unigram": np.full(6, 1 / 6), "inner": np.full((3, 4), 0.25)}
+    one, two = (rng.integers(0, 6, 5).astype(np.int32) for _ in range(2))
+    w = rng.integers(0, 12, 5)
+    noise = w[:, None] // 4 * 4 + rng.integers(0, 4, (5, 3))
+    log_kp = np.log(3 * voc["inner"].ravel()).astype(np.float32)
+
+    def objective(p):
+        q = p["c"][0] * p["R"][one] + p["c"][1] * p["R"][two]
+        s = (q * p["W"][w]).sum(1) + p["a"][w] - log_kp[w]
+        f = np.einsum("nd,nkd->nk", q, p["W"][noise]) + p["a"][noise] - log_kp[noise]
+        return -np.log1p(np.exp(-s)).sum() - np.log1p(np.exp(f)).sum()
+
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.initial(voc, 3).items()}
+    for name, at in (("W", (int(w[0]), 1)), ("W", (int(noise[1, 0]), 0)), ("a", (int(w[2]),))):
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        slope = (objective(up) - objective(down)) / 2e-5
+        new = {k: v.astype(np.float32) for k, v in p.items()}
+        lm_scoring.inner_step(new, {k: np.full(v.shape, 1e12, np.float32) for k, v in p.items()}, one, two, w, noise, log_kp, 8e6)
+        assert new[name][at] - p[name][at] == pytest.approx(slope, rel=0.05, abs=2e-3)
