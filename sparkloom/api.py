@@ -34,6 +34,7 @@ class Vocabulary:
         self.model = model
         self.cutter = cutter if model.counter.method == "piece" else None
         self.codec = codecs.Codec(model, self.cutter)
+        self.first = {p: i for i, p in reversed(list(enumerate(self.codec.pieces)))}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -65,7 +66,7 @@ class Vocabulary:
         """Byte-piece models give the first id or -1, others the last or the unknown id (-1 for naive)."""
         p = piece.encode() if isinstance(piece, str) else piece
         if self.method == "bytepiece":
-            return next((i for i, x in enumerate(self.codec.pieces) if x == p), -1)
+            return self.first.get(p, -1)
         return self.codec.id.get(p, -1 if self.method == "naive" else self.codec.unk)
 
     def id_to_piece(self, i: int) -> bytes:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from collections.abc import Callable, Iterator
+from typing import TextIO
 
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Splitter
@@ -13,7 +17,7 @@ from .functions.codepoints import escape
 from .operators.codecs import Codec, han_cutter
 from .operators.counting import raw_count
 from .operators.learners import train
-from .session import session
+from .session import session, ship
 from .sources.model import METHODS, Model, NormalizerSpec
 from .sources.text import first_sentences, read_dictionary, read_lines, read_ordered_lines, write_counts_file
 
@@ -60,10 +64,41 @@ def _dictionary(name: str):  # noqa: ANN202
     return {r["word"].encode(): r["freq"] for r in read_dictionary(session(1), name).collect()}
 
 
-def _lines(path: str):  # noqa: ANN202
-    with open(path, encoding="utf-8", newline="\n") if path else sys.stdin as f:
-        for line in f:
-            yield line.rstrip("\n")
+def _stdin():  # noqa: ANN202
+    for line in sys.stdin:
+        yield line.rstrip("\n")
+
+
+def _print_lines(paths: list[str], shown: Callable[[Column], Column], out: TextIO) -> None:
+    """Lines of files through a column, in order: computed by all tasks, streamed through the driver."""
+    lines = read_ordered_lines(session(), paths)
+    for r in lines.select("file_no", "line_no", shown(F.col("value")).alias("shown")).orderBy("file_no", "line_no").toLocalIterator(prefetchPartitions=True):
+        print(r["shown"], file=out)
+
+
+def shown_tokens(codec: Codec, line: str) -> str:
+    return " ".join(escape(t) for t in codec.tokenize(line))
+
+
+def shown_pairs(codec: Codec, line: str) -> str:
+    """A line for each piece with its id, and an empty one."""
+    return "".join(f"{piece.decode('utf-8', 'replace')}\t{i}\n" for piece, i in codec.encode(line))
+
+
+def shown_text(codec: Codec, line: str) -> str:
+    return codec.decode([int(x) for x in line.split()]).decode("utf-8", "replace")
+
+
+def coded_lines(text: Column, model: Model, show: Callable[[Codec, str], str], cutter: Callable[[str], list[str]] | None) -> Column:
+    shared = ship(SparkSession.active()).sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(shared.value, cutter, naive_normalize=False)
+        for s in batches:
+            yield pa.array([show(codec, x) for x in s.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -87,28 +122,30 @@ def main(argv: list[str] | None = None) -> int:
             tokens = lines.select(F.explode(pre.tokenize(F.col("value"))).alias("token"))
             tokens = tokens.where(F.octet_length("token") <= a.max_piece_size) if a.max_piece_size else tokens
             counts = tokens.groupBy("token").agg(F.count("*").alias("freq"))
+        counts = counts.persist()  # the texts are split once
         if a.output:
             write_counts_file(counts, a.output)
         print(f"lines={lines.count()} tokens={counts.count()}", file=out)
+        counts.unpersist()
     elif a.command == "pretokenize":
         pre = Splitter(a.normalize, a.cut, a.reconstruct)
-        for path in a.input or [""]:
-            for line in _lines(path):
+        if a.input:
+            _print_lines(a.input, lambda c: F.array_join(pre.tokenize(c), " "), out)
+        else:
+            for line in _stdin():
                 print(" ".join(pre.tokenize(line)), file=out)
     else:
         model = Model.load(a.model)
         words = _dictionary(a.cn_dict)
         cutter = None if words is None else (lambda run: list(run)) if words == "no" else han_cutter(words)
-        codec = Codec(model, cutter if model.counter.method == "piece" else None, naive_normalize=False)
-        for line in _lines(a.input):
-            if a.command == "tokenize":
-                print(" ".join(escape(t) for t in codec.tokenize(line)), file=out)
-            elif a.command == "encode":
-                for piece, i in codec.encode(line):
-                    out.write(f"{piece.decode('utf-8', 'surrogateescape')}\t{i}\n".encode("utf-8", "surrogateescape").decode("utf-8", "replace"))
-                print(file=out)
-            else:
-                print(codec.decode([int(x) for x in line.split()]).decode("utf-8", "replace"), file=out)
+        cutter = cutter if model.counter.method == "piece" else None
+        show = {"tokenize": shown_tokens, "encode": shown_pairs, "decode": shown_text}[a.command]
+        if a.input:
+            _print_lines([a.input], lambda c: coded_lines(c, model, show, cutter), out)
+        else:
+            codec = Codec(model, cutter, naive_normalize=False)
+            for line in _stdin():
+                print(show(codec, line), file=out)
     return 0
 
 

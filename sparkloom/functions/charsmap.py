@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codepoints import decode_one
 from .text import SENTINEL
 from .text import normalize as plain
 
+_SPACES = re.compile(" +")
+MAX_PREFIXES = 32  # of one source that are sources themselves
 NAMES = ("NFKC", "NMT_NFKC", "NFKC_CF", "NMT_NFKC_CF")
 _NMT_DELETE = {*range(0x1, 0x9), 0xB, *range(0xE, 0x20), 0x7F, 0x8F, 0x9F, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0xFEFF}
 _NMT_SPACE = {0x9, 0xA, 0xC, 0xD, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x85, 0xA0}
@@ -33,6 +36,9 @@ class CharsMap:
         self.rules = dict(rules or {})
         self.name = name
         self.longest = max(map(len, self.rules), default=0)
+        for source in self.rules:
+            if sum(source[:n] in self.rules for n in range(1, len(source) + 1)) > MAX_PREFIXES:
+                raise ValueError(f"more than {MAX_PREFIXES} sources begin {source!r}")
         self.seen: dict[str, str] = {}
 
     @classmethod
@@ -45,6 +51,10 @@ class CharsMap:
         """From rows (source, target) on the driver; a map is a small, fixed table."""
         return cls({r["source"]: r["target"] for r in df.select("source", "target").collect()}, "custom")
 
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """The rules as rows (source, target), in order."""
+        return spark.createDataFrame(sorted(self.rules.items()), "source string, target string")
+
     def to_blob(self) -> bytes:
         return json.dumps({"name": self.name, "rules": self.rules}, ensure_ascii=False, sort_keys=True).encode()
 
@@ -115,6 +125,19 @@ def normalize_offsets(raw: bytes, charsmap: CharsMap, reconstruct: bool = False,
     return bytes(out), [*back, end]
 
 
+def normalize_text(text: str, charsmap: CharsMap, reconstruct: bool = False, space: str = SENTINEL) -> str:
+    """The text of :func:`normalize_offsets`; a standard map runs over the whole string at once."""
+    if charsmap.rules or charsmap.name not in NAMES:
+        return normalize_offsets(text.encode(), charsmap, reconstruct, space)[0].decode()
+    t = _standard(text, charsmap.name)
+    if reconstruct:
+        return t.replace(" ", space)
+    t = _SPACES.sub(" ", t).strip(" ").replace(" ", space)
+    while space and t.endswith(space):
+        t = t[: -len(space)]
+    return t
+
+
 def normalize(text: Column, charsmap: CharsMap | str = "no", reconstruct: bool = False) -> Column:
     """Normalised text. The identity map is a JVM expression; other maps take an iterator pandas UDF."""
     charsmap = CharsMap.named(charsmap) if isinstance(charsmap, str) else charsmap
@@ -124,7 +147,7 @@ def normalize(text: Column, charsmap: CharsMap | str = "no", reconstruct: bool =
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda x: None if x is None else normalize_offsets(x.encode(), charsmap, reconstruct)[0].decode())
+            yield s.map(lambda x: None if x is None else normalize_text(x, charsmap, reconstruct))
 
     return run(text)
 

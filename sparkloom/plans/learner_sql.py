@@ -167,3 +167,27 @@ each_ AS (SELECT word, unnest(t) AS piece, unnest(range(1, len(t) + 1)) AS i FRO
 found AS (SELECT word, i, 0 AS k, id FROM each_ JOIN dict ON dict.w = each_.piece
   UNION ALL SELECT word, i, k, ('0x' || substr(hex(encode(piece)), 2 * k + 1, 2))::INTEGER + 3 FROM (SELECT word, i, piece, unnest(range(0, strlen(piece))) AS k FROM each_ WHERE piece NOT IN (SELECT w FROM dict)))
 SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY i, k) AS ids FROM found GROUP BY word"""
+
+
+def text_learner(size: int) -> str:
+    """CTEs ending in steps(step, u, v, piece): merges over the whole benchmark as one text; the first most frequent pair, while it occurs twice."""
+    return f"""whole AS (SELECT string_agg(regexp_replace(hex(encode(text || chr(10))), '(..)', '<\\1>', 'g'), '' ORDER BY item_id) AS s FROM (SELECT item_id, text FROM benchmark WHERE text <> '')),
+st AS (SELECT 0 AS step, s, '' AS a, '' AS b FROM whole
+  UNION ALL SELECT step + 1, replace(s, p.a || p.b, '<' || substr(p.a, 2, length(p.a) - 2) || substr(p.b, 2, length(p.b) - 2) || '>'), p.a, p.b
+  FROM st, (SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT regexp_extract_all(s, '<[^>]+>') AS t FROM st)) GROUP BY a, b HAVING count(*) > 1 ORDER BY count(*) DESC, min(i) LIMIT 1) AS p WHERE step < {size - 256}),
+steps AS MATERIALIZED (SELECT step, substr(a, 2, length(a) - 2) AS u, substr(b, 2, length(b) - 2) AS v FROM st WHERE step > 0)"""
+
+
+def train_text(size: int) -> str:
+    return f"""WITH RECURSIVE {text_learner(size)}, vocab AS (SELECT i AS id, printf('%02X', i) AS piece, 0 AS score, 6 AS type, '' AS u, '' AS v FROM range(256) AS r(i)
+  UNION ALL SELECT step + 255, u || v, 1 - step, 1, u, v FROM steps) SELECT {PIECE_ROW} FROM vocab"""
+
+
+def encode_text(size: int, normal: str) -> str:
+    """Merges of the model one after the other over each line; ``normal`` is its normalised text."""
+    return f"""WITH RECURSIVE {text_learner(size)}, parts AS (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark), raw AS (SELECT item_id, unnest(range(0, len(l)))::BIGINT AS n, unnest(l) AS line FROM parts), lines AS (SELECT item_id, n, {normal} AS line FROM raw),
+enc AS (SELECT 0 AS turn, item_id, n, line, regexp_replace(hex(encode(line)), '(..)', '<\\1>', 'g') AS s FROM lines
+  UNION ALL SELECT turn + 1, item_id, n, line, replace(s, '<' || u || '><' || v || '>', '<' || u || v || '>') FROM enc JOIN steps ON step = turn + 1),
+each_ AS (SELECT item_id, n, line, unnest(list_append(regexp_extract_all(s, '[0-9A-F]+'), '')) AS piece, unnest(range(0, len(regexp_extract_all(s, '[0-9A-F]+')) + 1)) AS i FROM enc WHERE turn = (SELECT max(step) FROM steps)),
+ids AS (SELECT printf('%02X', i) AS piece, i AS id FROM range(256) AS r(i) UNION ALL SELECT u || v, step + 255 FROM steps)
+SELECT item_id, n, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY i), '') AS ids, line AS text FROM each_ LEFT JOIN (SELECT piece, max(id) AS id FROM ids GROUP BY piece) USING (piece) GROUP BY item_id, n, line"""

@@ -141,4 +141,24 @@ ORACLES: dict[str, str] = {
     "encode_sentencepiece": sql.encode_chars(_words(), 8000, 32),
     "train_bytepiece": sql.train_byte_pieces(_words(), GRAMS, 8000, 32),
     "encode_bytepiece": sql.encode_byte_pieces(_words(), GRAMS, 8000, 32),
+    "train_naive": sql.train_text(300),
+    "encode_naive": sql.encode_text(300, _norm("line")),
+    "model_file": sql.train_piece(_words(), 8000, 32),
+    "normalize_nfkc_cf": f"""WITH {LINES}, folded AS (SELECT doc_id, line_no, replace(lower(nfc_normalize(line)), 'ß', 'ss') || ' 123 hello fi strasse å' AS line FROM lines)
+  SELECT doc_id, line_no, {_norm('line')} AS text FROM folded""",
+    "normalize_custom_map": f"""WITH {LINES} SELECT doc_id, line_no, {_norm("replace(replace(replace(replace(line, 'the', 'D'), 'th', 'T'), 'er', 'R'), 'e', '3')")} AS text FROM lines""",
+    "normalize_offsets": r"""WITH c AS (SELECT item_id, string_split('  ' || replace(text, ' ', '  ') || ' ', '') AS c FROM benchmark),
+  spots AS (SELECT item_id, c, unnest(range(1, len(c) + 1)) AS i FROM c),
+  bytes AS (SELECT item_id, i, c[i] AS ch, i > 1 AND c[i - 1] = ' ' AS after_space, sum(strlen(c[i])) OVER (PARTITION BY item_id ORDER BY i) - strlen(c[i]) AS pos FROM spots),
+  kept AS (SELECT item_id, i, ch, pos FROM bytes WHERE NOT (ch = ' ' AND (after_space OR pos = 0))),
+  words AS (SELECT item_id, max(i) FILTER (ch <> ' ') AS last FROM kept GROUP BY item_id),
+  marked AS (SELECT k.item_id, i, last, CASE WHEN ch = ' ' THEN '▁' ELSE ch END AS ch, pos FROM kept AS k JOIN words USING (item_id))
+  SELECT item_id, string_agg(ch, '' ORDER BY i) FILTER (i <= last) AS text,
+    string_agg(rtrim(repeat(pos::BIGINT::VARCHAR || ' ', strlen(ch))), ' ' ORDER BY i) FILTER (i <= last) || ' ' || (min(pos) FILTER (i > last))::BIGINT::VARCHAR AS offsets FROM marked GROUP BY item_id""",
+    "utf8_lengths": f"WITH {_count()} SELECT token, strlen(token)::BIGINT AS n_bytes, length(token)::BIGINT AS n_chars, hex(encode(token)) AS bytes FROM counts",
+    "cut_han_dictionary": f"""SELECT item_id, array_to_string(regexp_extract_all({_norm('text')}, '{R0}'), '|') || '|▁|我们|在|学习|未|知|▁|人工智能|end' AS tokens FROM benchmark""",
+    "text_files": f"WITH {LINES} SELECT line, count(*)::BIGINT AS n FROM lines GROUP BY line",
+    "counts_as_dictionary": f"WITH {_count()} SELECT token AS word, freq::DOUBLE AS freq FROM counts",
+    "id_lookup": f"WITH {_words()}, tops AS (SELECT word AS piece, freq AS cnt FROM words), {VOCAB} SELECT i::INTEGER AS id, piece, type FROM range(-2, 3000, 7) AS r(i) LEFT JOIN vocab ON vocab.id = i",
+    "stream_windows": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, token, count(*)::BIGINT AS freq FROM (SELECT ts, unnest(regexp_extract_all({_norm('event_type')}, '{R0}')) AS token FROM events) GROUP BY ALL""",
 }

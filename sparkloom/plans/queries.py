@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.charsmap import normalize
+from ..functions.charsmap import CharsMap, normalize, normalize_with_offsets
 from ..operators import codecs, counting, merges, vocab
 from ..operators.learners import train
 from ..session import checkpoint_dir, line_table, ship, spread, table
 from ..sources.model import Model
-from ..sources.text import json_articles, json_texts
-from ..streaming.counts import raw_count_stream
+from ..sources.text import json_articles, json_texts, read_dictionary, read_ordered_lines, write_counts, write_lines
+from ..streaming.counts import raw_count_stream, windowed_count_stream
 from .dictionary import UNIGRAM_WORDS
 
 MIN_COUNT = 0
@@ -204,7 +204,19 @@ def train_bytepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-text merges over the benchmark (the method is quadratic and for small inputs)."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return _pieces(train(b, "naive", 300, order=("item_id", "n")), spark)
+    return _pieces(_naive(b), spark)
+
+
+def _naive(lines: DataFrame) -> Model:
+    return train(lines, "naive", 300, order=("item_id", "n"))
+
+
+def encode_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the benchmark's lines, and what they decode to, with a model of whole-text merges."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    model = _naive(b)
+    e = b.select("item_id", F.col("n").cast("long").alias("n"), codecs.encode_ids(F.col("line"), model).alias("ids"))
+    return e.select("item_id", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), codecs.decode(F.col("ids"), model).alias("text"))
 
 
 def _word_ids(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -265,9 +277,73 @@ def jsonl_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_articles(docs.select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), "text")).alias("value")))
 
 
+COMPAT = " \u2460\u2461\u2462 \uff28\uff25\uff2c\uff2c\uff2f \ufb01 Stra\u00dfe A\u030a  "
+
+
 def normalize_nfkc_cf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines through the NFKC and case-folding map."""
-    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("line"), "NFKC_CF").alias("text"))
+    """Lines, with compatibility characters added, through the NFKC and case-folding map."""
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.concat(F.col("line"), F.lit(COMPAT)), "NFKC_CF").alias("text"))
+
+
+def normalize_custom_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through a map of our own, of which the longest source wins."""
+    rules = CharsMap({"th": "T", "the": "D", "e": "3", "er": "R"}, "custom")
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("line"), rules).alias("text"))
+
+
+def normalize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the original that each byte of a normalised benchmark text comes from, and the end."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", normalize_with_offsets(F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" "))).alias("n"))
+    return b.select("item_id", F.col("n.text").alias("text"), F.array_join(F.transform("n.offsets", lambda x: x.cast("string")), " ").alias("offsets"))
+
+
+def utf8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and code points of each token of the corpus, and its text in hex."""
+    t = raw_count_cut0(spark, sf_dir)
+    return t.select("token", tx.byte_length(F.col("token")).cast("long").alias("n_bytes"), F.size(tx.chars(F.col("token"))).cast("long").alias("n_chars"), F.hex(F.encode("token", "UTF-8")).alias("bytes"))
+
+
+def cut_han_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han runs cut by a dictionary, in benchmark texts to which such runs are added."""
+    words = {"\u6211\u4eec": 8.0, "\u5728": 6.0, "\u5b66\u4e60": 7.0, "\u4eba\u5de5\u667a\u80fd": 10.0, "\u4eba\u5de5": 3.0, "\u667a\u80fd": 3.0} | dict.fromkeys("\u6211\u4eec\u5b66\u4e60\u4eba\u5de5\u667a\u80fd", 1.0)
+    t = tx.normalize(F.concat(F.col("text"), F.lit(" \u6211\u4eec\u5728\u5b66\u4e60\u672a\u77e5 \u4eba\u5de5\u667a\u80fdend")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(codecs.cut_column(t, 0, {w.encode(): f for w, f in words.items()}), "|").alias("tokens"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents written as text files and read again."""
+    out = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    write_lines(_lines(spark, sf_dir).select("line"), out, "line")
+    return read_ordered_lines(spark, [out]).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def counts_as_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts written as a table of text and read as a dictionary."""
+    out = f"{checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    write_counts(raw_count_cut0(spark, sf_dir), out)
+    return read_dictionary(spark, out)
+
+
+def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained vocabulary through its text form and back."""
+    return _pieces(Model.from_text(_model(spark, sf_dir, "piece").to_text()), spark)
+
+
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ids, known and out of range."""
+    ids = spark.range(-2, 3000, 7).select(F.col("id").cast("int").alias("id"))
+    return vocab.look_up_ids(ids, vocab_ids(spark, sf_dir))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the events' types by hour, read as a stream with a watermark."""
+    events = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(events.schema)
+    rows = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if Path(f"{sf_dir}/events.parquet").is_file() else source.parquet(f"{sf_dir}/events.parquet")
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts = windowed_count_stream(rows.select(F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("value")), "time", "1 hour")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/counts").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "token", "freq")
 
 
 def stream_raw_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         char_class_histogram, word_table_min_count, char_counts, char_coverage, rare_char_replace, byte_ngrams,
         ngram_logprob, pair_counts_bytes, pair_counts_chars, bpe_merge_1, bpe_merges_8, vocab_ids, byte_pieces,
         piece_lookup, encode_unigram, decode_ids, train_piece, train_sentencepiece, train_bytepiece, train_naive,
-        encode_piece, encode_sentencepiece, encode_bytepiece, roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, jsonl_articles, normalize_nfkc_cf, stream_raw_count,
+        encode_piece, encode_sentencepiece, encode_bytepiece, roundtrip_piece, roundtrip_sentencepiece, roundtrip_bytepiece, jsonl_text, jsonl_articles, normalize_nfkc_cf, normalize_custom_map, normalize_offsets, utf8_lengths,
+        cut_han_dictionary, text_files, counts_as_dictionary, model_file, id_lookup, encode_naive, stream_raw_count, stream_windows,
     )
 }

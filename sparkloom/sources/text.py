@@ -51,6 +51,12 @@ def json_articles(lines: DataFrame, field: str = "text", column: str = "value",
     return out.where("text <> ''")
 
 
+def write_jsonl(df: DataFrame, path: str, columns: Sequence[str] = ()) -> None:
+    """The chosen columns (none: all) as JSON lines; with ``spark.read`` of any format and address, a corpus fetched and cut to what is needed."""
+    kept = df.select(*columns) if columns else df
+    write_lines(kept.select(F.to_json(F.struct(*kept.columns)).alias("value")), path)
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """word, freq of a TSV dictionary: the first of each word; malformed rows and frequencies not above 0 are skipped."""
     rows = read_ordered_lines(spark, path)
