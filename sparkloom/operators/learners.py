@@ -23,6 +23,7 @@ from ..session import ship
 from ..sources.model import BYTE, CounterSpec, Model, NormalizerSpec, Piece, assemble, meta_pieces
 from .counting import ngram_logprob, required_chars
 from .counting import byte_ngrams as count_ngrams
+from .shared import read_shared, write_shared
 from .unigram import Unigram, segment
 
 EXTRA = {"naive": 0, "piece": 3, "sentencepiece": 259, "bytepiece": 259}
@@ -189,16 +190,17 @@ def evenly(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], shared: object) -> DataFrame:
-    """(piece binary, cnt) of cutting every piece of ``pieces`` and adding up; ``shared`` is broadcast."""
-    spark = ship(pieces.sparkSession)
-    value = spark.sparkContext.broadcast(shared)
+def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], build: Callable[[pa.Table], object], table: DataFrame) -> DataFrame:
+    """(piece binary, cnt) of cutting every piece of ``pieces`` and adding up, with what ``build`` makes of the whole ``table`` in each task."""
+    ship(pieces.sparkSession)
+    _, files = write_shared(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = build(read_shared(files))
         for batch in batches:
             sums: dict[bytes, int] = defaultdict(int)
             for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in cut(value.value, p):
+                for t in cut(value, p):
                     if t:
                         sums[t] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["piece", "cnt"])
@@ -206,30 +208,35 @@ def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], s
     return evenly(pieces.select("piece", "cnt")).mapInArrow(run, "piece binary, cnt long").groupBy("piece").agg(F.sum("cnt").cast("long").alias("cnt"))
 
 
-def _collected(df: DataFrame) -> dict[bytes, int]:
-    return {bytes(r["piece"]): r["cnt"] for r in df.collect()}
+def _log_probs(t: pa.Table) -> dict[bytes, float]:
+    return dict(zip(map(bytes.fromhex, t["gram"].to_pylist()), t["logp"].to_pylist())) if t.num_rows else {}
+
+
+def _unigram(t: pa.Table) -> Unigram:
+    return Unigram(dict(zip(t["piece"].to_pylist(), t["cnt"].to_pylist())) if t.num_rows else {})
 
 
 def learn_pieces(words: DataFrame, spec: CounterSpec, room: int) -> list[Piece]:
-    """Byte pieces: n-gram model, segmentation of all words, pruning to a fixpoint, then the best ``room`` pieces."""
-    spark = words.sparkSession
-    rows = ngram_logprob(count_ngrams(words), spec.min_count).where("n > 0").collect()
-    logp = {bytes.fromhex(r["gram"]): r["logp"] for r in rows}
+    """Byte pieces: n-gram model, segmentation of all words, pruning to a fixpoint, then the best ``room`` pieces.
+
+    The model and the pieces stay tables in the shared folder; only the ``room`` chosen pieces come to the driver.
+    """
+    grams = ngram_logprob(count_ngrams(words), spec.min_count).where("n > 0").select("gram", "logp")
     raw = words.select(F.encode("word", "UTF-8").alias("piece"), F.col("freq").alias("cnt"))
-    pieces = map_pieces(raw, lambda d, p: segment(p, d), logp).cache()
+    pieces, _ = write_shared(map_pieces(raw, lambda d, p: segment(p, d), _log_probs, grams))
     good = (F.length("piece") <= spec.max_piece_size) & (F.col("cnt") >= spec.min_count)
-    keep = _collected(pieces.where(good))
-    again = lambda d, df: _collected(map_pieces(df, lambda u, p: u.tokenize(p), Unigram(d)))
-    for p, n in again(keep, pieces.where(~good)).items():
-        keep[p] = keep.get(p, 0) + n
-    pieces.unpersist()
+    again = lambda keep, rest: map_pieces(rest, lambda u, p: u.tokenize(p), _unigram, keep)
+    keep = pieces.where(good)
+    keep, _ = write_shared(keep.union(again(keep, pieces.where(~good))).groupBy("piece").agg(F.sum("cnt").cast("long").alias("cnt")))
+    size = keep.count()
     while True:
-        size = len(keep)
-        keep = again(keep, spark.createDataFrame([(bytearray(p), n) for p, n in keep.items()], "piece binary, cnt long")) if keep else keep
-        if len(keep) == size:
+        keep, _ = write_shared(again(keep, keep))
+        before, size = size, keep.count()
+        if size == before:
             break
-    order = sorted(keep.items(), key=lambda x: (len(x[0]) > 1, -x[1], -len(x[0]), x[0]))[:room]
-    return [Piece(p, float(n)) for p, n in sorted(order, key=lambda x: (-x[1], -len(x[0]), x[0]))]
+    single = F.length("piece") > 1
+    best = keep.orderBy(single, F.desc("cnt"), F.desc(F.length("piece")), "piece").limit(room).collect()
+    return [Piece(bytes(r["piece"]), float(r["cnt"])) for r in sorted(best, key=lambda r: (-r["cnt"], -len(r["piece"]), bytes(r["piece"])))]
 
 
 def train(lines: DataFrame, method: str = "bytepiece", vocab_size: int = 8000, normalizer: NormalizerSpec | None = None, cn_dict: str | dict[bytes, float] | None = None, order: tuple[str, ...] = (), column: str = "line", **spec: object) -> Model:

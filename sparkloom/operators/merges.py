@@ -2,8 +2,8 @@
 
 A word is a string of hex atoms, <68><65>. A merge is the literal replacement of '<a><b>' by '<ab>',
 which is left to right without overlap. Pair counts are kept as a table: a merge recounts only the words that
-hold its pair, before and after, and adds the difference. The lineage is cut with a reliable
-checkpoint every few merges. For thousands of merges use ``operators.learners``.
+hold its pair, before and after, and adds the difference. Both tables are kept in the shared folder, so no
+plan grows with the number of merges. For thousands of merges use ``operators.learners``.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
 from .counting import pair_counts
+from .shared import write_shared
 
-CUT_EVERY = 16
+CUT_EVERY = 4
 
 
 def atoms(words: DataFrame) -> DataFrame:
@@ -40,28 +40,19 @@ def apply_merge(state: DataFrame, a: str, b: str) -> DataFrame:
 def learn_merges(words: DataFrame, k: int, max_bytes: int = 18) -> DataFrame:
     """(step, a, b, cnt) of the first k merges."""
     spark = words.sparkSession
-    checkpoint_dir(spark)
-    state = atoms(words).groupBy("s").agg(F.sum("freq").cast("long").alias("freq")).persist()
-    pairs = pairs_of(state).persist()
-    held = [state, pairs]
+    state, _ = write_shared(atoms(words).groupBy("s").agg(F.sum("freq").cast("long").alias("freq")))
+    pairs, _ = write_shared(pairs_of(state))
     out: list[tuple[int, str, str, int]] = []
-    try:
-        for step in range(1, k + 1):
-            top = best_pair(pairs, max_bytes).first()
-            if top is None:
-                break
-            a, b = top["a"], top["b"]
-            out.append((step, a[1:-1], b[1:-1], top["cnt"]))
-            old = state.where(F.contains("s", F.lit(a + b)))
-            gone = pairs_of(old).withColumn("cnt", -F.col("cnt"))
-            pairs = pairs.union(gone).union(pairs_of(apply_merge(old, a, b))).groupBy("a", "b").agg(F.sum("cnt").cast("long").alias("cnt")).where("cnt > 0")
-            state = apply_merge(state, a, b)
-            if step % CUT_EVERY == 0:
-                state, pairs = state.checkpoint(), pairs.checkpoint()
-            else:
-                pairs = pairs.persist()
-                held.append(pairs)
-    finally:
-        for df in held:
-            df.unpersist()
+    for step in range(1, k + 1):
+        top = best_pair(pairs, max_bytes).first()
+        if top is None:
+            break
+        a, b = top["a"], top["b"]
+        out.append((step, a[1:-1], b[1:-1], top["cnt"]))
+        old = state.where(F.contains("s", F.lit(a + b)))
+        change = pairs_of(old).withColumn("cnt", -F.col("cnt")).union(pairs_of(apply_merge(old, a, b)))
+        pairs, _ = write_shared(pairs.union(change).groupBy("a", "b").agg(F.sum("cnt").cast("long").alias("cnt")).where("cnt > 0"))
+        state = apply_merge(state, a, b)
+        if step % CUT_EVERY == 0:
+            state, _ = write_shared(state)
     return spark.createDataFrame(out, "step int, a string, b string, cnt long")

@@ -74,3 +74,24 @@ def test_windowed_stream(spark, tmp_path):
     q = windowed_count_stream(stream, "t").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["start"].minute, r["token"], r["freq"]) for r in spark.table("windows").collect()} == {(0, "a", 2), (0, "▁b", 1), (30, "b", 1)}
+
+
+def test_articles(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "# Title\\n\\u00a0a\\u3000 b", "x": 1}\n{"text": "\\u3000\\u001c"}\n{"text": "## only"}\n{"text": "\\u6f22"}\n')
+    lines = src.read_lines(spark, str(tmp_path / "a.jsonl"))
+    assert [r[0] for r in src.json_articles(lines).collect()] == ["a b", "\u6f22"]
+    assert [r[0] for r in src.json_articles(lines, simplify={"\u6f22": "\u6c49"}).collect()] == ["a b", "\u6c49"]
+    src.write_jsonl(spark.createDataFrame([(1, "a", None)], "n int, text string, z string"), str(tmp_path / "out"), ["text", "n"])
+    assert [r[0] for r in src.read_lines(spark, str(tmp_path / "out")).collect()] == ['{"text":"a","n":1}']
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sparkloom.session import checkpoint_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    cluster = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=cluster, conf=SimpleNamespace(get=lambda *_: None)))
+    assert checkpoint_dir(spark)

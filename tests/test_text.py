@@ -129,3 +129,45 @@ def test_text_helpers(spark):
     assert column(spark, ["漢字x"], lambda c: tx.simplify_chinese(c, {"漢": "汉"})) == ["汉字x"]
     assert column(spark, ["ab", "a", "a1"], tx.is_english_token) == [True, False, False]
     assert column(spark, ["<0x0A>", "<0xFF>", "<0xfg>", ""], tx.piece_to_byte) == [10, 255, -1, -1]
+
+
+def test_white_space_of_all_scripts(spark):
+    """As Python's own patterns and str.strip see it."""
+    import re
+
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*spaces, "a", "#", ".", "!", "\u3002", "\n", "b", "\u200b"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+
+    def cleaned(t):
+        return re.sub(r"\s+", " ", re.sub(r"^#+\s+.*$", "", t, flags=re.MULTILINE).strip())
+
+    def sentences(t):
+        out = []
+        for line in re.split("[\r\n]", t):
+            at = 0
+            for m in re.finditer(r"[\u3002\uff01\uff1f]|[.!?](?=\s|$)", line):
+                out.append(line[at : m.end()].strip())
+                at = m.end()
+            out.append(line[at:].strip())
+        return [x for x in out if x]
+
+    assert column(spark, texts, tx.clean_text) == [cleaned(t) for t in texts]
+    assert column(spark, texts, tx.split_sentences) == [sentences(t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB 1\u2460\uff21\u00e9e\u0301\u00df\u3000\t\u4e2d\ufb01", max_size=12), st.booleans(), st.sampled_from(["NFKC", "NMT_NFKC", "NFKC_CF", "NMT_NFKC_CF", "no"]))
+def test_whole_string_normalisation_equals_the_one_with_offsets(t, reconstruct, name):
+    from sparkloom.functions.charsmap import normalize_text
+
+    m = CharsMap.named(name)
+    assert normalize_text(t, m, reconstruct) == normalize_offsets(t.encode(), m, reconstruct)[0].decode()
+
+
+def test_maps_with_too_many_prefixes(spark):
+    CharsMap({"a" * n: "b" for n in range(1, 33)})
+    with pytest.raises(ValueError, match="32"):
+        CharsMap({"a" * n: "b" for n in range(1, 34)})
+    m = CharsMap({"x": "y", "ab": ""})
+    assert CharsMap.from_table(m.to_table(spark)).rules == m.rules

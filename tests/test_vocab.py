@@ -238,3 +238,14 @@ def test_encoding_in_parts_equals_the_whole(lines, method):
         s = "".join(rng.choice(["the", "cat", " ", " ", "rat", "h", "a", "é", "，", "<s>", "▁", ",", "'", "1"]) for _ in range(rng.randint(0, 20)))
         n = codec.normalize(s)
         assert codec.encode(s) == (whole(n) if n else [])
+
+
+def test_merges_as_steps_equal_the_learner(spark, lines):
+    """Pair counts that are kept up to date, through a cut of the lineage, against the heap."""
+    from sparkloom.operators import merges
+
+    words = counting.word_table(lines)
+    got = merges.learn_merges(words, 20).collect()
+    pieces = learners.learn_bytes([(r["word"].encode(), r["freq"]) for r in words.collect()], 276, 18)[256:]
+    assert [(bytes.fromhex(r["a"]), bytes.fromhex(r["b"])) for r in got] == [(p.u, p.v) for p in pieces]
+    assert [r["step"] for r in got] == list(range(1, len(got) + 1))
