@@ -4,7 +4,7 @@ Words are predicted in two steps. The classes of the model are the ``SINGLES`` m
 the whole corpus, ``GROUPS`` groups of ``GROUP_SIZE`` words of the next frequencies, ``HASHED`` classes of
 all other words (by hash) and the mark of a text's begin. The score of class w after u, v is
 (c1 * R[v] + c2 * R[u]) . Q[w] + b[w] (Mnih and Teh, 2012, with diagonal context matrices); the score of a word in its
-group is that of the same context vector with the word's own W and a. Both are trained by noise-contrastive
+group is that of the first ``INNER_DIM`` parts of the same context vector with the word's own W and a. Both are trained by noise-contrastive
 estimation, with the unigram distribution of classes, and of words in a group, as noise.
 
 Training reads all texts. Their tokens, as 16-bit word numbers, are dealt by hash of the text into shards of about
@@ -18,7 +18,7 @@ distinct words of the corpus, all words that are not in the corpus together coun
 probabilities are normalised over words. The counts of all words are a table that grows with the corpus:
 a task sends each hash bucket of it the distinct words of a chunk of texts and gets back their shares.
 What goes to the driver (parameters, log Z, totals of classes) has a fixed size; counts and training data
-stay distributed. Words are told apart by 64-bit hashes.
+stay distributed. Words are told apart by 64-bit hashes. Of words of equal counts all or none are told apart from their hashed classes; equal counts are ordered by hash.
 
 Defined results: null and empty texts have 0 tokens, log_prob 0 and null perplexity; repeated rows
 give repeated rows; an empty table gives no rows; other columns are ignored.
@@ -39,16 +39,55 @@ from ._exchange import dealt as dealt_by
 from ._exchange import pack as packed
 from ._tokens import Words, slices, string_buffers
 
-SINGLES, GROUPS, GROUP_SIZE, HASHED, DIM, ROUNDS, BATCH, NOISE, INNER_NOISE, RATE = 512, 448, 64, 63, 24, 2, 4096, 24, 8, 0.1
-SMOOTH, SHARD_TOKENS, FAN, CHUNK_TOKENS, CHUNK_ROWS, CHUNK_WORDS = 0.5, 8_000_000, 32, 1_500_000, 200_000, 2_000_000
+SINGLES, GROUPS, GROUP_SIZE, HASHED, DIM, INNER_DIM, ROUNDS, BATCH, NOISE, INNER_NOISE, RATE = 512, 448, 64, 63, 24, 8, 2, 4096, 24, 6, 0.1
+SMOOTH, SHARD_TOKENS, FAN, CHUNK_TOKENS, CHUNK_ROWS, CHUNK_WORDS = 0.5, 8_000_000, 8, 1_500_000, 200_000, 2_000_000
 COUNTS = 3  # a kind of messages, beside KEYS and DIRECTORY
 NEVER = -1e4  # the score of a class without words
-WHITE = r"[ \t\n\x0B\f\r]+"
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all lower-cased texts."""
-    return texts.select(F.explode(F.split("text", WHITE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(h, n): hash and number of every lower-cased word over all texts. A task adds up the words of a chunk before they are shuffled."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h))))], names=["h", "n"])
+
+        for batch in batches:
+            raw, off = string_buffers(batch.column(0))
+            for _, _, r, o in slices(raw, off):
+                held.append(Words(r, o).hashes())
+                size += len(held[-1])
+                if size >= CHUNK_WORDS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def least_count(counts: DataFrame, k: int) -> int:
+    """The least t such that at most k words occur more than t times: from a histogram of powers of two, then of the counts in one of them."""
+
+    def below(sizes: list[tuple[int, int]], room: int) -> tuple[int | None, int]:
+        for at, n in sorted(sizes, reverse=True):
+            if n > room:
+                return at, room
+            room -= n
+        return None, room
+
+    power = F.length(F.bin("n"))
+    at, room = below([(r[0], r[1]) for r in counts.groupBy(power).count().collect()], k)
+    if at is None:
+        return 0
+    at, _ = below([(r[0], r[1]) for r in counts.where(power == at).groupBy("n").count().collect()], room)
+    return at
 
 
 def hash_of(word: str) -> int:
@@ -60,14 +99,7 @@ def vocabulary(texts: DataFrame, singles: int = SINGLES, groups: int = GROUPS, g
     """Hashes of the frequent words (sorted) with their numbers, the classes and their unigram distributions, the table (h, n) of all words, log of the hashed classes' totals."""
     ship(texts.sparkSession)
     n_words, size = singles + groups * group_size, singles + groups + hashed + 1
-    counts = word_counts(texts)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = string_buffers(batch.column(0))
-            for a, b, r, o in slices(raw, off):
-                h = Words(r, o).hashes()  # a word has no white space, so one hash a row
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).slice(a, b - a)], names=["h", "n"])
+    counts = stored(word_counts(texts))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,18 +107,14 @@ def vocabulary(texts: DataFrame, singles: int = SINGLES, groups: int = GROUPS, g
             sums = np.bincount(c, batch.column(1).to_numpy(), hashed)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(sums.astype(np.int64)), pa.array(np.bincount(c, minlength=hashed))], names=["c", "n", "v"])
 
-    counts = counts.persist()
-    try:
-        top = counts.orderBy(F.desc("n"), "word").limit(n_words).collect()
-        every = stored(counts.mapInArrow(hashes, "h long, n long"))
-        sums, kinds = np.zeros(hashed), np.zeros(hashed)
-        for r in every.mapInArrow(classes, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-            sums[r["c"]], kinds[r["c"]] = r["n"], r["v"]
-    finally:
-        counts.unpersist()
-    h = np.array([hash_of(r["word"]) for r in top], np.uint64)
+    least = least_count(counts, n_words)
+    top = sorted(((r["n"], r["h"] % (1 << 64)) for r in counts.where(F.col("n") > least).collect()), key=lambda x: (-x[0], x[1]))
+    sums, kinds = np.zeros(hashed), np.zeros(hashed)
+    for r in counts.mapInArrow(classes, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        sums[r["c"]], kinds[r["c"]] = r["n"], r["v"]
+    h = np.array([x for _, x in top], np.uint64)
     freq = np.zeros(n_words)
-    freq[: len(top)] = [r["n"] for r in top]
+    freq[: len(top)] = [n for n, _ in top]
     np.subtract.at(sums, (h % np.uint64(hashed)).astype(int), freq[: len(top)])
     np.subtract.at(kinds, (h % np.uint64(hashed)).astype(int), 1)
     group = np.minimum(np.arange(n_words), singles + (np.arange(n_words) - singles) // group_size)
@@ -100,7 +128,7 @@ def vocabulary(texts: DataFrame, singles: int = SINGLES, groups: int = GROUPS, g
         "class": np.concatenate([group, singles + groups + np.arange(hashed)]).astype(np.int32), "live": np.concatenate([mass[: singles + groups] > 0, np.ones(hashed, bool), [False]]),
         "unigram": np.maximum(mass, 0.5) / np.maximum(mass, 0.5).sum(), "inner": inner, "tokens": int(mass.sum()),
     }
-    return vocab, every, np.log(sums + SMOOTH * (kinds + 1))
+    return vocab, counts, np.log(sums + SMOOTH * (kinds + 1))
 
 
 def token_ids(words: Words, vocab: dict) -> np.ndarray:
@@ -131,22 +159,24 @@ def initial(vocab: dict, dim: int, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     n, m = vocab["size"], vocab["inner"].size
     p = {"R": rng.normal(0, 0.1, (n, dim)), "Q": rng.normal(0, 0.1, (n, dim)), "b": np.log(vocab["unigram"]), "c": np.stack([np.ones(dim), np.full(dim, 0.5)])}
-    p |= {"W": rng.normal(0, 0.1, (m, dim)), "a": np.log(np.maximum(vocab["inner"].ravel(), 1e-9))}
+    p |= {"W": rng.normal(0, 0.1, (m, min(dim, INNER_DIM))), "a": np.log(np.maximum(vocab["inner"].ravel(), 1e-9))}
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
 def scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by id."""
-    d = rows.shape[1]
-    return np.bincount((ids[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(np.float32)
+    """Sums of rows by id, column by column, which is several times as fast as over all cells at once."""
+    out = np.empty((rows.shape[1], n), np.float32)
+    for into, column in zip(out, np.ascontiguousarray(rows.T)):
+        into[:] = np.bincount(ids, column, n)
+    return out.T
 
 
-def nce_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray, noise: np.ndarray, log_kp: np.ndarray, rate: float) -> float:
-    """One AdaGrad step on a batch with noise shared in it; returns the mean objective."""
+def nce_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray, noise: np.ndarray, log_kp: np.ndarray, rate: float) -> None:
+    """One AdaGrad step on a batch with noise shared in it."""
     n = len(p["b"])
-    r1, r2 = p["R"][one], p["R"][two]
+    r1, r2 = p["R"].take(one, 0), p["R"].take(two, 0)
     q = p["c"][0] * r1 + p["c"][1] * r2
-    qw, qn = p["Q"][w], p["Q"][noise]
+    qw, qn = p["Q"].take(w, 0), p["Q"][noise]
     data = 1 / (1 + np.exp(np.clip((q * qw).sum(1) + p["b"][w] - log_kp[w], -30, 30)))  # 1 - P(data)
     fake = 1 / (1 + np.exp(np.clip(-(q @ qn.T + p["b"][noise] - log_kp[noise]), -30, 30)))
     dq = data[:, None] * qw - fake @ qn
@@ -160,22 +190,26 @@ def nce_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray,
         grad /= 64.0  # keeps AdaGrad's sums in a good range for sparse rows of a batch
         g2[name] += grad * grad
         p[name] += (rate * grad / np.sqrt(g2[name] + 1e-6)).astype(np.float32)
-    return float(np.log(np.maximum(1 - data, 1e-12)).mean() + np.log(np.maximum(1 - fake, 1e-12)).sum(1).mean())
 
 
 def inner_step(p: dict, g2: dict, one: np.ndarray, two: np.ndarray, w: np.ndarray, noise: np.ndarray, log_kp: np.ndarray, rate: float) -> None:
     """One AdaGrad step of the words in groups: w is the place of each among all words of groups, noise (rows of it) are places in the same group."""
-    q = p["c"][0] * p["R"][one] + p["c"][1] * p["R"][two]
+    d = p["W"].shape[1]
+    q = p["c"][0, :d] * p["R"][:, :d].take(one, 0) + p["c"][1, :d] * p["R"][:, :d].take(two, 0)
     spots = np.concatenate([w[:, None], noise], 1)
-    score = np.einsum("nd,nkd->nk", q, p["W"][spots]) + p["a"][spots] - log_kp[spots]
-    grad = -1 / (1 + np.exp(np.clip(-score, -30, 30)))
+    score = np.matmul(p["W"].take(spots, 0), q[:, :, None])[:, :, 0] + (p["a"] - log_kp).take(spots)
+    grad = (-1 / (1 + np.exp(np.clip(-score, -30, 30)))).astype(np.float32)
     grad[:, 0] += 1
-    rows, inverse = np.unique(spots, return_inverse=True)
-    inverse = inverse.reshape(spots.shape)
-    for name, g in (("W", scatter(inverse.ravel(), (grad[:, :, None] * q[:, None]).reshape(-1, q.shape[1]), len(rows))), ("a", np.bincount(inverse.ravel(), grad.ravel(), len(rows)).astype(np.float32))):
-        g /= 8.0
-        g2[name][rows] += g * g
-        p[name][rows] += (rate * g / np.sqrt(g2[name][rows] + 1e-6)).astype(np.float32)
+    place = np.zeros(len(p["a"]), np.int32)
+    place[spots] = 1
+    rows = np.flatnonzero(place)
+    place[rows] = np.arange(len(rows))
+    at = place[spots].ravel()
+    for name, g in (("W", scatter(at, (grad[:, :, None] * q[:, None]).reshape(-1, q.shape[1]), len(rows))), ("a", np.bincount(at, grad.ravel(), len(rows)).astype(np.float32))):
+        g = g / np.float32(8)
+        sums = g2[name][rows] + g * g
+        g2[name][rows] = sums
+        p[name][rows] += (rate * g / np.sqrt(sums + np.float32(1e-6))).astype(np.float32)
 
 
 def _lower(docs: DataFrame, *more: str) -> DataFrame:
@@ -321,7 +355,8 @@ def token_log_probs(words: Words, m: dict) -> tuple[np.ndarray, np.ndarray]:
         w, size = number[grouped].astype(np.int64) - voc["singles"], voc["group_size"]
         order, cut_ = dealt_by(w // size, len(voc["inner"]))
         at = grouped[order]
-        q = p["c"][0] * p["R"][one[at]] + p["c"][1] * p["R"][two[at]]
+        d = p["W"].shape[1]
+        q = p["c"][0, :d] * p["R"][one[at], :d] + p["c"][1, :d] * p["R"][two[at], :d]
         for g in np.flatnonzero(np.diff(cut_)):
             x, y = cut_[g], cut_[g + 1]
             s = q[x:y] @ p["W"][g * size : (g + 1) * size].T + p["a"][g * size : (g + 1) * size]

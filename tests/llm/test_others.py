@@ -53,13 +53,20 @@ def test_contamination(make, bench, limit):
     assert all(new[i] == old[i] for i in (3, 5, 7, 8, 9))
 
 
-def test_contamination_of_nothing(make, bench, edge):
-    assert decontaminate.contamination(make([]), bench).count() == 0
-    assert decontaminate.decontaminate(make([]), bench).count() == 0
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST_GRAMS, 0])
+def test_contamination_of_nothing(make, bench, edge, limit):
+    """Empty tables and edge cases, with the set broadcast and with the shuffled join."""
+    many = {"max_broadcast_grams": limit}
+    assert decontaminate.contamination(make([]), bench, **many).count() == 0
+    assert decontaminate.decontaminate(make([]), bench, **many).count() == 0
     none = bench.where("false")
-    assert decontaminate.contamination(edge, none).count() == 0
-    assert decontaminate.decontaminate(edge, none).count() == edge.count()
-    assert decontaminate.decontaminate(edge, bench).count() == edge.count()
+    assert decontaminate.contamination(edge, none, **many).count() == 0
+    assert decontaminate.decontaminate(edge, none, **many).count() == edge.count()
+    assert decontaminate.decontaminate(edge, bench, **many).count() == edge.count()
+    long = make([(1, prose(5, 30_000) + " " + prose(501, 30)), (1, prose(5, 30_000) + " " + prose(501, 30)), (2, None), (3, ""), (None, "x" * 200_000)])
+    got = [(r["doc_id"], r["start_token"], r["end_token"], r["n_hits"]) for r in decontaminate.contamination(long, bench, **many).collect()]
+    assert got == [(1, 30_000, 30_030, 23)] * 2
+    assert decontaminate.decontaminate(long, bench, **many).count() == 5
 
 
 # 4: packing
@@ -644,7 +651,8 @@ def test_log_prob_equals_brute_force(spark, patterned):
     n = {}
     for w in " ".join(texts).split():
         n[w] = n.get(w, 0) + 1
-    ranked = sorted(n, key=lambda w: (-n[w], w))[:28]
+    ranked = sorted(n, key=lambda w: (-n[w], lm_scoring.hash_of(w)))
+    ranked = [w for w in ranked if n[w] > n[ranked[28]]]
     p, begin = m["p"], 8 + 5 + 7
 
     def class_of(w):
@@ -659,7 +667,7 @@ def test_log_prob_equals_brute_force(spark, patterned):
         out = s[class_of(w)] - np.log(np.exp(s).sum())
         if w in ranked[8:]:
             r = ranked.index(w) - 8
-            s = p["W"][r // 4 * 4 : r // 4 * 4 + 4] @ q + p["a"][r // 4 * 4 : r // 4 * 4 + 4]
+            s = p["W"][r // 4 * 4 : r // 4 * 4 + 4] @ q[: lm_scoring.INNER_DIM] + p["a"][r // 4 * 4 : r // 4 * 4 + 4]
             out += s[r % 4] - np.log(np.exp(s).sum())
         elif w not in ranked:
             same = [x for x in n if x not in ranked and class_of(x) == class_of(w)]
@@ -717,6 +725,15 @@ def test_gradient_of_the_objective():
         assert step == pytest.approx(slope, rel=0.05, abs=2e-3)
 
 
+def test_least_count(spark):
+    rng = random.Random(3)
+    for k in (1, 5, 40, 200, 500):
+        n = [int(1.03 ** rng.randrange(300)) for _ in range(300)]
+        got = lm_scoring.least_count(spark.createDataFrame([(f"w{i}", x) for i, x in enumerate(n)], "word string, n long"), k)
+        want = next(t for t in sorted({0, *n}) if sum(x > t for x in n) <= k)
+        assert got == want
+
+
 def test_gradient_of_words_in_groups():
     rng = np.random.default_rng(1)
     voc = {"size": 6, "unigram": np.full(6, 1 / 6), "inner": np.full((3, 4), 0.25)}
@@ -727,6 +744,7 @@ def test_gradient_of_words_in_groups():
 
     def objective(p):
         q = p["c"][0] * p["R"][one] + p["c"][1] * p["R"][two]
+        q = q[:, : p["W"].shape[1]]
         s = (q * p["W"][w]).sum(1) + p["a"][w] - log_kp[w]
         f = np.einsum("nd,nkd->nk", q, p["W"][noise]) + p["a"][noise] - log_kp[noise]
         return -np.log1p(np.exp(-s)).sum() - np.log1p(np.exp(f)).sum()

@@ -70,6 +70,43 @@ def test_run_equals_stages(spark, world):
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_stages_of_an_empty_table(spark, world):
+    """And of one with nulls and repeated rows only."""
+    d = world[0]
+    full = spark.read.parquet(f"{d}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "s", 0), (5, "", "en", "s", 0)], full.schema)
+    for docs in (full.where("false"), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, d))
+            if name != "packing":
+                assert docs.columns == full.columns
+        assert docs.count() == 0
+
+
+def test_near_and_exact_stages_equal_brute_force(spark, world):
+    """Near-dedup and repeat removal on the pipeline's own input, against loops over all pairs and all windows."""
+    from .test_dedup import brute_groups
+
+    d, texts, _, _ = world
+    docs = stored(corpus_pipeline.language(spark, spark.read.parquet(f"{d}/documents.parquet"), d))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = stored(corpus_pipeline.near_duplicates(spark, docs, d))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in brute_groups(rows, 0.5)}
+    seen, want, n = set(), {}, {}
+    words = {r["doc_id"]: r["text"].split() for r in kept.orderBy("doc_id").collect()}
+    for w in words.values():
+        for i in range(len(w) - 49):
+            n[tuple(w[i : i + 50])] = n.get(tuple(w[i : i + 50]), 0) + 1
+    for doc_id, w in words.items():
+        windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        first = {i + k for i, x in enumerate(windows) if x not in seen and n[x] > 1 for k in range(50)}
+        again = {i + k for i, x in enumerate(windows) if x in seen for k in range(50)}
+        want[doc_id] = [x for i, x in enumerate(w) if i not in again - first]
+        seen |= set(windows)
+    got = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.repeated_passages(spark, kept, d).collect()}
+    assert got == {i: w for i, w in want.items() if w}
+
+
 @pytest.mark.parametrize("name", WITH_SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
