@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import masked, pick, ship
+from ._common import lean, masked, pick, ship
 from ._tokens import NORMAL_CLASS, Words, normal_mask, slices, string_buffers, window_hashes
 
 N, MIN_WORDS, DOCUMENT_SHARE, MAX_BROADCAST_GRAMS = 8, 5, 0.5, 2_000_000
@@ -128,6 +128,7 @@ def _scan(docs: DataFrame, index: dict | None, emit: Callable, schema) -> DataFr
     shared = spark.sparkContext.broadcast(index) if index is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         grams_ = shared.value if shared is not None else None
         for batch in batches:
             raw, off = string_buffers(batch.column(batch.schema.get_field_index("__low")))

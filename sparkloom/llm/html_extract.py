@@ -62,7 +62,7 @@ OPEN, CLOSE, BREAK = "\ue000", "\ue001", "\ue002"
 _MARKS = re.compile(r"[\ue000-\ue002]|&#(?:[xX]0*[eE]00[012]|0*5734[456])(?![0-9a-fA-F]);?")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
-_LISTED = re.compile(r"[A-Za-z\u00aa-\u024f\u0370-\u052f\u0590-\u06ff\u1e00-\u1fff]")
+_LISTED = re.compile(r"[A-Za-z\u00aa-\u024f\u0370-\u052f\u0590-\u06ff\u1e00-\u1fff]+")
 _SENTENCE = re.compile(r"[.!?\u0964\u061f\u17d4\u3002\uff01\uff1f]")
 
 
@@ -95,16 +95,15 @@ def blocks(html: str) -> list[tuple[str, int]]:
 def density_of(text: str) -> float | None:
     """Share of stop words, or twice that of function characters; None where no list fits the script."""
     words = _WORD.findall(text.lower())
-    letters = sum(map(len, words))
-    if not letters:
+    if not words:
         return 0.0
-    listed = len(_LISTED.findall(text))
-    if 2 * listed < letters:
+    letters = 0 if text.isascii() else sum(map(len, words))
+    if letters and 2 * sum(map(len, _LISTED.findall(text))) < letters:
         cjk = _CJK.findall(text)
         if 2 * len(cjk) < letters:
             return None
         return min(1.0, 2 * sum(c in FUNCTION_CHARACTERS for c in cjk) / len(cjk))
-    return sum(w in STOP_WORDS for w in words) / len(words)
+    return len([w for w in words if w in STOP_WORDS]) / len(words)
 
 
 def first_label(text: str, links: int) -> str:

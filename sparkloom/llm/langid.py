@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import masked, pick, ship, stored, with_row_key
+from ._common import lean, masked, pick, ship, stored, with_row_key
 from ._lookup import looked_up
 from ._tokens import slices, string_buffers
 
@@ -105,6 +105,7 @@ def scored(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lls array<double>, fits boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         m = shared.value
         logp, k = m["logp"], len(m["langs"])
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, masked, pick, ship, stored, with_row_key
+from ._common import cut, lean, masked, pick, ship, stored, with_row_key
 from ._lookup import looked_up
 from ._tokens import Words, mix64, slices, string_buffers, window_hashes
 from .components import components
@@ -96,6 +96,7 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rid, did = batch.column(0), batch.column(1)
             raw, off = string_buffers(batch.column(2))
@@ -227,6 +228,7 @@ def verified(keyed: DataFrame, comp: DataFrame, shingle: int, jaccard: float, bl
         return [x for _, _, r, o in slices(raw, off) for x in shingle_sets(r, o, shingle)]
 
     def verify(t: pa.Table) -> pa.Table:
+        lean()
         t = t.sort_by("__rid")
         label = groups_in(sets_of(t), jaccard)
         return pa.table({"__rid": t["__rid"], "doc_id": t["doc_id"], "lead": t["__rid"].take(pa.array(label)), "component": t["component"]})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, pick, ship, with_row_key
+from ._common import cut, lean, pick, ship, with_row_key
 from ._tokens import Words, slices, string_buffers
 
 CAPACITY, TRUNCATION, SPLIT, STREAM_BYTES, MAX_STREAMS = 2048, 8, 16, 8_000_000, 200_000
@@ -182,6 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, truncation: int = TRUNCATION
     few = few.withColumn("stream", stream_of(few, stream_bytes))
 
     def run(t: pa.Table) -> pa.Table:
+        lean()
         did, h, rid = (t[c].to_pylist() for c in ("doc_id", "h", "__rid"))
         by = sorted(range(len(did)), key=lambda i: (did[i] is None, did[i] or 0, h[i], rid[i]))
         text = t["text"]
