@@ -24,7 +24,7 @@ from ..sources.model import BYTE, CounterSpec, Model, NormalizerSpec, Piece, ass
 from .counting import ngram_logprob, required_chars
 from .counting import byte_ngrams as count_ngrams
 from .shared import read_shared, write_shared
-from .unigram import Unigram, segment
+from .unigram import Unigram, on_grid, segment
 
 EXTRA = {"naive": 0, "piece": 3, "sentencepiece": 259, "bytepiece": 259}
 
@@ -209,7 +209,7 @@ def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], b
 
 
 def _log_probs(t: pa.Table) -> dict[bytes, float]:
-    return dict(zip(map(bytes.fromhex, t["gram"].to_pylist()), t["logp"].to_pylist())) if t.num_rows else {}
+    return dict(zip(map(bytes.fromhex, t["gram"].to_pylist()), map(on_grid, t["logp"].to_pylist()))) if t.num_rows else {}
 
 
 def _unigram(t: pa.Table) -> Unigram:

@@ -7,6 +7,12 @@ import math
 from ..functions.codepoints import char_length
 
 INF = math.inf
+GRID = float(1 << 30)
+
+
+def on_grid(x: float) -> float:
+    """Rounded to a multiple of 2**-30: sums of a few thousand such values are exact, so paths of equal probability tie."""
+    return round(x * GRID) / GRID
 
 
 class Unigram:
@@ -15,9 +21,9 @@ class Unigram:
     def __init__(self, weights: dict[bytes, float], fallback: float = -10.0):
         total = sum(weights.values())
         log_total = math.log(total) if total > 0 else 0.0
-        self.weight = {w: math.log(f) - log_total for w, f in weights.items() if w and f > 0}
+        self.weight = {w: on_grid(math.log(f) - log_total) for w, f in weights.items() if w and f > 0}
         self.longest = max(map(len, self.weight), default=0)
-        self.fallback = fallback
+        self.fallback = on_grid(fallback)
 
     @classmethod
     def cutter(cls, weights: dict[bytes, float]) -> Unigram:
@@ -62,8 +68,8 @@ def segment(word: bytes, logp: dict[bytes, float]) -> list[bytes]:
     """Split a word where the best path of n-gram states returns to zero context.
 
     State j means j bytes of context. A state grows by one, returns to 0, or stays at the last one. State 0
-    stands only on character starts, and an n-gram begins on one, except while the last state stays. Where no
-    path exists, the word splits by characters.
+    stands only on character starts, and an n-gram begins on one, except while the last state stays. Where a
+    character ends every path, it and those after it stand alone, and the best path before it counts.
     """
     n = len(word)
     if n == 0:

@@ -11,6 +11,7 @@ import math
 PAIRS = "SELECT t[i] AS a, t[i + 1] AS b, freq FROM (SELECT t, freq, unnest(range(1, len(t))) AS i FROM ({src}) WHERE len(t) > 1)"
 META = "SELECT 0 AS id, '<unk>' AS piece, 2 AS type UNION ALL SELECT 1, '<s>', 3 UNION ALL SELECT 2, '</s>', 3"
 BYTE_META = META + " UNION ALL SELECT i + 3, printf('<0x%02X>', i), 6 FROM range(256) AS r(i)"
+GRID = "1073741824.0::DOUBLE"  # log-probabilities are multiples of 2**-30, so that their sums are exact
 PIECE_ROW = "id::INTEGER AS id, piece, score::FLOAT AS score, type::INTEGER AS type, u, v"
 
 
@@ -107,7 +108,7 @@ def unigram(words: str, weights: dict[str, float], fallback: float = -10.0) -> s
     """Best dictionary path of each word: (word, tokens, freq)."""
     values = ", ".join(f"('{w}', {f!r}::DOUBLE)" for w, f in weights.items())
     total = math.fsum(weights.values())
-    return f"""WITH RECURSIVE {words}, dict AS (SELECT w, ln(f) - ln({total!r}::DOUBLE) AS p FROM (VALUES {values}) AS d(w, f)),
+    return f"""WITH RECURSIVE {words}, dict AS (SELECT w, round((ln(f) - ln({total!r}::DOUBLE)) * {GRID}) / {GRID} AS p FROM (VALUES {values}) AS d(w, f)),
 {best_paths('best', 'words', 'dict', fallback)}
 SELECT word, array_to_string(t, '|') AS tokens, freq FROM best JOIN words USING (word)"""
 
@@ -123,14 +124,14 @@ def byte_piece_learner(words: str, grams: str, size: int, least: int, rounds: in
     stay = f"CASE WHEN pos < 5 OR top <= {ninf} THEN {ninf} ELSE top + g[6] END"
     prune = []
     for r in range(1, rounds + 1):
-        prune.append(f"""w{r} AS MATERIALIZED (SELECT word AS w, ln(cnt) - ln((SELECT sum(cnt)::DOUBLE FROM keep{r - 1})) AS p FROM keep{r - 1}),
+        prune.append(f"""w{r} AS MATERIALIZED (SELECT word AS w, round((ln(cnt) - ln((SELECT sum(cnt)::DOUBLE FROM keep{r - 1}))) * {GRID}) / {GRID} AS p FROM keep{r - 1}),
 {best_paths(f'cut{r}', 'bad' if r == 1 else f'keep{r - 1}', f'w{r}')},
 keep{r} AS MATERIALIZED (SELECT word, sum(cnt) AS cnt FROM ({'SELECT word, cnt FROM keep0 UNION ALL ' if r == 1 else ''}SELECT unnest(c.t) AS word, s.cnt FROM cut{r} AS c JOIN {'bad' if r == 1 else f'keep{r - 1}'} AS s USING (word)) GROUP BY word)""")
     return f"""{words}, {grams},
 ones AS (SELECT printf('%02X', b) AS gram, cnt FROM range(256) AS r(b) LEFT JOIN (SELECT gram, cnt FROM grams WHERE n = 1) AS g ON g.gram = printf('%02X', b)),
 full_ AS MATERIALIZED (SELECT n, gram, cnt FROM grams WHERE n > 1 AND cnt >= {least} UNION ALL SELECT 1, gram, coalesce(cnt, 1) FROM ones
   UNION ALL SELECT 0, '', (SELECT coalesce(sum(cnt), 0) FROM grams WHERE n = 0) + (SELECT count(*) FROM ones WHERE cnt IS NULL)),
-logp AS MATERIALIZED (SELECT g.n, g.gram, ln(g.cnt) - coalesce(ln(p.cnt), 0) AS p FROM full_ AS g LEFT JOIN full_ AS p ON p.n = g.n - 1 AND p.gram = substr(g.gram, 1, (g.n - 1) * 2) WHERE g.n > 0),
+logp AS MATERIALIZED (SELECT g.n, g.gram, round((ln(g.cnt) - coalesce(ln(p.cnt), 0)) * {GRID}) / {GRID} AS p FROM full_ AS g LEFT JOIN full_ AS p ON p.n = g.n - 1 AND p.gram = substr(g.gram, 1, (g.n - 1) * 2) WHERE g.n > 0),
 spell AS MATERIALIZED (SELECT word, hx, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN b[i][1] NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN b[i - 1][1] NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN b[i - 2][1] NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END) AS ins
   FROM (SELECT word, hex(encode(word)) AS hx, regexp_extract_all(hex(encode(word)), '..') AS b FROM words)),
 ends_ AS (SELECT word, hx, unnest(range(0, length(hx) // 2)) AS pos FROM spell),
@@ -138,14 +139,14 @@ tails AS (SELECT word, pos, n, CASE WHEN pos + 1 >= n THEN substr(hx, (pos + 1 -
 scores AS MATERIALIZED (SELECT word, pos, list(coalesce(p, {ninf}) ORDER BY tails.n) AS g FROM tails LEFT JOIN logp ON logp.n = tails.n AND logp.gram = tails.gram GROUP BY word, pos),
 walk AS (SELECT word, ins, 0 AS pos, [g[1], {ninf}, {ninf}, {ninf}, {ninf}, {ninf}] AS now, []::BIGINT[][] AS routes FROM scores JOIN spell USING (word) WHERE pos = 0
   UNION ALL SELECT word, ins, pos, [CASE WHEN here = 0 THEN list_max(now[before + 1:6]) + g[1] ELSE {ninf} END, {grow}, {stay}],
-    list_append(routes, [before + list_position(now[before + 1:6], list_max(now[before + 1:6])) - 1, 0, 1, 2, 3, who]) FROM (
+    list_append(routes, [CASE WHEN here = 0 AND list_max(now[before + 1:6]) > {ninf} THEN before + list_position(now[before + 1:6], list_max(now[before + 1:6])) - 1 ELSE 0 END, 0, 1, 2, 3, who]) FROM (
       SELECT *, CASE WHEN now[6] > held THEN now[6] ELSE held END AS top, CASE WHEN now[6] > held THEN 5 ELSE 4 END AS who FROM (
         SELECT q.word, q.ins, s.pos, q.now, q.routes, s.g, q.ins[s.pos + 1] AS here, q.ins[s.pos] AS before, CASE WHEN s.pos >= 5 AND q.ins[s.pos] < 5 AND q.ins[s.pos - 4] = 0 THEN q.now[5] ELSE {ninf} END AS held
         FROM walk AS q JOIN scores AS s ON s.word = q.word AND s.pos = q.pos + 1))),
 done_ AS MATERIALIZED (SELECT word, ins, pos, routes, list_max(now[ins[pos + 1] + 1:6]) AS best, ins[pos + 1] + list_position(now[ins[pos + 1] + 1:6], list_max(now[ins[pos + 1] + 1:6])) - 1 AS state FROM walk WHERE pos = len(ins) - 1),
-trace AS (SELECT word, ins, routes, pos, state, []::BIGINT[] AS cuts FROM done_ WHERE best > {ninf}
+trace AS (SELECT word, ins, routes, pos, CASE WHEN best > {ninf} THEN state ELSE 0 END AS state, []::BIGINT[] AS cuts FROM done_
   UNION ALL SELECT word, ins, routes, pos - 1, routes[pos][state + 1], CASE WHEN state = 0 AND ins[pos + 1] = 0 THEN list_prepend(pos, cuts) ELSE cuts END FROM trace WHERE pos > 0),
-cutting AS (SELECT word, cuts FROM trace WHERE pos = 0 UNION ALL SELECT word, list_filter(range(1, len(ins)), lambda i: ins[i + 1] = 0) FROM done_ WHERE best <= {ninf}),
+cutting AS (SELECT word, cuts FROM trace WHERE pos = 0),
 segments AS (SELECT word, freq, unnest(list_transform(range(1, len(cuts) + 2), lambda i: decode(unhex(substr(hex(encode(word)), coalesce(cuts[i - 1], 0) * 2 + 1, (coalesce(cuts[i], strlen(word)) - coalesce(cuts[i - 1], 0)) * 2))))) AS piece FROM cutting JOIN words USING (word)),
 pieces AS MATERIALIZED (SELECT piece AS word, sum(freq) AS cnt FROM segments GROUP BY piece),
 keep0 AS MATERIALIZED (SELECT * FROM pieces WHERE strlen(word) <= 18 AND cnt >= {least}), bad AS MATERIALIZED (SELECT * FROM pieces WHERE strlen(word) > 18 OR cnt < {least}),
@@ -161,7 +162,7 @@ def train_byte_pieces(words: str, grams: str, size: int, least: int, rounds: int
 
 def encode_byte_pieces(words: str, grams: str, size: int, least: int, rounds: int = 5) -> str:
     return f"""WITH RECURSIVE {byte_piece_learner(words, grams, size, least, rounds)},
-dict AS MATERIALIZED (SELECT decode(unhex(piece)) AS w, ln(score) - ln((SELECT sum(score)::DOUBLE FROM vocab WHERE type = 1)) AS p, id FROM vocab WHERE type = 1),
+dict AS MATERIALIZED (SELECT decode(unhex(piece)) AS w, round((ln(score) - ln((SELECT sum(score)::DOUBLE FROM vocab WHERE type = 1))) * {GRID}) / {GRID} AS p, id FROM vocab WHERE type = 1),
 {best_paths('best', 'words', 'dict')},
 each_ AS (SELECT word, unnest(t) AS piece, unnest(range(1, len(t) + 1)) AS i FROM best),
 found AS (SELECT word, i, 0 AS k, id FROM each_ JOIN dict ON dict.w = each_.piece
