@@ -14,8 +14,12 @@ pairs of a large group. A group of over ``BLOCK`` texts is verified in blocks, e
 texts that are not linked to that one are then compared, in batches, with all blocks, which leaves out no pair
 that could join two components.
 
+:func:`near_duplicates` also counts the links of each document, i.e. all other documents at or above the threshold in its
+group, copies included: all pairs of different texts of a group are compared, in a group of over ``BLOCK`` texts
+every two of its half blocks. None of them is written out. :func:`near_dedup` needs no counts and leaves these comparisons out.
+
 Defined results: a text of fewer than ``SHINGLE`` words is one shingle of all its words; null and
-empty texts belong to no group; repeated rows are copies of each other; a group keeps the row of the
+empty texts belong to no group and have no row; repeated rows are copies of each other; a group keeps the row of the
 least doc_id (null last, then table order); other columns are ignored, or kept by :func:`near_dedup`.
 """
 
@@ -34,6 +38,7 @@ from ._tokens import Words, mix64, slices, string_buffers, window_hashes
 from .components import components
 
 SHINGLE, BANDS, ROWS, JACCARD, PLAUSIBLE, BUCKET, BLOCK = 3, 48, 4, 0.5, 0.3, 20_000, 4096
+BITMAP = 64 << 20  # bytes
 SIGNED = "__rid long, doc_id long, f1 long, f2 long, bands array<long>, sig binary"
 
 
@@ -167,6 +172,45 @@ def spread(n: int, reach) -> np.ndarray:  # noqa: ANN001
     return label
 
 
+def neighbours(sets: list[np.ndarray], jaccard: float, split: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Each pair of sets at or above the threshold once: (i, those after it). With ``split``, only pairs across it.
+
+    Where many sets share few shingles, the shared ones are bits of a matrix, and a row of it is compared with all others at once.
+    """
+    n, sizes, bits = len(sets), np.array([len(s) for s in sets]), None
+    if n > 16:
+        _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[col]
+        width = -(-(int(place.max()) + 1) // 64)
+        if width * 8 * n < BITMAP and width * 64 < 800 * len(col) / n:
+            bits = np.zeros((n, width * 8), np.uint8)
+            for i, end in enumerate(np.cumsum(sizes).tolist()):
+                row, at = np.zeros(width * 64, np.uint8), place[end - sizes[i] : end]
+                row[at[at >= 0]] = 1
+                bits[i] = np.packbits(row)
+            bits = bits.view(np.uint64)
+    for i in range(split or n):
+        after = max(i + 1, split)
+        if bits is None:
+            yield i, within(sets[i], sets, sizes, np.arange(after, n), jaccard)
+        else:
+            both = np.bitwise_count(bits[after:] & bits[i]).sum(1, dtype=np.int64)
+            yield i, np.flatnonzero(both >= jaccard * (sizes[after:] + sizes[i] - both)) + after
+
+
+def linked_in(sets: list[np.ndarray], jaccard: float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component of each set (the least index) and its links; ``weights`` documents share a set, and are linked to each other."""
+    label, links = np.arange(len(sets)), weights - 1
+    for i, hit in neighbours(sets, jaccard):
+        links[i] += weights[hit].sum()
+        links[hit] += weights[i]
+        other = label[hit][label[hit] != label[i]]
+        if len(other):
+            roots = np.append(np.unique(other), label[i])
+            label[np.isin(label, roots)] = roots.min()
+    return label, links
+
+
 def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, __rid, sig) rows ordered by band -> edges (a, b) that connect what may be similar in each bucket."""
 
@@ -210,16 +254,20 @@ def candidates(sigs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return components(whole.union(some))
 
 
-VERIFIED = "__rid long, doc_id long, lead long, component long"
+VERIFIED = "__rid long, doc_id long, lead long, component long, weight long, links long"
 
 
-def verified(keyed: DataFrame, comp: DataFrame, shingle: int, jaccard: float, block: int = BLOCK) -> DataFrame:
-    """(__rid, doc_id, lead): the component under the exact similarity of each text of the candidate groups, named by a member."""
+def verified(keyed: DataFrame, comp: DataFrame, weights: DataFrame, shingle: int, jaccard: float, block: int = BLOCK, counts: bool = False) -> DataFrame:
+    """(__rid, doc_id, lead, weight, links): the component under the exact similarity of each text of the candidate groups, named by a member.
+
+    ``weights(node, weight)`` says how many documents share a text, where these are several; links are null without ``counts``.
+    """
     sizes = cut(comp.groupBy("component").agg(F.count("*").alias("n")))
-    placed = comp.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    placed = comp.join(sizes, "component").join(weights, "node", "left").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     # the first text of a group stands in each of its blocks
-    placed = placed.select("node", "component", F.explode(F.when(F.col("node") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))).alias("part"))
+    part = F.explode(F.when(F.col("node") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))).alias("part")
+    placed = placed.select("node", "component", "parts", F.coalesce("weight", F.lit(1)).alias("weight"), part)
     texts = _lowered(keyed.where(looked_up(comp.select("node", "component"), F.col("__rid")).isNotNull()))
     rows = texts.join(placed.withColumnRenamed("node", "__rid"), "__rid")
 
@@ -230,19 +278,23 @@ def verified(keyed: DataFrame, comp: DataFrame, shingle: int, jaccard: float, bl
     def verify(t: pa.Table) -> pa.Table:
         lean()
         t = t.sort_by("__rid")
-        label = groups_in(sets_of(t), jaccard)
-        return pa.table({"__rid": t["__rid"], "doc_id": t["doc_id"], "lead": t["__rid"].take(pa.array(label)), "component": t["component"]})
+        if counts and t["parts"][0].as_py() == 1:
+            label, links = linked_in(sets_of(t), jaccard, t["weight"].to_numpy())
+            links = pa.array(links)
+        else:
+            label, links = groups_in(sets_of(t), jaccard), pa.nulls(len(t), pa.int64())
+        return pa.table({"__rid": t["__rid"], "doc_id": t["doc_id"], "lead": t["__rid"].take(pa.array(label)), "component": t["component"], "weight": t["weight"], "links": links})
 
     first = stored(rows.groupBy("component", "part").applyInArrow(verify, VERIFIED))
     large = sizes.where(F.col("n") > block)
     if not large.count():
-        return first.select("__rid", "doc_id", "lead")
+        return first.drop("component")
     big = first.join(large.select("component"), "component", "left_semi")
     rest = cut(big.where("lead <> component").select("__rid", "lead", "component"))
     left = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("batches"))
     members = rows.join(left, "component").join(big.select("__rid", "component", "lead").distinct(), ["__rid", "component"]).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
-    asks = texts.join(rest, "__rid").join(left, "component").join(placed.groupBy("component").agg(F.max("part").alias("parts")), "component")
-    asks = asks.withColumn("batch", F.pmod(F.xxhash64("__rid"), F.col("batches")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts"))))
+    asks = texts.join(rest, "__rid").join(left, "component").join(placed.groupBy("component").agg(F.max("part").alias("last")), "component")
+    asks = asks.withColumn("batch", F.pmod(F.xxhash64("__rid"), F.col("batches")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
 
     def cross(a: pa.Table, b: pa.Table) -> pa.Table:
         found = set()
@@ -257,28 +309,63 @@ def verified(keyed: DataFrame, comp: DataFrame, shingle: int, jaccard: float, bl
     asks = asks.select(*[F.col(c).alias(c) for c in (*key, "text", "lead")])  # new columns, not those of members
     more = asks.groupBy(*key).cogroup(members.select(*key, "text", "lead").groupBy(*key)).applyInArrow(cross, "a long, b long")
     joined = components(big.select(F.col("__rid").alias("a"), F.col("lead").alias("b")).union(more)).withColumnRenamed("component", "joined")
-    out = first.select("__rid", "doc_id", "lead").distinct().join(joined.withColumnRenamed("node", "__rid"), "__rid", "left")
-    return out.select("__rid", "doc_id", F.coalesce("joined", "lead").alias("lead"))
+    out = big.select("__rid", "doc_id", "lead", "weight").distinct().join(joined.withColumnRenamed("node", "__rid"), "__rid", "left")
+    out = out.select("__rid", "doc_id", F.coalesce("joined", "lead").alias("lead"), "weight")
+    if counts:
+        out = cut(out)
+        out = out.join(_counted(texts, out, sets_of, jaccard, block), "__rid", "left")
+    else:
+        out = out.withColumn("links", F.lit(None).cast("long"))
+    out = out.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
+    return first.join(large.select("component"), "component", "left_anti").drop("component").unionByName(out)
+
+
+def _counted(texts: DataFrame, members: DataFrame, sets_of, jaccard: float, block: int) -> DataFrame:  # noqa: ANN001
+    """(__rid, links) to other texts of the same component, over every two half blocks of it."""
+    sizes = members.groupBy("lead").agg(F.ceil(F.count("*") * 2 / block).cast("int").alias("parts"))
+    placed = members.join(sizes, "lead").withColumn("part", F.pmod(F.xxhash64("__rid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("__rid", "lead", "weight", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def count(t: pa.Table) -> pa.Table:
+        lean()
+        t = t.sort_by("part")
+        lo, hi, w = t["lo"][0].as_py(), t["hi"][0].as_py(), t["weight"].to_numpy()
+        split = int((t["part"].to_numpy() == lo).sum()) if lo < hi else 0
+        links = np.zeros(len(t), np.int64)
+        if lo == hi or 0 < split < len(t):
+            for i, hit in neighbours(sets_of(t), jaccard, split):
+                links[i] += w[hit].sum()
+                links[hit] += w[i]
+        return pa.table({"__rid": t["__rid"], "links": links})
 
+    return texts.select("__rid", "text").join(placed, "__rid").groupBy("lead", "lo", "hi").applyInArrow(count, "__rid long, links long").groupBy("__rid").agg(F.sum("links").alias("links"))
 
-def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(__rid, doc_id, kept, kept_doc_id) of each row of ``keyed`` (which has __rid) that duplicates the kept row of its group."""
+
+def classed(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD, bucket: int = BUCKET, block: int = BLOCK, counts: bool = False) -> DataFrame:
+    """(__rid, doc_id, kept, kept_doc_id, links) of each row of ``keyed`` (which has __rid) in a group of two or more; links only with ``counts``."""
     sigs = stored(signed(keyed, shingle, bands, rows))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")
-    classes = sigs.groupBy("f1", "f2").agg(F.min(rank).alias("rep"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "rep")
-    copies = stored(sigs.join(classes, ["f1", "f2"]).where("__rid <> rep.__rid").select("__rid", "doc_id", F.col("rep.__rid").alias("rep"), F.col("rep.doc_id").alias("rep_doc")))
-    one = sigs.where(looked_up(copies.select("__rid", "rep"), F.col("__rid")).isNull())
-    lead = cut(verified(keyed, candidates(one, bucket), shingle, jaccard, block))
+    classes = sigs.groupBy("f1", "f2").agg(F.min(rank).alias("rep"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "rep", "n")
+    copies = stored(sigs.join(classes, ["f1", "f2"]).select("__rid", "doc_id", F.col("rep.__rid").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "n"))
+    one = sigs.where(looked_up(copies.where("__rid <> rep").select("__rid", "rep"), F.col("__rid")).isNull())
+    weights = copies.where("__rid = rep").select(F.col("rep").alias("node"), F.col("n").alias("weight"))
+    lead = cut(verified(keyed, candidates(one, bucket), weights, shingle, jaccard, block, counts))
     best = lead.groupBy("lead").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    near = lead.join(best, "lead").select("__rid", "doc_id", F.col("kept.__rid").alias("kept"), F.col("kept.doc_id").alias("kept_doc_id"))
-    of = near.select(F.col("__rid").alias("rep"), "kept", "kept_doc_id")
-    same = copies.join(of, "rep", "left").select("__rid", "doc_id", F.coalesce("kept", "rep").alias("kept"), F.when(F.col("kept").isNull(), F.col("rep_doc")).otherwise(F.col("kept_doc_id")).alias("kept_doc_id"))
-    return near.where("__rid <> kept").unionByName(same)
+    near = lead.join(best, "lead").select("__rid", "doc_id", F.col("kept.__rid").alias("kept"), F.col("kept.doc_id").alias("kept_doc_id"), "links", "weight")
+    of = near.select(F.col("__rid").alias("rep"), "kept", "kept_doc_id", "links")
+    first = F.when(F.col("kept").isNull(), F.col("rep_doc")).otherwise(F.col("kept_doc_id"))
+    same = copies.join(of, "rep", "left").select("__rid", "doc_id", F.coalesce("kept", "rep").alias("kept"), first.alias("kept_doc_id"), F.when(F.col("kept").isNull(), F.col("n") - 1).otherwise(F.col("links")).alias("links"))
+    return near.where("weight = 1").drop("weight").unionByName(same)
+
+
+def removals(keyed: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(__rid, doc_id, kept, kept_doc_id) of each row of ``keyed`` (which has __rid) that duplicates the kept row of its group."""
+    return classed(keyed, shingle, bands, rows, jaccard, bucket, block).where("__rid <> kept").drop("links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """Each document of ``docs(doc_id, text)`` that is a near or exact copy, with the kept one of its group: doc_id, kept_doc_id."""
-    return removals(with_row_key(pick(docs, "doc_id", "text")), shingle, bands, rows, jaccard).select("doc_id", "kept_doc_id")
+    """Each document of ``docs(doc_id, text)`` that has a near or exact copy: doc_id, class_id (that of the kept document), links (its copies)."""
+    return classed(with_row_key(pick(docs, "doc_id", "text")), shingle, bands, rows, jaccard, counts=True).select("doc_id", F.col("kept_doc_id").alias("class_id"), "links")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD) -> DataFrame:

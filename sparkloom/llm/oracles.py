@@ -67,7 +67,7 @@ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s AS a JOIN s
 near AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE both_ >= 0.5 * (p.n + q.n - both_)),
 e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
 reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach AS r JOIN e ON r.y = e.x)
-SELECT x AS doc_id, min(y) AS kept_doc_id FROM reach GROUP BY x HAVING min(y) < x""",
+SELECT x AS doc_id, min(y) AS class_id, any_value(k) AS links FROM reach JOIN (SELECT x, count(*) AS k FROM e GROUP BY x) USING (x) GROUP BY x""",
     # all labelled rows are fitted: at sf0.01 no language reaches the bound FIT_ROWS
     "op8_toxicity": f"""WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic IN (0, 1) AND doc_id IS NOT NULL),
 src AS (SELECT coalesce(lang, '') AS lang, toxic, regexp_extract_all(lower(text), '{NORMAL_CLASS}') AS w FROM documents JOIN lab USING (doc_id)),

@@ -145,7 +145,7 @@ def test_edge_cases(edge, make):
     spans = [tuple(r) for r in substring_dedup.substring_repeats(edge).collect()]
     assert sorted(spans) == [(1, 0, 80, 80), (1, 0, 80, 80), (8, 0, 80, 80)]
     near = sorted(tuple(r) for r in minhash.near_duplicates(edge).collect())
-    assert near == [(1, 1), (8, 1)]
+    assert near == [(1, 1, 2), (1, 1, 2), (8, 1, 2)]
     kept = minhash.near_dedup(edge)
     assert kept.columns == edge.columns
     assert kept.count() == edge.count() - 2
@@ -158,6 +158,7 @@ def test_edge_cases(edge, make):
 
 
 def brute_groups(rows, jaccard):
+    """(doc_id, class, links) of each row that is linked to another."""
     rows = order(rows)
     sets = []
     for _, t in rows:
@@ -171,13 +172,16 @@ def brute_groups(rows, jaccard):
             i = root[i]
         return i
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if sets[i] and both >= jaccard * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {(rows[i][0], rows[find(i)][0]) for i in range(len(rows)) if find(i) != i}
+                links[i] += 1
+                links[j] += 1
+    return sorted(((rows[i][0], rows[find(i)][0], links[i]) for i in range(len(rows)) if links[i]), key=str)
 
 
 def test_near_duplicates_equal_brute_force(make):
@@ -193,7 +197,7 @@ def test_near_duplicates_equal_brute_force(make):
                 w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
             rows.append((g * 100 + c, " ".join(w)))
     rows += [(5001, "Short one"), (5002, "short  ONE"), (5003, "alone"), (None, "Short one"), (5004, None), (5005, "")]
-    got = {tuple(r) for r in minhash.near_duplicates(make(rows).repartition(3)).collect()}
+    got = sorted((tuple(r) for r in minhash.near_duplicates(make(rows).repartition(3)).collect()), key=str)
     assert got == brute_groups(rows, minhash.JACCARD)
 
 
@@ -214,8 +218,26 @@ def test_large_groups_are_verified_in_blocks(make):
     rows += [(7000 + i, prose(2000, 90) + f" tail{i}") for i in range(20)] + [(8000, prose(2000, 90)), (8001, prose(2000, 90))]
     rng.shuffle(rows)
     keyed = with_row_key(pick(make(rows), "doc_id", "text"))
-    got = {(r["doc_id"], r["kept_doc_id"]) for r in minhash.removals(keyed, bucket=3, block=8).collect()}
-    assert got == brute_groups(rows, minhash.JACCARD)
+    got = [(r["doc_id"], r["kept_doc_id"], r["links"]) for r in minhash.classed(keyed, bucket=3, block=8, counts=True).collect()]
+    want = brute_groups(rows, minhash.JACCARD)
+    assert sorted(got, key=str) == want
+    gone = {(r["doc_id"], r["kept_doc_id"]) for r in minhash.removals(keyed, bucket=3, block=8).collect()}
+    assert gone == {(i, k) for i, k, _ in want if i != k}
+
+
+@pytest.mark.parametrize("bitmap", [minhash.BITMAP, 0])
+def test_links_of_a_group(monkeypatch, bitmap):
+    monkeypatch.setattr(minhash, "BITMAP", bitmap)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) < rng.choice([0.3, 0.7, 0.9])], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for _ in range(60)]
+    pairs = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+    assert {(i, j) for i, hit in minhash.neighbours(sets, 0.5) for j in hit.tolist()} == pairs
+    assert {(i, j) for i, hit in minhash.neighbours(sets, 0.5, 25) for j in hit.tolist()} == {(i, j) for i, j in pairs if i < 25 <= j}
+    weights = rng.integers(1, 4, 60)
+    label, links = minhash.linked_in(sets, 0.5, weights)
+    assert links.tolist() == [int(weights[i] - 1 + sum(weights[a + b - i] for a, b in pairs if i in (a, b))) for i in range(60)]
+    assert (label == minhash.groups_in(sets, 0.5)).all()
 
 
 def test_signatures_estimate_jaccard():
