@@ -91,7 +91,7 @@ def test_near_and_exact_stages_equal_brute_force(spark, world):
     docs = stored(corpus_pipeline.language(spark, spark.read.parquet(f"{d}/documents.parquet"), d))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = stored(corpus_pipeline.near_duplicates(spark, docs, d))
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in brute_groups(rows, 0.5)}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, k, _ in brute_groups(rows, 0.5) if i != k}
     seen, want, n = set(), {}, {}
     words = {r["doc_id"]: r["text"].split() for r in kept.orderBy("doc_id").collect()}
     for w in words.values():
