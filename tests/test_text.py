@@ -171,3 +171,20 @@ def test_maps_with_too_many_prefixes(spark):
         CharsMap({"a" * n: "b" for n in range(1, 34)})
     m = CharsMap({"x": "y", "ab": ""})
     assert CharsMap.from_table(m.to_table(spark)).rules == m.rules
+
+
+@pytest.mark.parametrize("reconstruct", [False, True])
+def test_rules_over_whole_texts_equal_the_steps(reconstruct, monkeypatch):
+    """Rules that overlap, that give or take spaces, and that give nothing; only a target with two spaces goes step by step."""
+    import random
+
+    from sparkloom.functions import charsmap
+
+    rng = random.Random(3)
+    rules = {"th": "T", "the": "D", "e": "3", "er": "R", "x": "", "y": " ", " z": "q ", "é": "▁", "": "never", ".": "a.b"}
+    texts = ["".join(rng.choice(["th", "e", "r", " ", "x", "y", " z", "é", ".", "▁", "a"]) for _ in range(rng.randint(0, 14))) for _ in range(500)]
+    for m in (CharsMap(rules), CharsMap(rules | {"a": "b  c"})):
+        want = [normalize_offsets(t.encode(), m, reconstruct)[0].decode() for t in texts]
+        assert [charsmap.normalize_text(t, m, reconstruct) for t in texts] == want
+    monkeypatch.setattr(charsmap, "normalize_offsets", None)
+    assert charsmap.normalize_text("the other", CharsMap(rules), reconstruct) == "D▁oDr"
