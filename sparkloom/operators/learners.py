@@ -21,9 +21,9 @@ from ..functions.charsmap import CharsMap, normalize
 from ..functions.text import split_text, split_text_cn
 from ..session import ship
 from ..sources.model import BYTE, CounterSpec, Model, NormalizerSpec, Piece, assemble, meta_pieces
-from .counting import ngram_logprob, required_chars
+from .counting import ngram_logprob, raw_count, required_chars
 from .counting import byte_ngrams as count_ngrams
-from .shared import read_shared, write_shared
+from .shared import build_shared, read_shared, write_shared
 from .unigram import Unigram, on_grid, segment
 
 EXTRA = {"naive": 0, "piece": 3, "sentencepiece": 259, "bytepiece": 259}
@@ -173,6 +173,9 @@ def words_of(lines: DataFrame, normalizer: NormalizerSpec, min_count: int = 0, c
     """(word, freq) as the trainers see them; ``cn_dict``: None, 'no' (one token a Han character) or word frequencies."""
     from .codecs import cut_column
 
+    if not cn_dict and CharsMap.named(normalizer.name).name == "no":
+        out = raw_count(lines, normalizer.cut, normalizer.reconstruct, column=column).withColumnRenamed("token", "word")
+        return out.where(F.col("freq") >= min_count) if min_count > 1 else out
     t = lines.where(F.length(column) > 0).select(normalize(F.col(column), CharsMap.named(normalizer.name), normalizer.reconstruct).alias("t"))
     if cn_dict is None or cn_dict == "":
         words = split_text(F.col("t"), normalizer.cut)
@@ -196,7 +199,7 @@ def map_pieces(pieces: DataFrame, cut: Callable[[object, bytes], list[bytes]], b
     _, files = write_shared(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = build(read_shared(files))
+        value = build_shared(files, build)
         for batch in batches:
             sums: dict[bytes, int] = defaultdict(int)
             for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -220,8 +223,10 @@ def learn_pieces(words: DataFrame, spec: CounterSpec, room: int) -> list[Piece]:
     """Byte pieces: n-gram model, segmentation of all words, pruning to a fixpoint, then the best ``room`` pieces.
 
     The model and the pieces stay tables in the shared folder; only the ``room`` chosen pieces come to the driver.
+    ``words`` and the counts are read several times and should be tables there too.
     """
-    grams = ngram_logprob(count_ngrams(words), spec.min_count).where("n > 0").select("gram", "logp")
+    counts, _ = write_shared(count_ngrams(words).where((F.col("n") <= 1) | (F.col("cnt") >= spec.min_count)))
+    grams = ngram_logprob(counts, spec.min_count).where("n > 0").select("gram", "logp")
     raw = words.select(F.encode("word", "UTF-8").alias("piece"), F.col("freq").alias("cnt"))
     pieces, _ = write_shared(map_pieces(raw, lambda d, p: segment(p, d), _log_probs, grams))
     good = (F.length("piece") <= spec.max_piece_size) & (F.col("cnt") >= spec.min_count)
@@ -239,6 +244,13 @@ def learn_pieces(words: DataFrame, spec: CounterSpec, room: int) -> list[Piece]:
     return [Piece(bytes(r["piece"]), float(r["cnt"])) for r in sorted(best, key=lambda r: (-r["cnt"], -len(r["piece"]), bytes(r["piece"])))]
 
 
+def _rows(files: tuple[str, ...]) -> Iterator[tuple[str, int]]:
+    """(word, freq) of a table in the shared folder, read on the driver; partitions fetched one by one would be computed one by one."""
+    t = read_shared(files)
+    for batch in t.to_batches():
+        yield from zip(batch.column("word").to_pylist(), batch.column("freq").to_pylist())
+
+
 def train(lines: DataFrame, method: str = "bytepiece", vocab_size: int = 8000, normalizer: NormalizerSpec | None = None, cn_dict: str | dict[bytes, float] | None = None, order: tuple[str, ...] = (), column: str = "line", **spec: object) -> Model:
     """Learn a model from ``lines``. ``vocab_size`` is what the user asks for; special and byte pieces come on top.
 
@@ -253,9 +265,10 @@ def train(lines: DataFrame, method: str = "bytepiece", vocab_size: int = 8000, n
         single = [Piece(bytes([b]), 0.0, BYTE) for b in range(256)]
         return Model(counter, NormalizerSpec(), single + learn_text(joined, vocab_size - 256))
     words = words_of(lines, normalizer, counter.min_count if method in ("piece", "sentencepiece") else 0, cn_dict if method == "piece" else None, column)
+    words, files = write_shared(words)  # the corpus is read once
     if method == "piece":
         meta = meta_pieces(counter, with_bytes=False)
-        rows = [(r["word"].encode(), r["freq"]) for r in words.toLocalIterator()]
+        rows = [(w.encode(), f) for w, f in _rows(files)]
         return assemble(counter, normalizer, meta, learn_bytes(rows, counter.vocab_size - len(meta), counter.max_piece_size))
     meta = meta_pieces(counter, with_bytes=True)
     room = counter.vocab_size - len(meta)
@@ -263,7 +276,7 @@ def train(lines: DataFrame, method: str = "bytepiece", vocab_size: int = 8000, n
         unk = chr(counter.unk_unicode)
         required = [(r["ch"], r["cnt"]) for r in required_chars(words, counter.character_coverage).orderBy(F.desc("cnt"), "cp").collect()]
         known = {c for c, _ in required}
-        rows = ((r["word"], r["freq"]) for r in words.toLocalIterator())
+        rows = _rows(files)
         if unk not in known:
             rows = (("".join(c if c in known else unk for c in w), f) for w, f in rows)
         rows = ((w, f) for w, f in rows if len(w.encode()) <= 65535)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from ..session import checkpoint_dir
 
 _READ: dict[tuple[str, ...], pa.Table] = {}
+_BUILT: dict[tuple, object] = {}
 
 
 def write_shared(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -35,3 +37,14 @@ def read_shared(files: tuple[str, ...]) -> pa.Table:
         _READ.clear()
         _READ[files] = pa.concat_tables(parts) if parts else pa.table({})
     return _READ[files]
+
+
+def build_shared(files: tuple[str, ...], build: Callable[[pa.Table], object]) -> object:
+    """What ``build`` makes of all rows; the last value is kept for the worker's next task."""
+    key = files, build.__name__
+    if key not in _BUILT:
+        value = build(read_shared(files))
+        _READ.clear()
+        _BUILT.clear()
+        _BUILT[key] = value
+    return _BUILT[key]

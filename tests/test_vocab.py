@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -249,3 +250,73 @@ def test_merges_as_steps_equal_the_learner(spark, lines):
     pieces = learners.learn_bytes([(r["word"].encode(), r["freq"]) for r in words.collect()], 276, 18)[256:]
     assert [(bytes.fromhex(r["a"]), bytes.fromhex(r["b"])) for r in got] == [(p.u, p.v) for p in pieces]
     assert [r["step"] for r in got] == list(range(1, len(got) + 1))
+
+
+@pytest.mark.parametrize("method", ["piece", "sentencepiece", "bytepiece"])
+def test_packed_ids_equal_those_of_the_whole(lines, method):
+    """Words between spaces from the cache, also where a piece reaches across a space, and with a full cache."""
+    import random
+
+    import numpy as np
+
+    model = train(lines, method, 300, min_count=1)
+    across = replace(model, pieces=[*model.pieces, Piece("t▁c".encode(), 50.0, 1, b"t", "▁c".encode()), Piece("▁▁".encode(), 40.0, 1, "▁".encode(), "▁".encode())])
+    rng = random.Random(7)
+    for m in (model, across):
+        for keep in (False, True):
+            m.normalizer = replace(m.normalizer, reconstruct=keep)
+            codec = codecs.Codec(m)
+            assert (codec.held is not None) == (m is across)
+            for _ in range(300):
+                s = "".join(rng.choice(["the", "cat", " ", " ", "rat", "h", "a", "é", "，", "<s>", "▁", ",", "'", "1", "x" * 70]) for _ in range(rng.randint(0, 20)))
+                assert np.frombuffer(codec.packed(s), np.int32).tolist() == [i for _, i in codec.encode(s)]
+
+
+def test_the_corpus_is_tokenised_once_for_a_model(spark, tmp_path):
+    """The words are read from the shared folder by all steps of a learner."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    src = spark.createDataFrame([(t,) for t in LINES], "line string").coalesce(1).mapInArrow(count, "line string")
+    for method in ("piece", "sentencepiece", "bytepiece"):
+        read.value = 0
+        train(src, method, 300, min_count=1)
+        assert read.value == len(LINES), method
+
+
+def test_byte_ngrams_equal_a_count(spark):
+    words = [("ab", 3), ("aba", 2), ("é" * 4, 5), ("", 7), ("a\0b", 1), ("\0\0", 4), ("abcdefgh", 6)]
+    want = Counter()
+    for w, f in words:
+        b = w.encode()
+        for i in range(len(b)):
+            for n in range(min(6, len(b) - i) + 1):
+                want[n, b[i : i + n].hex().upper()] += f
+    df = spark.createDataFrame(words, "word string, freq long").repartition(3)
+    assert {(r["n"], r["gram"]): r["cnt"] for r in counting.byte_ngrams(df).collect()} == dict(want)
+
+
+def test_token_counts_in_small_flushes(monkeypatch, spark):
+    """Spaces in all places, marks in the text, and nulls; with partial counts that go out after every line."""
+    from sparkloom.functions.text import pretokenize
+
+    rows = ["a  b ", " ▁a b▁ ▁", "▁", "   ", "", None, "it's  a,b. ▁▁x", "don't 12三四 '", "a b"] * 2
+    df = spark.createDataFrame([(t,) for t in rows], "line string").coalesce(1)
+    for cut in (0, 1):
+        for keep in (False, True):
+            tokens = df.where("length(line) > 0").select(F.explode(pretokenize(F.col("line"), cut, keep)).alias("t"))
+            want = Counter(r["t"] for r in tokens.collect())
+            assert {r["token"]: r["freq"] for r in counting.raw_count(df, cut, keep).collect()} == dict(want)
+            monkeypatch.setattr(counting, "HELD_BYTES", 3)
+            run = counting._token_counts(cut, keep)
+            import pyarrow as pa
+
+            got = Counter()
+            for b in run(iter([pa.record_batch({"line": pa.array([t for t in rows if t])})])):
+                for t, n in zip(b["token"].to_pylist(), b["freq"].to_pylist()):
+                    got[t] += n
+            assert got == want
