@@ -62,32 +62,46 @@ class PairIndex:
         self.where.pop(p, None)
 
     def merge(self, p: tuple[int, int], new: int) -> None:
-        touched: set[tuple[int, int]] = set()
+        """Only the pairs beside the merged ones change; ``where`` may also name words that lost the pair before."""
+        a, b = p
+        change: dict[tuple[int, int], int] = defaultdict(int)
+        allowed: dict[tuple[int, int], bool] = {}
         for i in self.where.pop(p, ()):
             seq, freq = self.seqs[i], self.freqs[i]
-            for q in zip(seq, seq[1:]):
-                if q in self.count:
-                    self.count[q] -= freq
-                    touched.add(q)
-            out, k = [], 0
-            while k < len(seq):
-                if k + 1 < len(seq) and (seq[k], seq[k + 1]) == p:
+            k, last, out = 0, len(seq) - 1, []
+            while k <= last:
+                c = seq[k]
+                if c == a and k < last and seq[k + 1] == b:
+                    if k:
+                        change[seq[k - 1], a] -= freq
+                        q = (out[-1], new)
+                        if (ok := allowed.get(q)) is None:
+                            ok = allowed[q] = self.allowed(*q)
+                        if ok:
+                            change[q] += freq
+                            self.where[q].add(i)
                     out.append(new)
                     k += 2
+                    if k <= last and not (seq[k] == a and k < last and seq[k + 1] == b):
+                        c = seq[k]
+                        change[b, c] -= freq
+                        q = (new, c)
+                        if (ok := allowed.get(q)) is None:
+                            ok = allowed[q] = self.allowed(*q)
+                        if ok:
+                            change[q] += freq
+                            self.where[q].add(i)
                 else:
-                    out.append(seq[k])
+                    out.append(c)
                     k += 1
             self.seqs[i] = out
-            for q in zip(out, out[1:]):
-                if self.allowed(*q):
-                    self.count[q] += freq
-                    self.where[q].add(i)
-                    touched.add(q)
         self.count.pop(p, None)
-        for q in touched:
-            n = self.count.get(q, 0)
-            if n > 0:
-                heapq.heappush(self.heap, (-n, *self.key(*q), q))
+        change.pop(p, None)
+        for q, n in change.items():
+            if n and (n > 0 or q in self.count):
+                self.count[q] += n
+                if self.count[q] > 0:
+                    heapq.heappush(self.heap, (-self.count[q], *self.key(*q), q))
 
 
 def f32(x: float) -> float:

@@ -320,3 +320,32 @@ def test_token_counts_in_small_flushes(monkeypatch, spark):
                 for t, n in zip(b["token"].to_pylist(), b["freq"].to_pylist()):
                     got[t] += n
             assert got == want
+
+
+def test_merges_touch_only_the_pairs_beside_them():
+    """Pair counts after each merge equal a full recount, with overlaps, and a merge asks for few pairs of long words."""
+    import random
+
+    rng = random.Random(2)
+    words = [([rng.choice(b"aab") for _ in range(rng.randint(0, 14))], rng.randint(1, 9)) for _ in range(60)]
+    text = [bytes([b]) for b in range(256)]
+    index = learners.PairIndex(words, lambda a, b: len(text[a]) + len(text[b]) <= 6, lambda a, b: (text[a], text[b]))
+    for _ in range(12):
+        (a, b), _ = index.top()
+        text.append(text[a] + text[b])
+        index.merge((a, b), len(text) - 1)
+        want = Counter()
+        for s, f in zip(index.seqs, index.freqs):
+            for q in zip(s, s[1:]):
+                if len(text[q[0]]) + len(text[q[1]]) <= 6:
+                    want[q] += f
+        assert +index.count == want
+        if want:
+            best = min((-n, text[q[0]], text[q[1]]) for q, n in want.items())
+            top = index.top()
+            assert (-top[1], text[top[0][0]], text[top[0][1]]) == best
+    asked = []
+    long = learners.PairIndex([([1, 2, *range(3, 200)], 1)], lambda a, b: asked.append((a, b)) or True, lambda a, b: (a, b))
+    asked.clear()
+    long.merge((100, 101), 300)
+    assert sorted(asked) == [(99, 300), (300, 102)]
