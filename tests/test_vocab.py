@@ -349,3 +349,24 @@ def test_merges_touch_only_the_pairs_beside_them():
     asked.clear()
     long.merge((100, 101), 300)
     assert sorted(asked) == [(99, 300), (300, 102)]
+
+
+def test_merges_of_many_words_at_once_equal_replacement():
+    """A pair of equal symbols, runs, empty words and word ends, against the replacement of bytes word by word."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.operators import merges
+
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"aab") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    wide = [np.frombuffer(w, np.uint8).astype(np.uint16).tobytes() for w in words]
+    batch = pa.record_batch({"w": pa.array(wide, pa.binary()), "freq": pa.array(range(300), pa.int64())}).slice(7)
+    for a, b in ((97, 97), (97, 98), (98, 97), (99, 99)):
+        s, freq = merges.merged(*merges.symbols(batch), a, b, 300)
+        back = merges._words(s, freq)
+        got = [np.frombuffer(w, np.uint16).tolist() if w else [] for w in back.column(0).to_pylist()]
+        assert got == [[300 if x == 0xFF else x for x in w.replace(bytes([a, b]), b"\xff")] for w in words[7:]]
+        assert back.column(1).to_pylist() == list(range(7, 300))
