@@ -377,7 +377,7 @@ def test_lines_are_spelled_without_a_shuffle(spark):
     from sparkloom.operators import vocab
 
     v = spark.createDataFrame([(0, "<unk>", 2), (1, "end", 3), (2, "▁a", 1), (3, "b", 1), (4, "▁a", 1), (5, ",", 1), (6, "▁", 1)], "id int, piece string, type int")
-    rows = [("b a, zz a", "b a, a"), ("zz", None), ("  ", None), (None, None), ("end", None), ("b  1 a", "b a"), ("b ▁ a▁", "b  a")]
+    rows = [("b a, zz a", "b a, a"), ("zz", None), ("  ", None), (None, None), ("end", None), ("b  1 a", "b  a"), ("b ▁ a▁", "b   a")]
     got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", vocab.spelled(F.col("t"), v).alias("text"))
     assert {r["t"]: r["text"] for r in got.collect()} == dict(rows)
     plan = got.where("text is not null")._jdf.queryExecution().executedPlan().toString()
